@@ -66,3 +66,8 @@ def free_name(df_or_columns, wanted: str) -> str:
 def column(name: str):
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def let(value, f):
+    """f(value) with ``value`` bound to a lambda variable: it is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

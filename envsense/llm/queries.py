@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP7_SQL, op7_chat_rotation
+from .quality import OP2_SQL, op2_quality_rules
+from .sharding import op5_sharding
 from .token_counts import op4_token_counts
 from .token_output import op1_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op4_token_counts)
+    found = (op1_token_output, op2_quality_rules, op4_token_counts, op5_sharding, op7_chat_rotation)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": OP2_SQL, "op7_chat_rotation": OP7_SQL}
