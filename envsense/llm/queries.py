@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP7_SQL, op7_chat_rotation
+from .decontamination import op10_decontamination
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op5_sharding
 from .token_counts import op4_token_counts
@@ -14,7 +15,7 @@ from .token_output import op1_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op2_quality_rules, op4_token_counts, op5_sharding, op7_chat_rotation)
+    found = (op1_token_output, op2_quality_rules, op4_token_counts, op5_sharding, op7_chat_rotation, op10_decontamination)
     return {f.__name__: f for f in found}
 
 

@@ -14,6 +14,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII punctuation as blanks too.
+_PUNCTUATION = _BLANK.copy()
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -29,9 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a column of texts; ``first[d]``:``first[d + 1]`` are those of text d. Null texts have none."""
+    """The words of a column of texts; ``first[d]``:``first[d + 1]`` are those of text d. Null texts have none.
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    ``punctuation``: ASCII punctuation separates words too.
+    """
+
+    def __init__(self, texts: pa.Array, punctuation: bool = False):
         texts = texts.fill_null("").cast(pa.large_string())
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -39,10 +45,10 @@ class Words:
         offsets = offsets - offsets[0]
         n = len(data)
         padded = np.zeros(n + 8, np.uint8)
-        padded[:n] = _LOWER[data] if lower else data
+        padded[:n] = _LOWER[data]
         self.data, self.offsets = padded, offsets
         inside = np.zeros(n + 1, bool)
-        np.logical_not(_BLANK[data], out=inside[:n])
+        np.logical_not((_PUNCTUATION if punctuation else _BLANK)[data], out=inside[:n])
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         before = np.zeros(n + 1, bool)
