@@ -32,28 +32,27 @@ class Coded:
 def _steps(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each position the selector that packs most values from there, and how many it takes before the block's end."""
     n = len(values)
-    at = np.arange(n, dtype=np.int32)
-    left = ends - at
+    left = ends - np.arange(n, dtype=np.int32)
     selector = np.zeros(n, np.uint8)
-    step = np.ones(n, np.int32)
-    open_ = np.ones(n, bool)
     largest = int(values.max())
     #: For each value the number of selectors too narrow for it.
     narrow = np.zeros(n, np.uint8)
     for _, bits in SELECTORS:
         if largest >> bits:
             narrow += values >= np.uint64(1 << bits)
-    least = int(narrow.min())
-    for s, (count, _) in enumerate(SELECTORS, 1):
-        if s <= least:
+    for s, (count, bits) in enumerate(SELECTORS, 1):
+        if largest >> bits == 0:
+            selector[selector == 0] = s
+            break
+        fit = np.flatnonzero(narrow < s)
+        if not len(fit):
             continue
-        take = np.minimum(left, np.int32(count))
-        stop = np.minimum.accumulate(np.where(narrow < s, np.int32(n), at)[::-1])[::-1]
-        ok = open_ & (stop >= at + take)
+        last = np.append(np.flatnonzero(np.diff(fit) != 1), len(fit) - 1)
+        stop = np.repeat(fit[last] + 1, np.diff(last, prepend=-1))
+        ok = fit[stop - fit >= np.minimum(left[fit], count)]
+        ok = ok[selector[ok] == 0]
         selector[ok] = s
-        step = np.where(ok, take, step)
-        open_ &= ~ok
-    return selector, step
+    return selector, np.minimum(left, COUNTS[selector]).astype(np.int32)
 
 
 def encode(values, lengths=None) -> Coded:

@@ -1,15 +1,17 @@
 """Operator 4: token counts of documents, without moving any piece of text between tasks.
 
-First tier: a table of the pieces that are frequent in a bounded sample of documents, with their numbers
-of tokens, broadcast to all tasks. Second tier: each worker encodes what that table misses and keeps the
-count in a bounded cache. The sample decides how often the library is called, never a count.
+First tier: a compact hash table of the pieces that are frequent in a bounded sample of documents, with
+their numbers of tokens, broadcast to all tasks (2 MB at most). Second tier: each worker encodes what that
+table misses and keeps it in a bounded table of its own. The sample decides how often the library is
+called, never a count.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,62 +19,47 @@ from pyspark.sql import functions as F
 from . import pieces
 from .common import column, free_name, vocabulary
 
-#: Documents looked at for the first tier, and the pieces it holds at most (under 1 MB in all).
-SAMPLE_DOCS, TABLE_PIECES, SAMPLE_BYTES = 1_000, 32_768, 32_768
+#: Documents looked at for the first tier, the size up to which one is, and the pieces the tier holds at most.
+SAMPLE_DOCS, SAMPLE_BYTES, TABLE_PIECES = 1_000, 32_768, 32_768
 
 
-def frequent_pieces(docs: DataFrame, text: str, vocabulary_json: str, *, sample_docs: int = SAMPLE_DOCS, most: int = TABLE_PIECES) -> dict[str, int]:
-    """The first tier: the most frequent plain pieces of up to ``sample_docs`` documents of up to 32 KB each."""
-    col = column(text)
-    sample = [r[0] for r in docs.where(F.octet_length(col) <= SAMPLE_BYTES).select(col.cast("string")).limit(sample_docs).collect()]
-    split, seen = pieces.splitter(), Counter()
-    for t in sample:
-        seen.update(p for p in split(t) if len(p) <= pieces.LONG_PIECE)
-    chosen = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]]
-    tokenizer = pieces.library(vocabulary_json)
-    return {p: len(e.ids) for p, e in zip(chosen, tokenizer.encode_batch_fast(chosen, add_special_tokens=False))}
+def frequent_pieces(docs: DataFrame, text: str, vocabulary_json: str, *, sample_docs: int = SAMPLE_DOCS, most: int = TABLE_PIECES) -> tuple[pieces.Table, np.ndarray]:
+    """The first tier: the most frequent pieces of up to ``sample_docs`` documents, and their counts."""
+    col = column(text).cast("string")
+    sample = docs.where(F.octet_length(col) <= SAMPLE_BYTES).select(col.alias("t")).limit(sample_docs).collect()
+    encoder = pieces.Encoder(vocabulary_json, track=True)
+    encoder.encode(pa.array([r.t for r in sample], pa.string()), want_ids=False)
+    return encoder.most_used(most)
 
 
-_TABLES: dict = {}
+_ENCODERS: dict[str, pieces.Encoder] = {}
 
 
 def _counter(frequent, vocabulary_):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if frequent.value[0] not in _TABLES:
-            tokenizer = pieces.library(vocabulary_.value)
-            raw = lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            _TABLES.clear()
-            _TABLES[frequent.value[0]] = pieces.PieceTable(raw, frequent.value[1]), raw
-        known, raw = _TABLES[frequent.value[0]]
-        split = pieces.splitter()
+        key, first = frequent.value
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = pieces.Encoder(vocabulary_.value, first=first)
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                rows = batch.slice(start, 64)
-                texts = [t or "" for t in rows.column(rows.num_columns - 1).to_pylist()]
-                split_up = [split(t) if pieces.plain(t) else None for t in texts]
-                known.know(x for x in split_up if x is not None)
-                whole = iter(raw([t for t, x in zip(texts, split_up) if x is None]))
-                n = [next(whole) if x is None else sum(map(known.__getitem__, x)) for x in split_up]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(n, pa.int64())], names=[str(k) for k in range(rows.num_columns)])
+            n, _ = _ENCODERS[key].encode(batch.column(batch.num_columns - 1), want_ids=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=[str(k) for k in range(batch.num_columns)])
 
     return count
 
 
-def count_tokens(docs: DataFrame, vocabulary_json: str, *, text: str = "text", out: str = "n_tokens", first: dict[str, int] | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary_json: str, *, text: str = "text", out: str = "n_tokens", first: tuple[pieces.Table, np.ndarray] | None = None) -> DataFrame:
     """All columns but ``text``, and the text's number of tokens as column ``out``.
 
     Null and empty texts have 0 tokens. If a column has the name ``out``, the new one gets underscores in
     front. Rows are independent: order, ties and repeated rows do not matter, and an empty table gives an
     empty result. ``first`` replaces the sampled first tier.
     """
-    import uuid
-
-    spark = docs.sparkSession
     if first is None:
         first = frequent_pieces(docs, text, vocabulary_json)
     keep = [c for c in docs.columns if c != text]
     out = free_name(keep, out)
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
     counter = _counter(sc.broadcast((uuid.uuid4().hex, first)), sc.broadcast(vocabulary_json))
     fields = [docs.schema[c] for c in keep]
     given = docs.select(*(column(c).alias(str(k)) for k, c in enumerate(keep)), column(text).cast("string").alias(str(len(keep))))

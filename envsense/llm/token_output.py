@@ -10,6 +10,7 @@ One range shuffle puts the texts in order; encoding runs after it, so ids are mo
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -23,21 +24,22 @@ from . import pieces, simple8b
 from .common import column, new_dir, vocabulary
 
 SCHEMA = "doc_id long, part long, at long, n_tokens long, words binary, offsets binary, escapes binary"
-ROWS = 64
+ROWS = 500
 
 
 def _writer(vocabulary_json: str, end_id: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary_json)
         part, at = TaskContext.get().partitionId(), 0
-        end = [] if end_id is None else [end_id]
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS)
-                ids = [np.append(x, end) if end else x for x in encoder([t or "" for t in rows.column(1).to_pylist()])]
-                lengths = [np.diff(np.append(np.arange(0, len(x), simple8b.BLOCK), len(x))) for x in ids]
-                coded = simple8b.encode(np.concatenate(ids), np.concatenate(lengths))
-                n = np.array([len(x) for x in ids])
+                n, ids = encoder.encode(rows.column(1))
+                if end_id is not None:
+                    ids = np.insert(ids, np.cumsum(n), end_id)
+                    n = n + 1
+                lengths = [np.diff(np.append(np.arange(0, x, simple8b.BLOCK), x)) for x in n]
+                coded = simple8b.encode(ids, np.concatenate(lengths))
                 ats = at + np.cumsum(n) - n
                 at += int(n.sum())
                 block = 0
@@ -64,25 +66,15 @@ def _writer(vocabulary_json: str, end_id: int | None):
     return write
 
 
-_ENCODERS: dict = {}
+_ENCODERS: dict[str, pieces.Encoder] = {}
 
 
-def _encoder(vocabulary_json: str):
-    """texts -> arrays of ids, kept with its cache for the worker's next tasks."""
-    key = hash(vocabulary_json)
+def _encoder(vocabulary_json: str) -> pieces.Encoder:
+    """The encoder, kept with its table for the worker's next tasks."""
+    key = hashlib.sha256(vocabulary_json.encode()).hexdigest()
     if key not in _ENCODERS:
-        tokenizer = pieces.library(vocabulary_json)
-        raw = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        known, split = pieces.PieceTable(raw), pieces.splitter()
-
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            split_up = [split(t) if pieces.plain(t) else None for t in texts]
-            known.know(x for x in split_up if x is not None)
-            whole = iter(raw([t for t, x in zip(texts, split_up) if x is None]))
-            return [np.frombuffer(next(whole) if x is None else b"".join(map(known.__getitem__, x)), "<u4").astype(np.uint64) for x in split_up]
-
         _ENCODERS.clear()
-        _ENCODERS[key] = encode
+        _ENCODERS[key] = pieces.Encoder(vocabulary_json)
     return _ENCODERS[key]
 
 

@@ -1,7 +1,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from envsense.llm import pieces, token_counts, token_output
 from envsense.llm.common import new_dir, vocabulary
@@ -20,7 +23,7 @@ def expected(vocabulary_json, text):
 
 def test_counts_match_the_library(spark, vocabulary_json):
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(TEXTS)], "n_tokens long, text string, k int")
-    for first in (None, {}, {" b": 1}):
+    for first in (None, token_counts.frequent_pieces(docs, "text", vocabulary_json, most=2), token_counts.frequent_pieces(docs.limit(0), "text", vocabulary_json)):
         got = token_counts.count_tokens(docs, vocabulary_json, first=first)
         assert got.columns == ["n_tokens", "k", "_n_tokens"]
         for r in got.collect():
@@ -48,9 +51,24 @@ def test_empty_table(spark, vocabulary_json):
     assert token_output.read_digests(spark, path).count() == 0
 
 
-def test_cache_runs_over():
-    calls = []
-    table = pieces.PieceTable(lambda x: calls.append(x) or [len(p) for p in x], {"a": 1}, most=3)
-    table.know([["a", "bb"], ["ccc"]])
-    table.know([["dddd", "ee"]])
-    assert set(table) == {"a", "dddd", "ee"} and table["bb"] == 2
+ALPHABET = st.sampled_from(list("ab sstdmrevl'''\\n\\t .,1\\u00e9\\u00df\\u00a0\\u0085\\u00b2\\x1c\\x00\\u0130"))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(ALPHABET, max_size=60) | st.sampled_from(["'ll''re 've", "x" * 50, "漢字", "a<|endoftext|>b"]), max_size=6))
+def test_ids_are_the_library_s(vocabulary_json, encoder, texts):
+    n, ids = encoder.encode(pa.array([None, *texts, "end"]).slice(1))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "end"]]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+@pytest.fixture(scope="module")
+def encoder(vocabulary_json):
+    return pieces.Encoder(vocabulary_json, bits=6)  # so small that it runs over again and again
+
+
+def test_long_text_is_cut_and_whole(encoder, monkeypatch):
+    monkeypatch.setattr(pieces, "STRIDE", 64)
+    text = "some words here, and  there 's more\n" * 50
+    n, ids = encoder.encode(pa.array([text, "a"]))
+    assert ids[: n[0]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
