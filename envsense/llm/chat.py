@@ -33,31 +33,36 @@ def rotate(turns: DataFrame, *, dialogue: str = "conv_id", turn: str = "turn", s
     """
     rows = turns.select(
         column(dialogue).alias("conv_id"),
+        F.coalesce(F.concat(F.lit("k"), column(dialogue).cast("string")), F.lit("null")).alias("key"),
         column(turn).cast("long").alias("turn"),
         F.coalesce(column(speaker).cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(column(text).cast("string"), F.lit("")).alias("content"),
     )
-    people = rows.select("conv_id", F.col("speaker").alias("perspective")).distinct()
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))))
-    seen = rows.join(people, rows.conv_id.eqNullSafe(people.conv_id)).drop(people.conv_id)
-    own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, F.lit(f"{START}assistant\n")).otherwise(F.concat(F.lit(f"{START}user name="), "speaker", F.lit("\n")))
-    seen = seen.withColumns({"trained": own, "head": F.char_length(head), "segment": F.concat(head, "content", F.lit(f"{END}\n"))})
-    seen = seen.withColumn("length", F.char_length("segment").cast("long"))
-    key = ["conv_id", "perspective", "block"]
-    totals = seen.groupBy(key).agg(F.sum("length").alias("total"))
-    before = totals.select(*key, (F.sum("total").over(Window.partitionBy("conv_id", "perspective").orderBy("block")) - F.col("total")).alias("before"))
-    inside = Window.partitionBy(key).orderBy("turn", "speaker", "content").rowsBetween(Window.unboundedPreceding, -1)
-    seen = seen.withColumn("within", F.coalesce(F.sum("length").over(inside), F.lit(0)))
-    b = before.select(F.col("conv_id").alias("b_conv"), F.col("perspective").alias("b_who"), F.col("block").alias("b_block"), "before")
-    seen = seen.join(b, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("perspective") == F.col("b_who")) & (F.col("block") == F.col("b_block")))
-    start = F.col("before") + F.col("within")
-    end = start + F.col("length")
-    return seen.select(
+    # Lengths alone go through the sums: all turns as those of users, then what differs for one's own.
+    tail, own_head, user_head = len(END) + 1, len(START) + len("assistant\n"), F.char_length("speaker") + len(f"{START}user name=\n")
+    per = rows.groupBy("key", "block", "speaker").agg(F.count("*").alias("n"), F.sum(F.char_length("content") + user_head + tail).alias("as_user"))
+    blocks = per.groupBy("key", "block").agg(F.sum("as_user").alias("as_users"))
+    people = per.select("key", F.col("speaker").alias("perspective")).distinct()
+    own = per.select("key", "block", F.col("speaker").alias("perspective"), (F.col("n") * (own_head - user_head)).alias("less"))
+    grid = blocks.join(people, "key").join(own, ["key", "block", "perspective"], "left")
+    total = F.col("as_users") + F.coalesce("less", F.lit(0))
+    so_far = F.sum(total).over(Window.partitionBy("key", "perspective").orderBy("block"))
+    grid = grid.select("key", "block", "perspective", (so_far - total).alias("before"))
+    # Texts move once, by dialogue and block.
+    seen = rows.join(grid, ["key", "block"])
+    trained = F.col("speaker") == F.col("perspective")
+    head = F.when(trained, F.lit(f"{START}assistant\n")).otherwise(F.concat(F.lit(f"{START}user name="), "speaker", F.lit("\n")))
+    seen = seen.withColumns({"trained": trained, "head": F.char_length(head), "segment": F.concat(head, "content", F.lit(f"{END}\n"))})
+    inside = Window.partitionBy("key", "block", "perspective").orderBy("turn", "speaker", "content").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.char_length("segment").cast("long")
+    start = F.col("before") + F.coalesce(F.sum(length).over(inside), F.lit(0))
+    end = F.col("start") + length
+    return seen.withColumn("start", start).select(
         "conv_id", "perspective", "turn", "speaker", "segment", "trained",
-        F.when(F.col("trained"), start + F.col("head")).otherwise(end).alias("mask_start"),
+        F.when(F.col("trained"), F.col("start") + F.col("head")).otherwise(end).alias("mask_start"),
         F.when(F.col("trained"), end - 1).otherwise(end).alias("mask_end"),
-        start.alias("start"), end.alias("end"),
+        "start", end.alias("end"),
     )
 
 
