@@ -162,17 +162,16 @@ class Store:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.counts, self.at, self.n = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int64), 0
 
-    def add(self, ids: list[list[int]]) -> None:
-        counts = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(counts.sum())
+    def add(self, counts: np.ndarray, ids: np.ndarray) -> None:
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.n + len(ids) > len(self.counts):
+        while self.n + len(counts) > len(self.counts):
             self.counts, self.at = np.concatenate([self.counts, self.counts]), np.concatenate([self.at, self.at])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.counts[self.n : self.n + len(ids)] = counts
-        self.at[self.n : self.n + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.used, self.n = self.used + total, self.n + len(ids)
+        self.flat[self.used : self.used + total] = ids
+        self.counts[self.n : self.n + len(counts)] = counts
+        self.at[self.n : self.n + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.used, self.n = self.used + total, self.n + len(counts)
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         counts = self.counts[numbers].astype(np.int64)
@@ -180,20 +179,51 @@ class Store:
         return self.flat[np.arange(int(counts.sum())) + np.repeat(shift, counts)]
 
 
+class Library:
+    """How the tokenizers library encodes: whole texts, and pieces as bytes."""
+
+    special: bytes | None = SPECIAL
+
+    def __init__(self, vocabulary_json: str):
+        self.tokenizer = library(vocabulary_json)
+        self.kinds = classes(self.tokenizer)
+
+    def texts(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.texts([p.decode() for p in pieces])
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return counts, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+
+
 class Encoder:
     """Texts to ids, with a table that fills as it works and starts anew when it is half full.
 
-    ``first``: a table and the counts of its pieces, looked up before, when only counts are wanted.
-    ``track``: count how often each piece of the table is looked up.
+    ``backend``: encodes what the table misses (see ``Library``). ``first``: a table and the counts of its
+    pieces, looked up before, when only counts are wanted. ``known``: pieces and their ids that the table
+    holds from the start. ``track``: count how often each piece of the table is looked up.
     """
 
-    def __init__(self, vocabulary_json: str, bits: int = 22, first: tuple[Table, np.ndarray] | None = None, track: bool = False):
-        self.tokenizer = library(vocabulary_json)
-        self.kinds = classes(self.tokenizer)
+    def __init__(self, backend, bits: int = 22, first: tuple[Table, np.ndarray] | None = None, known: dict[bytes, list[int]] | None = None, track: bool = False):
+        self.backend, self.kinds = backend, backend.kinds
         self.bits, self.first = bits, first
-        self.table, self.store = Table(bits), Store()
+        self.known = {p: ids for p, ids in (known or {}).items() if len(p) <= LONGEST}
+        self._anew()
         self.uses = np.zeros(0, np.int64) if track else None
 
+    def _anew(self) -> None:
+        self.table, self.store = Table(self.bits), Store()
+        if self.known:
+            blob = np.frombuffer(b"".join(self.known), np.uint8)
+            lengths = np.fromiter(map(len, self.known), np.int64, len(self.known))
+            padded = np.zeros(len(blob) + 32, np.uint8)
+            padded[: len(blob)] = blob
+            self.table.add(Keys(padded, np.cumsum(lengths) - lengths, lengths))
+            counts = np.fromiter(map(len, self.known.values()), np.int64, len(self.known))
+            self.store.add(counts, np.fromiter(chain.from_iterable(self.known.values()), np.uint32, int(counts.sum())))
+        self.at_first = self.table.n
+
     def most_used(self, most: int) -> tuple[Table, np.ndarray]:
         """A table of the pieces that were looked up most, ties by key, and the numbers of their ids."""
         slots = np.flatnonzero(self.table.slots >= 0)
@@ -207,9 +237,6 @@ class Encoder:
         table.add(keys)
         return table, self.store.counts[self.table.slots[slots]]
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _numbers(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: Keys) -> np.ndarray:
         """Store numbers of the pieces, which are added where they are new; -1: too long for the table."""
         numbers = self.table.find(keys)
@@ -219,15 +246,16 @@ class Encoder:
         one = keys.take(new)
         _, where = np.unique(one.hashes, return_index=True)
         if self.table.n + len(where) > len(self.table.slots) // 2:
-            if self.table.n:
-                self.table, self.store = Table(self.bits), Store()
+            if self.table.n > self.at_first:
+                self._anew()
                 self.uses = None if self.uses is None else np.zeros(0, np.int64)
                 return self._numbers(padded, starts, ends, keys)
             self.bits += 2
-            self.table = Table(self.bits)
+            self._anew()
+            return self._numbers(padded, starts, ends, keys)
         low, high = starts[new[where]].tolist(), ends[new[where]].tolist()
         raw = padded.tobytes()
-        self.store.add(self._library([raw[a:b].decode() for a, b in zip(low, high)]))
+        self.store.add(*self.backend.pieces([raw[a:b] for a, b in zip(low, high)]))
         self.table.add(one.take(where))
         numbers[new] = self.table.find(one)
         if (numbers[new] < 0).any():  # pieces with equal hashes
@@ -253,20 +281,18 @@ class Encoder:
             self.uses = np.bincount(numbers[numbers >= 0], minlength=self.table.n) + np.pad(self.uses, (0, self.table.n - len(self.uses)))
         counts[left] = np.where(numbers >= 0, self.store.counts[numbers], 0)
         long = left[numbers < 0]
-        long_ids = self._library([padded[starts[k] : ends[k]].tobytes().decode() for k in long]) if len(long) else []
-        counts[long] = [len(x) for x in long_ids]
+        long_counts, long_ids = self.backend.pieces([padded[starts[k] : ends[k]].tobytes() for k in long]) if len(long) else (0, None)
+        counts[long] = long_counts
         total = np.concatenate([[0], np.cumsum(counts)])
         first = np.searchsorted(starts, offsets)
         per_text = total[first[1:]] - total[first[:-1]]
         if not want_ids:
             return per_text, None
-        if not long_ids:
+        if not len(long):
             return per_text, self.store.ids(numbers)
         out = np.empty(total[-1], np.uint32)
-        known = numbers >= 0
-        out[np.repeat(known, counts)] = self.store.ids(numbers[known])
-        for k, x in zip(long, long_ids):
-            out[total[k] : total[k + 1]] = x
+        known = np.repeat(numbers >= 0, counts)
+        out[known], out[~known] = self.store.ids(numbers[numbers >= 0]), long_ids
         return per_text, out
 
     def encode(self, texts: pa.Array, want_ids: bool = True):
@@ -281,10 +307,8 @@ class Encoder:
         odd = np.flatnonzero(data[offsets[0] :] >= NOT_PLAIN) + offsets[0]
         slow = np.zeros(len(texts), bool)
         slow[np.searchsorted(offsets, odd, "right") - 1] = True
-        raw = memoryview(data)[offsets[0] :] if len(data) else b""
-        at = -1
-        whole = bytes(raw)
-        while (at := whole.find(SPECIAL, at + 1)) >= 0:
+        at, whole = -1, data[offsets[0] :].tobytes() if self.backend.special else b""
+        while self.backend.special and (at := whole.find(self.backend.special, at + 1)) >= 0:
             slow[np.searchsorted(offsets, at + offsets[0], "right") - 1] = True
         counts = np.zeros(len(texts), np.int64)
         parts: list[np.ndarray] = []
@@ -292,7 +316,7 @@ class Encoder:
         while d < len(texts):
             e = d + 1
             if slow[d]:
-                (ids,) = self._library([texts[d].as_py()])
+                (ids,) = self.backend.texts([texts[d].as_py()])
                 counts[d] = len(ids)
                 parts.append(np.array(ids, np.uint32))
             else:

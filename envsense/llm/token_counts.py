@@ -27,7 +27,7 @@ def frequent_pieces(docs: DataFrame, text: str, vocabulary_json: str, *, sample_
     """The first tier: the most frequent pieces of up to ``sample_docs`` documents, and their counts."""
     col = column(text).cast("string")
     sample = docs.where(F.octet_length(col) <= SAMPLE_BYTES).select(col.alias("t")).limit(sample_docs).collect()
-    encoder = pieces.Encoder(vocabulary_json, track=True)
+    encoder = pieces.Encoder(pieces.Library(vocabulary_json), track=True)
     encoder.encode(pa.array([r.t for r in sample], pa.string()), want_ids=False)
     return encoder.most_used(most)
 
@@ -40,7 +40,7 @@ def _counter(frequent, vocabulary_):
         key, first = frequent.value
         if key not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[key] = pieces.Encoder(vocabulary_.value, first=first)
+            _ENCODERS[key] = pieces.Encoder(pieces.Library(vocabulary_.value), first=first)
         for batch in batches:
             n, _ = _ENCODERS[key].encode(batch.column(batch.num_columns - 1), want_ids=False)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=[str(k) for k in range(batch.num_columns)])

@@ -74,7 +74,7 @@ def _encoder(vocabulary_json: str) -> pieces.Encoder:
     key = hashlib.sha256(vocabulary_json.encode()).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = pieces.Encoder(vocabulary_json)
+        _ENCODERS[key] = pieces.Encoder(pieces.Library(vocabulary_json))
     return _ENCODERS[key]
 
 

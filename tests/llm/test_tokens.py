@@ -58,17 +58,17 @@ ALPHABET = st.sampled_from(list("ab sstdmrevl'''\\n\\t .,1\\u00e9\\u00df\\u00a0\
 @given(st.lists(st.text(ALPHABET, max_size=60) | st.sampled_from(["'ll''re 've", "x" * 50, "漢字", "a<|endoftext|>b"]), max_size=6))
 def test_ids_are_the_library_s(vocabulary_json, encoder, texts):
     n, ids = encoder.encode(pa.array([None, *texts, "end"]).slice(1))
-    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "end"]]
+    want = [encoder.backend.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "end"]]
     assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
 @pytest.fixture(scope="module")
 def encoder(vocabulary_json):
-    return pieces.Encoder(vocabulary_json, bits=6)  # so small that it runs over again and again
+    return pieces.Encoder(pieces.Library(vocabulary_json), bits=6)  # so small that it runs over again and again
 
 
 def test_long_text_is_cut_and_whole(encoder, monkeypatch):
     monkeypatch.setattr(pieces, "STRIDE", 64)
     text = "some words here, and  there 's more\n" * 50
     n, ids = encoder.encode(pa.array([text, "a"]))
-    assert ids[: n[0]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids[: n[0]].tolist() == encoder.backend.tokenizer.encode(text, add_special_tokens=False).ids
