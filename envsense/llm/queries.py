@@ -10,6 +10,7 @@ from .bpe import op8_bpe
 from .chat import OP7_SQL, op7_chat_rotation
 from .decontamination import op10_decontamination
 from .line_dedup import op9_line_dedup
+from .lm_score import op3_lm_score
 from .ngram_join import op6_ngram_join
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op5_sharding
@@ -18,7 +19,7 @@ from .token_output import op1_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op2_quality_rules, op4_token_counts, op5_sharding, op6_ngram_join, op7_chat_rotation, op8_bpe, op9_line_dedup, op10_decontamination)
+    found = (op1_token_output, op2_quality_rules, op3_lm_score, op4_token_counts, op5_sharding, op6_ngram_join, op7_chat_rotation, op8_bpe, op9_line_dedup, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
