@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, let
+from .common import column, free_name, let
 
 #: The characters that separate words, and those counted as symbols.
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -81,13 +81,8 @@ def frequent_lines(rows: DataFrame, docs: DataFrame, host: str, min_docs: int, m
     return held.join(sizes, "host").where(F.col("held") > F.col("docs") * F.lit(max_share)).select("host", "line")
 
 
-def quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """doc_id, the base rules' counts, base_failed, n_removed (words in frequent lines), kept.
-
-    One row for each input row. A null text counts as empty and fails the base rules; null hosts are one
-    host named ''. Rows with equal id, host and text get equal results. Other columns are not read, so
-    their names do not matter. An empty table gives an empty result. Texts of any length are read whole.
-    """
+def judged(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """What ``quality`` returns, and ``row``: a hash of id, host and text."""
     rows = line_rows(docs, doc_id=doc_id, text=text, host=host)
     frequent = frequent_lines(rows, docs, host, min_docs, max_share)
     lost = rows.join(frequent, ["host", "line"]).groupBy("row", "place").agg(F.first("words").alias("words"))
@@ -100,9 +95,19 @@ def quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host
     counted = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(column(doc_id), h, t).alias("row"), both.alias("both"), *(c.alias(k) for k, c in base_rules(docs, text).items()))
     counted = counted.select("doc_id", "row", F.col("both.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("both.r").alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = counted.withColumn("base_failed", failed).join(lost, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
+    rated = counted.withColumn("base_failed", failed).join(lost, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
     depleted = 100 * (F.col("n_words") - F.col("n_removed")) < LEAST_LEFT * F.col("n_words")
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row")
+    return rated.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """doc_id, the base rules' counts, base_failed, n_removed (words in frequent lines), kept.
+
+    One row for each input row. A null text counts as empty and fails the base rules; null hosts are one
+    host named ''. Rows with equal id, host and text get equal results. Other columns are not read, so
+    their names do not matter. An empty table gives an empty result. Texts of any length are read whole.
+    """
+    return judged(docs, doc_id=doc_id, text=text, host=host, min_docs=min_docs, max_share=max_share).drop("row")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +115,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, unchanged: rejection alone, no editing of what stays."""
-    good = quality(docs).where("kept").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("good_id")), "left_semi")
+def kept_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
+    """The documents that the rules keep, with all columns and unchanged: rejection alone, no editing of what stays."""
+    good = judged(docs, doc_id=doc_id, text=text, host=host, **limits).where("kept").select(F.col("row").alias("good_row")).distinct()
+    row = F.xxhash64(column(doc_id), F.coalesce(column(host).cast("string"), F.lit("")), column(text).cast("string"))
+    name = free_name(docs, "row")
+    other = free_name(docs, "good_row")
+    return docs.withColumn(name, row).join(good.toDF(other), F.col(name) == F.col(other), "left_semi").drop(name)
 
 
 OP2_SQL = rf"""
