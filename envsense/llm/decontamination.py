@@ -84,8 +84,8 @@ def _gram_counter(block, n: int):
         items = block.value
         bits = items.filter()
         total = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            _, _, _, row, text = _matches(items, bits, batch.column(0), n)
+        for _, part in (x for batch in batches for x in textkit.slices(batch.column(0))):
+            _, _, _, row, text = _matches(items, bits, part, n)
             seen = np.unique(np.stack([text, row]), axis=1)
             total += np.bincount(seen[1], minlength=len(total))
         found = np.flatnonzero(total)
@@ -188,7 +188,12 @@ def _gather(values: np.ndarray, low: np.ndarray, length: np.ndarray) -> np.ndarr
 
 
 def _leaks(items: Items, bits: np.ndarray, texts: pa.Array, n: int, least_score: float):
-    text, item, best, seeds = find(items, bits, texts, n)
+    """text, item, share of a perfect score and seeds of what counts as contamination."""
+    parts = [(np.empty(0, np.int64),) * 4]
+    for row, part in textkit.slices(texts):
+        text, *rest = find(items, bits, part, n)
+        parts.append((text + row, *rest))
+    text, item, best, seeds = (np.concatenate(x) for x in zip(*parts))
     length = np.diff(items.first)[item]
     good = (best >= least_score * MATCH * length) & (best >= MATCH * np.minimum(length, LEAST_MATCHES))
     return text[good], item[good], best[good] / np.maximum(MATCH * length[good], 1), seeds[good]

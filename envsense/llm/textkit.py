@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -31,6 +32,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(texts: pa.Array, most: int = 1 << 22):
+    """(first row, slice) of stretches of about ``most`` bytes at most; a longer text is a stretch of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    row = 0
+    while row < len(texts):
+        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")))
+        yield row, texts.slice(row, stop - row)
+        row = stop
+
+
 class Words:
     """The words of a column of texts; ``first[d]``:``first[d + 1]`` are those of text d. Null texts have none.
 
