@@ -48,8 +48,8 @@ def overlap_needed(a, b, percent: int):
 def _frequency_counter(n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        for batch in batches:
-            grams, _ = textkit.shingles(textkit.Words(batch.column(0)), n)
+        for _, part in (x for batch in batches for x in textkit.slices(batch.column(0))):
+            grams, _ = textkit.shingles(textkit.Words(part), n)
             total += np.bincount((grams >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
         if total.any():
             parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.minimum(total, 2**32 - 1).reshape(PARTS, -1)]
@@ -85,20 +85,24 @@ def frequency_levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 def _sets(texts: pa.Array, n: int, levels: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each text that has words, and its set of ids, rarest first."""
-    grams, bounds = textkit.shingles(textkit.Words(texts), n)
-    level = levels[(grams >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)].astype(np.uint64)
-    ids = (level << np.uint64(58)) | (textkit.mix(grams) >> np.uint64(6))
-    for d in np.flatnonzero(np.diff(bounds)):
-        yield d, np.unique(ids[bounds[d] : bounds[d + 1]])
+    for row, part in textkit.slices(texts):
+        grams, bounds = textkit.shingles(textkit.Words(part), n)
+        level = levels[(grams >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)].astype(np.uint64)
+        ids = (level << np.uint64(58)) | (textkit.mix(grams) >> np.uint64(6))
+        for d in np.flatnonzero(np.diff(bounds)):
+            mine = np.sort(ids[bounds[d] : bounds[d + 1]])
+            new = np.ones(len(mine), bool)
+            np.not_equal(mine[1:], mine[:-1], out=new[1:])
+            yield row + d, mine[new]
 
 
 def _keys(ids: np.ndarray) -> tuple[int, int]:
-    """Two fingerprints of a set."""
-    n = np.uint64(len(ids))
-    pair = np.stack([np.bitwise_xor.reduce(ids, keepdims=True), ids.sum(dtype=np.uint64, keepdims=True)])
-    a = textkit.mix(textkit.mix(pair[0] + n) + pair[1])
-    b = textkit.mix(np.bitwise_xor.reduce(textkit.mix(ids), keepdims=True) + n)
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+    """Two fingerprints of a set: mixed from the size, and the sum and the bitwise sums of its (mixed) ids."""
+    odd = ids * np.uint64(0x9E3779B97F4A7C15)
+    parts = np.array([np.bitwise_xor.reduce(ids), ids.sum(dtype=np.uint64), np.bitwise_xor.reduce(odd), np.bitwise_xor.reduce(odd >> np.uint64(29))])
+    parts[::2] += np.uint64(len(ids))
+    a, b = textkit.mix(textkit.mix(parts[::2]) + parts[1::2]).view(np.int64).tolist()
+    return a, b
 
 
 def _key_maker(levels, n: int):
@@ -342,7 +346,7 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     links = cut(_verified(pairs, texts, levels, n, percent))
     joined = components(links)
     # What the first links have not joined: groups with more than one component.
-    groups = made.where("left > 0").select(F.col("a").alias("key"), F.col("b").alias("grp"), "size", "left")
+    groups = made.where("left > 0").groupBy(F.col("b").alias("grp"), F.col("a").alias("key")).agg(F.max("size").alias("size"), F.max("left").alias("left"))
     groups = groups.join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = groups.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("grp")
     left = groups.join(mixed, "grp").select("grp", "root", "key", "size", "left").repartition("grp").sortWithinPartitions("grp", "root")
