@@ -13,7 +13,7 @@ from .schema import CALIBRATION, SENSORS_CSV
 
 def write_bundles(rows: DataFrame, path: str) -> None:
     """Sensor rows as CSV with a header, one directory an event (``event_id=…``), rows in the order of ``seq``."""
-    rows.sortWithinPartitions("event_id", "seq").drop("seq").write.partitionBy("event_id").option("header", True).csv(path)
+    rows.repartition("event_id").sortWithinPartitions("event_id", "seq").drop("seq").write.partitionBy("event_id").option("header", True).csv(path)
 
 
 def read_sensors(spark: SparkSession, path: str) -> DataFrame:
