@@ -2,6 +2,7 @@
 
 import json
 import struct
+import time
 import wave
 
 from pyspark.sql import functions as F
@@ -40,8 +41,12 @@ def test_stream_equals_batch(spark, tmp_path):
         part.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     out = detector.fused_stream(detector.detect_stream(stream))
-    q = out.writeStream.format("memory").queryName("detected").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(200)
+    q = out.writeStream.format("memory").queryName("detected").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    # A query with timeouts has always another batch to run, so it does not end by itself.
+    until = time.monotonic() + 120
+    while spark.table("detected").count() < p.count() and time.monotonic() < until:
+        time.sleep(1)
+    q.stop()
     got = {(r.device_id, r.seq): r for r in spark.table("detected").collect()}
     batch = detect.rolling_sigma(filters.kalman_adaptive(p.withColumn("loud", F.lit(1)), ["device_id"], ["ts", "seq"], "magnitude"), ["device_id"], ["ts", "seq"], "filtered").collect()
     assert len(got) == len(batch) > 50
