@@ -6,11 +6,11 @@
    links; rare-first makes few candidates.
 2. Equal sets are one: they are found by fingerprint, and one of them stands for all.
 3. Each set sends the ids of its prefix, with its size and the id's place, to a range of id hashes. Sets of one
-   id pass the length and positional filters. First each id's sets are paired with the least of them;
-   what those links have not joined is paired in full afterwards. So a group of near copies gives about
-   one pair for each set, and no pair of different components is left untested.
+   id pass the length and positional filters. First each id's sets are paired with the least of them.
 4. A pair is verified once: the suffix filter compares where a few ids of one set fall in the other, then
-   the ids are intersected.
+   the ids are intersected. So a group of near copies gives about one pair for each set.
+   Sets that share an id and are not in one component after that are compared in blocks, so that no pair of
+   different components that passes the filters is left untested, and no list of pairs is made.
 5. Links are joined to components by distributed union-find.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -35,8 +35,8 @@ WORDS, PERCENT = 5, 75
 FREQUENCY_BITS, PARTS, RANGE_BYTES = 20, 16, 24 << 20
 #: Bits of the filter that tells which sets are needed for verification: 2 MB whatever the input.
 NEEDED_BITS = 24
-#: Pairs of one set that one task verifies.
-HUB_PAIRS = 512
+#: Pairs of one set that one task verifies, and sets of a block that others are compared with.
+HUB_PAIRS, BLOCK_SETS = 512, 512
 ENTRY = np.dtype([("id", "<u8"), ("key", "<i8"), ("size", "<u4"), ("left", "<u4")])
 
 
@@ -215,51 +215,171 @@ def _rows(a, b, size=None, left=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b, size, left)], names=["a", "b", "size", "left"])
 
 
-def _cross_maker(percent: int):
-    """Pairs of different components in each group; rows come sorted by group and component."""
+def _unit_maker(percent: int):
+    """(top, key, root) of a group's sets that pass the filters with a set of another component; top is the component with most sets.
+
+    Rows come sorted by group and component.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def cross(group) -> Iterator[pa.RecordBatch]:
+        def units(group) -> Iterator[pa.RecordBatch]:
             root = group[1]
             entry = np.empty(len(root), ENTRY)
             entry["key"], entry["size"], entry["left"] = group[2], group[3], group[4]
-            for k in range(len(root)):
-                other = np.searchsorted(root, root[k], "right")
-                good = _passes(entry[k : k + 1], entry[other:], percent)
-                if good.any():
-                    b = entry["key"][other:][good]
-                    a = np.full(len(b), entry["key"][k])
-                    yield _rows(np.minimum(a, b), np.maximum(a, b))
+            found, at, sizes = np.unique(root, return_index=True, return_counts=True)
+            top = int(np.argmax(sizes))
+            good = np.zeros(len(root), bool)
+            for k in range(len(found)):
+                if k == top:
+                    continue
+                for i in range(at[k], at[k] + sizes[k]):
+                    passed = _passes(entry[i : i + 1], entry, percent)
+                    passed[at[k] : at[k] + sizes[k]] = False
+                    if passed.any():
+                        good |= passed
+                        good[i] = True
+            if good.any():
+                columns = np.full(int(good.sum()), found[top]), group[2][good], root[good]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["top", "key", "root"])
 
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
             at = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
             for k, part in enumerate(zip(*(np.split(r, at) for r in rows))):
                 if k or (held and held[0][0][0] != part[0][0]):
-                    yield from cross([np.concatenate(x) for x in zip(*held)])
+                    yield from units([np.concatenate(x) for x in zip(*held)])
                     held.clear()
                 held.append(part)
         if held:
-            yield from cross([np.concatenate(x) for x in zip(*held)])
+            yield from units([np.concatenate(x) for x in zip(*held)])
 
     return make
 
 
+class Block:
+    """Some sets, to be compared with one set after another."""
+
+    def __init__(self, keys: list[int], roots: list[int], sets: list[np.ndarray]):
+        self.keys, self.roots = np.array(keys, np.int64), np.array(roots, np.int64)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        ids = np.concatenate(sets)
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.owner = ids[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def linked(self, ids: np.ndarray, percent: int) -> np.ndarray:
+        """Which sets of the block are similar enough; sets of too different a size cannot be."""
+        low, high = np.searchsorted(self.ids, ids), np.searchsorted(self.ids, ids, "right")
+        count = high - low
+        place = np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count)
+        overlap = np.bincount(self.owner[place], minlength=len(self.keys))
+        return overlap >= overlap_needed(len(ids), self.sizes, percent)
+
+
+def _block_verifier(percent: int):
+    """Rows sorted by top, block and role: the sets of a block (role 0), then the sets to compare with them.
+
+    A pair is looked at where the second is outside the top component and, if both are, in the block of
+    the larger key. A block's links are thinned to those that join components it has not joined yet.
+    """
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, block, parts = None, None, ([], [], [])
+        joined: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := joined.get(x, x)) != x:
+                joined[x] = x = joined.get(up, up)
+            return x
+
+        for batch in batches:
+            found = []
+            for top, number, role, key, root, ids in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5)):
+                if name != (top, number):
+                    name, block, parts = (top, number), None, ([], [], [])
+                    joined.clear()
+                ids = _unpacked(ids.as_buffer())
+                if role == 0:
+                    for x, y in zip(parts, (key, root, ids)):
+                        x.append(y)
+                    continue
+                if block is None:
+                    if not parts[0]:
+                        continue
+                    block = Block(*parts)
+                good = block.linked(ids, percent) & (block.roots != root) & ((block.roots == top) | (block.keys > key))
+                for k in np.flatnonzero(good):
+                    one, other = find(root), find(int(block.roots[k]))
+                    if one != other:
+                        joined[one] = other
+                        found.append((key, int(block.keys[k])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], names=["a", "b"])
+
+    return verify
+
+
+def _needed_sets(keys: DataFrame, rows: DataFrame, sets: DataFrame, levels, n: int) -> DataFrame:
+    """key, ids of the sets whose keys are in the column ``key``, and of few others: a bitmap of fixed size decides.
+
+    A set is sent by the document with the least id of those that have it.
+    """
+    spark = keys.sparkSession
+    slots = keys.distinct().join(sets.select("key", "least"), "key").select(_slot(F.col("key"), F.col("least")).alias("slot"))
+    maps = slots.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits"))
+    bits = bytearray((1 << NEEDED_BITS) // 8)
+    for part, one in maps.collect():  # 512 rows of 4 KB at most
+        bits[part * 4096 : part * 4096 + 4096] = one
+    needed = spark.sparkContext.broadcast(bytes(bits))
+    return rows.mapInArrow(_set_maker(levels, n, needed), "key long, ids binary").groupBy("key").agg(F.first("ids").alias("ids"))
+
+
+def _linked_units(units: DataFrame, rows: DataFrame, known: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each top's units; every pair of units of different components is compared."""
+    sets = _needed_sets(units.select("key"), rows, known, levels, n)
+    blocks = units.groupBy("top").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    dealt = units.join(blocks, "top")
+    own = dealt.select("top", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), F.lit(0).alias("role"), "key", "root")
+    others = dealt.where("root <> top").select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "key", "root")
+    placed = own.union(others).join(sets, "key").select("top", "block", "role", "key", "root", "ids")
+    return placed.repartition("top", "block").sortWithinPartitions("top", "block", "role").mapInArrow(_block_verifier(percent), "a long, b long")
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """The ids' lower 48 bits, sorted, 6 bytes each: two of a pair's ids are equal by chance once in 2^48."""
+    return np.sort(ids & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(packed) -> np.ndarray:
+    six = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
+def _slot(key, least):
+    """Place in the bitmap of a set that the document with the least id sends; the same for columns and numbers."""
+    if isinstance(key, Column):
+        least = F.coalesce(least, F.lit(0).cast("long"))
+        return F.pmod(key.bitwiseXOR(F.shiftleft(least, 17)).bitwiseXOR(F.shiftright(least, 9)), F.lit(1 << NEEDED_BITS))
+    least = least or 0
+    return (key ^ (least << 17) ^ (least >> 9)) % (1 << NEEDED_BITS)
+
+
 def _set_maker(levels, n: int, needed):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(needed.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
-            keys, sets = [], []
-            for _, ids in _sets(batch.column(0), n, levels.value):
+            keys, sets, names = [], [], batch.column(0).to_pylist()
+            for d, ids in _sets(batch.column(1), n, levels.value):
                 key, _ = _keys(ids)
-                slot = key % (1 << NEEDED_BITS)
-                if key not in seen and bits[slot >> 3] >> (slot & 7) & 1:
+                slot = _slot(key, names[d])
+                if bits[slot >> 3] >> (slot & 7) & 1 and key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    sets.append(ids.tobytes())
+                    sets.append(_packed(ids))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sets, pa.binary())], names=["key", "ids"])
 
@@ -290,9 +410,9 @@ def _verifier(percent: int):
         for batch in batches:
             found = []
             for a, other, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                ids = np.frombuffer(ids.as_buffer(), "<u8")
+                ids = _unpacked(ids.as_buffer())
                 if other is None:
-                    hub, own = a, ids.copy()
+                    hub, own = a, ids
                 elif a == hub and linked(own, ids, percent):
                     found.append((a, other))
             if found:
@@ -301,23 +421,16 @@ def _verifier(percent: int):
     return verify
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, levels, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, levels, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; each pair once."""
-    spark = pairs.sparkSession
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(F.pmod("key", F.lit(1 << NEEDED_BITS)).alias("slot"))
-    maps = slots.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits"))
-    bits = bytearray((1 << NEEDED_BITS) // 8)
-    for part, one in maps.collect():  # 512 rows of 4 KB at most
-        bits[part * 4096 : part * 4096 + 4096] = one
-    needed = spark.sparkContext.broadcast(bytes(bits))
-    sets = texts.mapInArrow(_set_maker(levels, n, needed), "key long, ids binary").groupBy("key").agg(F.first("ids").alias("ids"))
+    sets = _needed_sets(pairs.select(F.explode(F.array("a", "b")).alias("key")), rows, known, levels, n)
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     hubs = chunks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     own = hubs.join(sets, hubs.a == sets.key).select("a", "chunk", F.lit(None).cast("long").alias("other"), "ids")
     others = dealt.join(sets, dealt.b == sets.key).select("a", "chunk", F.col("b").alias("other"), "ids")
-    rows = own.union(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("other").asc_nulls_first())
-    return rows.mapInArrow(_verifier(percent), "a long, b long")
+    dealt = own.union(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("other").asc_nulls_first())
+    return dealt.mapInArrow(_verifier(percent), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -343,16 +456,16 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     index = texts.mapInArrow(_prefix_maker(levels, n, percent, n_ranges), "rng int, entries binary").repartitionById(n_ranges, F.col("rng"))
     made = cut(index.mapInArrow(_pair_maker(percent), PAIR_SCHEMA))
     pairs = cut(made.where("left = 0").select("a", "b").distinct())
-    links = cut(_verified(pairs, texts, levels, n, percent))
+    links = cut(_verified(pairs, rows, sets, levels, n, percent))
     joined = components(links)
     # What the first links have not joined: groups with more than one component.
     groups = made.where("left > 0").groupBy(F.col("b").alias("grp"), F.col("a").alias("key")).agg(F.max("size").alias("size"), F.max("left").alias("left"))
     groups = groups.join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = groups.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("grp")
     left = groups.join(mixed, "grp").select("grp", "root", "key", "size", "left").repartition("grp").sortWithinPartitions("grp", "root")
-    more = cut(left.mapInArrow(_cross_maker(percent), PAIR_SCHEMA).select("a", "b").distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = cut(links.union(_verified(more, texts, levels, n, percent)))
+    units = cut(left.mapInArrow(_unit_maker(percent), "top long, key long, root long").distinct())
+    if units.limit(1).count():
+        links = cut(links.union(_linked_units(units, rows, sets, levels, n, percent)))
         joined = components(links)
     named = sets.select("key", "least").join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -370,3 +483,26 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that are in another one's group: of each group the one with the least doc_id stays."""
     gone = similar_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + {WORDS - 1}], chr(31))) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {WORDS - 2}, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= {PERCENT} * (nx.n + ny.n - i)
+), e AS (
+  SELECT x, y FROM l UNION SELECT y, x FROM l
+), r AS (
+  SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), c AS (
+  SELECT x, min(y) AS y FROM r GROUP BY x
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
+"""

@@ -11,7 +11,7 @@ from .chat import OP7_SQL, op7_chat_rotation
 from .decontamination import op10_decontamination
 from .line_dedup import op9_line_dedup
 from .lm_score import op3_lm_score
-from .ngram_join import op6_ngram_join
+from .ngram_join import OP6_SQL, op6_ngram_join
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op5_sharding
 from .token_counts import op4_token_counts
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op7_chat_rotation": OP7_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op6_ngram_join": OP6_SQL, "op7_chat_rotation": OP7_SQL}
