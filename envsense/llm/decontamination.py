@@ -1,11 +1,8 @@
 """Operator 10: documents that hold test items, copied or edited.
 
-The n-grams of the test items are counted in all documents first. Seeds are the n-grams that are rare for
-their item: in at most 8 documents, or in at most 8 times as many as the item's median n-gram. A leaked
-item's n-grams may all be frequent, and those that edits leave alone more so than others; they are seeds
-all the same, while chains of common words are not. An item has 8 seeds at least. Places where a document shares a seed with an item are joined map-side, grouped by diagonal, and
-the item is aligned with the stretch around each group by Smith-Waterman; the best score of a document
-and item, as a share of a perfect match, decides.
+All n-grams of an item are seeds, however many documents hold them. Places where a document shares a seed
+with an item are joined map-side, grouped by diagonal, and the item is aligned with the stretch around each
+group by Smith-Waterman; the best score of a document and item, as a share of a perfect match, decides.
 
 The test items are the query set. They are read in blocks of bounded size, and each block is broadcast,
 so any number of items works, with one pass over the documents for each block.
@@ -79,23 +76,8 @@ def _matches(items: Items, bits: np.ndarray, texts: pa.Array, n: int):
     return words, h, at[same], row[same], text[same]
 
 
-def _gram_counter(block, n: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = block.value
-        bits = items.filter()
-        total = np.zeros(len(items.grams), np.int64)
-        for _, part in (x for batch in batches for x in textkit.slices(batch.column(0))):
-            _, _, _, row, text = _matches(items, bits, part, n)
-            seen = np.unique(np.stack([text, row]), axis=1)
-            total += np.bincount(seen[1], minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["row", "docs"])
-
-    return count
-
-
 def choose_seeds(items: Items, docs_with: np.ndarray, least: int = LEAST_SEEDS) -> Items:
-    """The items with their seeds only. Equal n-grams share the count of the first of them."""
+    """The items with their rarest n-grams only. Not used by the operator: what edits leave of an item may be what is frequent."""
     if not len(items.grams):
         return items
     same = np.searchsorted(items.grams, items.grams)
@@ -200,19 +182,14 @@ def _leaks(items: Items, bits: np.ndarray, texts: pa.Array, n: int, least_score:
 
 
 def blocks_of(benchmark: DataFrame, docs: DataFrame, *, item_id: str, item_text: str, text: str, n: int, block_bytes: int):
-    """The items in blocks of bounded size, each with its seeds, as broadcasts."""
+    """The items in blocks of bounded size, all their n-grams seeds, as broadcasts."""
     sc = docs.sparkSession.sparkContext
     rows = benchmark.select(column(item_id).cast("long").alias("id"), column(item_text).cast("string").alias("text")).where("id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     for k in range(n_blocks):
         mine = sorted(map(tuple, rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).collect()))
-        items = index_items([r[0] for r in mine], [r[1] for r in mine], n)
-        counted = docs.select(column(text).cast("string").alias("text")).mapInArrow(_gram_counter(sc.broadcast(items), n), "row long, docs long")
-        docs_with = np.zeros(len(items.grams), np.int64)
-        for row, docs_ in counted.groupBy("row").agg(F.sum("docs")).collect():  # n-grams of one block at most
-            docs_with[row] = docs_
-        yield sc.broadcast(choose_seeds(items, docs_with))
+        yield sc.broadcast(index_items([r[0] for r in mine], [r[1] for r in mine], n))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, least_score: float = LEAST_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -70,3 +70,12 @@ def test_leaked_everywhere_still_has_seeds():
     assert len(common.grams) == 8  # seven are rare, eight are the least
     t, i, score, _ = D.find(chosen, chosen.filter(), pa.array(["x a b c d e f g h i j k l y"]), 4)
     assert (t.tolist(), i.tolist(), score.tolist()) == ([0], [0], [24])
+
+
+def test_one_edited_passage_in_hundreds_of_documents(spark):
+    words = [f"w{k}" for k in range(40)]
+    edited = " ".join("other" if k % 5 == 4 else x for k, x in enumerate(words))
+    docs = spark.createDataFrame([(d, f"before{d} {edited} after{d}") for d in range(300)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.leaks(docs, items).collect()) == list(range(300))
+    assert D.without_leaks(docs, items).count() == 0
