@@ -1,8 +1,14 @@
 """Operator 10: documents that hold test items, copied or edited.
 
-All n-grams of an item are seeds, however many documents hold them. Places where a document shares a seed
-with an item are joined map-side, grouped by diagonal, and the item is aligned with the stretch around each
-group by Smith-Waterman; the best score of a document and item, as a share of a perfect match, decides.
+Seeds are pairs of words of an item that are neighbours or have one word between them, looked for in the
+documents in the same two forms; all are seeds, however many documents hold them. They miss nothing: an
+alignment with m matches over an item of w words that scores at least s = max(w, 16) has errors of 2m - s
+at most, which leave at least s / 2 - 1 steps from one match to the next with one error or none, and each
+such step is a shared pair at its own word of the document. Where so many lie within the 2w words that an
+alignment can span (w or fewer matches, w or fewer errors), the item is aligned with that stretch by
+Smith-Waterman; the best score of a document and item, as a share of a perfect match, decides. Items of
+8 words or fewer must match whole. With ``n`` above 2 seeds are n neighbouring words, one is enough, and
+edits that leave no n words together are missed.
 
 The test items are the query set. They are read in blocks of bounded size, and each block is broadcast,
 so any number of items works, with one pass over the documents for each block.
@@ -22,7 +28,7 @@ from . import textkit
 from .common import column
 
 #: Words of a seed; least seeds of an item; documents of a rare n-gram, and times the item's median; share of a perfect score that is contamination; words that must match at least (all words of shorter items).
-SEED_WORDS, LEAST_SEEDS, RARE, LEAST_SCORE, LEAST_MATCHES = 4, 8, 8, 0.5, 8
+SEED_WORDS, LEAST_SEEDS, RARE, LEAST_SCORE, LEAST_MATCHES = 2, 8, 8, 0.5, 8
 #: Fixed values of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Text bytes of the items that are broadcast at a time.
@@ -49,31 +55,64 @@ class Items:
         return bits
 
 
+def _pairs(h: np.ndarray, first: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of words ``gap`` apart within a text, and their first words."""
+    at = np.arange(max(0, len(h) - gap))
+    if gap:
+        ends = np.repeat(first[1:], np.diff(first))
+        at = at[at + gap < ends[at]]
+    return textkit.mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + textkit.mix(h[at + gap] + np.uint64(1))), at
+
+
 def index_items(ids: list, texts: list[str | None], n: int) -> Items:
     words = textkit.Words(pa.array(texts, pa.string()), punctuation=True)
     h = words.hashes()
-    grams = textkit.ngrams(h, n)
-    counts = np.maximum(np.diff(words.first) - n + 1, 0)
-    item = np.repeat(np.arange(len(ids)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    found = grams[words.first[item] + place] if len(item) else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(ids)), np.diff(words.first))
+    if n > 2:
+        grams = textkit.ngrams(h, n)
+        at = np.arange(len(grams))
+        at = at[at + n <= words.first[owner[at] + 1]]
+        found = grams[at]
+    else:
+        found, at = (np.concatenate(x) for x in zip(*(_pairs(h, words.first, gap) for gap in (1, 2))))
+        # A word alone is a pair with itself; one row for a pair of an item is enough.
+        alone = words.first[:-1][np.diff(words.first) == 1]
+        found, at = np.append(found, _pairs(h[alone], np.arange(len(alone) + 1), 0)[0]), np.append(at, alone)
+        _, one = np.unique(np.stack([found, owner[at].astype(np.uint64)]), axis=1, return_index=True)
+        found, at = found[one], at[one]
+    item = owner[at]
     order = np.argsort(found, kind="stable")
-    return Items(np.array(ids, np.int64), h, words.first, found[order], item[order], place[order])
+    return Items(np.array(ids, np.int64), h, words.first, found[order], item[order], (at - words.first[item])[order])
 
 
 def _matches(items: Items, bits: np.ndarray, texts: pa.Array, n: int):
     """words, their hashes, and the places (word, row of its first n-gram in ``items.grams``) of shared n-grams."""
     words = textkit.Words(texts, punctuation=True)
     h = words.hashes()
-    grams = textkit.ngrams(h, n)
-    at = np.flatnonzero(bits[(grams >> np.uint64(44)).astype(np.int64)])
-    text = np.searchsorted(words.first, at, "right") - 1
-    inside = at + n <= words.first[text + 1]
-    at, text = at[inside], text[inside]
-    row = np.searchsorted(items.grams, grams[at])
-    same = row < len(items.grams)
-    same[same] = items.grams[row[same]] == grams[at[same]]
-    return words, h, at[same], row[same], text[same]
+    parts = []
+    alone = bool((np.diff(items.first) == 1).any())
+    for gap in (None,) if n > 2 else (0, 1, 2) if alone else (1, 2):
+        if gap is None:
+            grams = textkit.ngrams(h, n)
+            at = np.arange(len(grams))
+        else:
+            grams, at = _pairs(h, words.first, gap)
+        may = np.flatnonzero(bits[(grams >> np.uint64(44)).astype(np.int64)])
+        grams, at = grams[may], at[may]
+        row = np.searchsorted(items.grams, grams)
+        same = row < len(items.grams)
+        same[same] = items.grams[row[same]] == grams[same]
+        at, row = at[same], row[same]
+        text = np.searchsorted(words.first, at, "right") - 1
+        inside = at + (n if gap is None else 0) <= words.first[text + 1]
+        parts.append((at[inside], row[inside], text[inside]))
+    return words, h, *(np.concatenate(x) for x in zip(*parts))
+
+
+def least_seeds(length: np.ndarray, n: int, least_score: float) -> np.ndarray:
+    """Words of a stretch that begin a seed at least, for items of so many words."""
+    whole = np.maximum(1, length - 1)
+    return np.ones_like(length) if n > 2 else np.where(length <= LEAST_MATCHES, whole, (np.maximum(np.floor(MATCH * least_score * length), 2 * LEAST_MATCHES).astype(np.int64) - 1) // 2)
 
 
 def choose_seeds(items: Items, docs_with: np.ndarray, least: int = LEAST_SEEDS) -> Items:
@@ -114,31 +153,46 @@ def align(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) ->
     return best
 
 
-def find(items: Items, bits: np.ndarray, texts: pa.Array, n: int):
-    """(text, item, score of a perfect match's share, seeds) for each text and item that share a seed."""
+def find(items: Items, bits: np.ndarray, texts: pa.Array, n: int, least_score: float = LEAST_SCORE):
+    """(text, item, best score, seeds) for each text and item with enough seeds together."""
     words, h, at, row, text = _matches(items, bits, texts, n)
     # All items of an n-gram: rows row, row + 1, … of the sorted n-grams.
     more = np.searchsorted(items.grams, items.grams[row], "right") - row
     each = np.repeat(np.arange(len(row)), more)
     rows = row[each] + np.arange(len(each)) - np.repeat(np.cumsum(more) - more, more)
     text, at, item = text[each], at[each], items.item[rows]
-    diagonal = at - items.place[rows]
     if not len(text):
         return (np.empty(0, np.int64),) * 4
-    order = np.lexsort([diagonal, item, text])
-    text, item, diagonal = text[order], item[order], diagonal[order]
+    # One seed for a word and item; texts lie behind each other, so word numbers tell them apart.
+    key = np.unique(item.astype(np.int64) * (len(h) + 1) + at)
+    item, at = key // (len(h) + 1), key % (len(h) + 1)
+    text = np.searchsorted(words.first, at, "right") - 1
     length = np.diff(items.first)
+    # Words that an alignment spans, in lengths of the item.
+    reach = 2 if least_score >= LEAST_SCORE else 3
+    # Seeds of a run of as many as are needed within the words of an alignment.
+    need, held = least_seeds(length[item], n, least_score), np.arange(len(at))
+    last = held + need - 1
+    full = last < len(at)
+    there = np.minimum(last, len(at) - 1)
+    full &= (item[there] == item) & (text[there] == text) & (at[there] - at <= reach * length[item])
+    edge = np.zeros(len(at) + 1, np.int64)
+    np.add.at(edge, held[full], 1)
+    np.add.at(edge, last[full] + 1, -1)
+    good = np.cumsum(edge[:-1]) > 0
+    text, item, at = text[good], item[good], at[good]
+    if not len(text):
+        return (np.empty(0, np.int64),) * 4
     new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[item[1:]] // 2)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > reach * length[item[1:]])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(text)) - 1
-    # A group of seeds over a long stretch is cut into stretches of a few lengths that overlap by one.
+    # A group of seeds over a long stretch is cut into stretches of a few lengths that overlap by what an alignment spans.
     t, i = text[begin], item[begin]
-    slack = length[i] // 2
-    low = np.maximum(diagonal[begin] - slack, words.first[t])
-    high = np.minimum(diagonal[end] + length[i] + slack, words.first[t + 1])
-    step = (STRETCH - 2) * length[i]
-    parts = np.maximum(1, -(-(high - low - 2 * length[i]) // step))
+    low = np.maximum(at[begin] - reach * length[i], words.first[t])
+    high = np.minimum(at[end] + reach * length[i] + 1, words.first[t + 1])
+    step = (STRETCH - reach) * length[i]
+    parts = np.maximum(1, -(-(high - low - reach * length[i]) // step))
     own = np.repeat(np.arange(len(t)), parts)
     nth = np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)
     low, high = low[own] + nth * step[own], np.minimum(high[own], low[own] + nth * step[own] + STRETCH * length[i][own])
@@ -173,7 +227,7 @@ def _leaks(items: Items, bits: np.ndarray, texts: pa.Array, n: int, least_score:
     """text, item, share of a perfect score and seeds of what counts as contamination."""
     parts = [(np.empty(0, np.int64),) * 4]
     for row, part in textkit.slices(texts):
-        text, *rest = find(items, bits, part, n)
+        text, *rest = find(items, bits, part, n, least_score)
         parts.append((text + row, *rest))
     text, item, best, seeds = (np.concatenate(x) for x in zip(*parts))
     length = np.diff(items.first)[item]
@@ -193,10 +247,10 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame, *, item_id: str, item_text:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, least_score: float = LEAST_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, score (share of a perfect match), n_seeds (shared seeds): documents that hold test items.
+    """doc_id, item_id, score (share of a perfect match), n_seeds (words that begin a shared seed, where enough lie together): documents that hold test items.
 
     Words are lowered and free of ASCII punctuation. Null and empty texts hold nothing; items without an
-    id, a text or ``n`` words are not looked for. Items with one id are found each by itself. A document
+    id, a text or a word are not looked for (nor, with ``n`` above 2, those under ``n`` words). Items with one id are found each by itself. A document
     row gives a row for each item that it holds, also with a null or repeated id. Extra columns are not
     read. Empty tables give an empty result. Texts are searched whole, whatever their length.
     """

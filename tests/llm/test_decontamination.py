@@ -79,3 +79,29 @@ def test_one_edited_passage_in_hundreds_of_documents(spark):
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert sorted(r.doc_id for r in D.leaks(docs, items).collect()) == list(range(300))
     assert D.without_leaks(docs, items).count() == 0
+
+
+def test_edits_that_leave_no_long_run(spark):
+    r = random.Random(4)
+    words = [[f"w{i}x{k}" for k in range(n)] for i, n in enumerate((9, 16, 17, 30, 31, 45))]
+    edits = [
+        lambda w: ["new" if k % 4 == 3 else x for k, x in enumerate(w)],
+        lambda w: ["new" if k % 3 == 2 else x for k, x in enumerate(w)],
+        lambda w: [y for k, x in enumerate(w) for y in (["new", x] if k else [x])],  # a word between each two
+        lambda w: [x for k, x in enumerate(w) if k % 4],
+        lambda w: [y for x in w if r.random() > 0.15 for y in ([x, "new"] if r.random() < 0.3 else [x])],
+    ]
+    filler = lambda n: [f"f{r.randrange(50)}" for _ in range(n)]
+    docs = [(10 * i + k, " ".join(filler(20) + edit(w) + filler(40))) for i, w in enumerate(words) for k, edit in enumerate(edits)]
+    items = [(i, " ".join(w)) for i, w in enumerate(words)] + [(90, "one two three"), (91, "only")]
+    docs += [(100, "x one, two three y"), (101, "one two and three"), (102, "the only one"), (103, "lonely")]
+    clean = [(i, s.split()) for i, s in items]
+    want = set()
+    for d, t in docs:
+        for i, w in clean:
+            best = smith_waterman(w, t.replace(",", "").split())
+            if best >= max(len(w), 2 * min(len(w), 8)):
+                want.add((d, i, round(best / 2 / len(w), 6)))
+    assert len(want) > 20 and {(100, 90, 1.0), (102, 91, 1.0)} < want
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id, round(x.score, 6)) for x in got} == want
