@@ -2,8 +2,8 @@
 
 Lines are normalised (A-Z to lower case, runs of blanks to one, trimmed) and hashed. For each host the
 distinct documents that hold a line are counted: exact copies of a text are one document. A line in more
-documents than the limit is boilerplate of that host and is taken out of its documents; a document that
-loses more than half of its words that way is depleted and rejected, as are documents that fail the base
+documents than the limit is boilerplate of that host. It is not cut out of texts; a document that would
+lose more than half of its words that way is depleted and rejected, as are documents that fail the base
 rules. The limit is ``min_docs`` documents or ``max_share`` of the host's documents, whichever is more.
 """
 
