@@ -27,3 +27,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("id", "root")
         if not changed:
             return labels
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (what ``components`` gave for other links) after further links (a, b): only the components that these join are worked on."""
+    a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(ends)
+    moved = roots.join(joined.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return cut(moved.union(joined.join(roots, "id", "left_anti")))
