@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Name of the directory with the public vocabulary files when the package is not importable.
 TOKENIZER_DIR = "/opt/tokenizers"
+#: Seconds between two collections of garbage that ``cut`` asks for at least, and when the last one was.
+COLLECT_EVERY = 10
+_COLLECTED = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +34,8 @@ def vocabulary(name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made and set as the checkpoint directory.
+    It is what the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary folder is made and
+    set as the checkpoint directory, but only on one machine (a local master): elsewhere that is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="envsense-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -51,7 +58,21 @@ def new_dir(spark: SparkSession, kind: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return made
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files, broadcasts and checkpoints of plans that are done with.
+
+    Its cleaner does so when the driver's JVM has collected their objects, by default every half an hour;
+    an operator of many short steps would keep all of them on disk, and the driver's heap would grow, until then.
+    """
+    if time.monotonic() - _COLLECTED[0] > COLLECT_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
 
 
 def free_name(df_or_columns, wanted: str) -> str:

@@ -1,6 +1,6 @@
 """Operator 6: an n-gram Jaccard join by rare-first prefix filtering.
 
-1. Document frequencies of n-grams are counted in a table of hash classes that grows with the input, to 2^24
+1. Document frequencies of n-grams are counted in a table of hash classes that grows with the input, to 2^22
    classes at most. Every n-gram becomes a 64-bit id whose upper bits are its frequency's logarithm, so the
    order of ids is rare-first and the same everywhere; a text's set is its sorted ids. Any order gives the
    same links; rare-first makes few candidates.
@@ -15,8 +15,7 @@
    fall in the other, then the ids are intersected.
 5. Links are joined to components by distributed union-find. Sets that share a prefix id and are still apart
    are then compared by their bitmaps, in blocks, whichever pair of them it is. What could link goes to
-   verification: first a forest of such pairs, then a few for each set and component that are still apart, then
-   all that are left. So no pair stays untested that shares an id, could link and is in two components.
+   verification: first a forest of such pairs, then all that are left and still apart. So no pair stays untested that shares an id, could link and is in two components.
 """
 
 from __future__ import annotations
@@ -37,13 +36,13 @@ from .components import components, extended
 #: Words of an n-gram; least similarity in hundredths.
 WORDS, PERCENT = 5, 75
 #: Text bytes for a class of the frequency table, its least and most bits, parts it is summed in, and bytes of index that one task gets.
-CLASS_BYTES, LEAST_BITS, MOST_BITS, PARTS, RANGE_BYTES = 32, 16, 24, 8, 24 << 20
+CLASS_BYTES, LEAST_BITS, MOST_BITS, PARTS, RANGE_BYTES = 32, 16, 22, 8, 24 << 20
 #: Most bits of the filter that tells which sets are needed for verification (16 MB).
 NEEDED_BITS = 27
 #: Bits of a bitmap for each id at least; pairs of one set that one task looks at; sets, and bytes of bitmaps, of a block that others are compared with.
 ID_BITS, HUB_PAIRS, BLOCK_SETS, BLOCK_BYTES = 4, 512, 2048, 16 << 20
 #: Pairs that a set and a component get in one round after another (see ``_block_comparer``); the last takes all that are left.
-TRIES = (0, 8, None)
+TRIES = (0, None)
 ENTRY = np.dtype([("id", "<u8"), ("key", "<i8"), ("size", "<u4"), ("left", "<u4")])
 
 
