@@ -1,4 +1,4 @@
-"""Thresholds of the detectors. Fixed values, overridable by environment variables ENVSENSE_<NAME>."""
+"""Thresholds of the detectors. Fixed values, overridable by environment variables ENVSENSE_<NAME>, which are read when this module is."""
 
 from __future__ import annotations
 
@@ -36,4 +36,4 @@ class Settings:
         return cls(**given)
 
 
-DEFAULT = Settings()
+DEFAULT = Settings.from_env()

@@ -102,11 +102,11 @@ def stft_features(clips: DataFrame, rate: int, size: int, hop: int) -> DataFrame
     """Flux, centroid variance and spread of short-time spectra, in SQL."""
     bins = frame_spectra(clips, size, hop).withColumn("f", F.col("k") * F.lit(rate / size))
     flux = bins.select("clip_id", (F.col("mag") - F.lag("mag").over(Window.partitionBy("clip_id", "k").orderBy("frame"))).alias("d"))
-    flux = flux.groupBy("clip_id").agg(F.max("d").alias("spectral_flux_max"), F.avg("d").alias("spectral_flux_mean"))
+    flux = flux.groupBy("clip_id").agg(F.max("d").alias("flux_max"), F.avg("d").alias("flux_mean"))
     per = bins.groupBy("clip_id", "frame").agg(F.sum("mag").alias("m"), F.sum(F.col("f") * F.col("mag")).alias("fm"), F.sum(F.col("f") * F.col("f") * F.col("mag")).alias("ffm"))
     per = per.withColumn("centroid", F.col("fm") / (F.col("m") + 1e-10))
     spread = F.sqrt(F.greatest(F.col("ffm") - 2 * F.col("centroid") * F.col("fm") + F.col("centroid") * F.col("centroid") * F.col("m"), F.lit(0.0)) / (F.col("m") + 1e-10))
-    shape = per.withColumn("spread", spread).groupBy("clip_id").agg(F.var_pop("centroid").alias("spectral_centroid_variance"), F.avg("spread").alias("spectral_spread_mean"))
+    shape = per.withColumn("spread", spread).groupBy("clip_id").agg(F.var_pop("centroid").alias("centroid_variance"), F.avg("spread").alias("spread_mean"))
     return flux.join(shape, "clip_id")
 
 

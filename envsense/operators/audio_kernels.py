@@ -62,8 +62,8 @@ def stft_temporal(a: np.ndarray, rate: int, size: int = 2048, hop: int = 512):
     centroid = (f * m).sum(axis=0) / weight
     spread = np.sqrt((((f - centroid) ** 2) * m).sum(axis=0) / weight)
     features = {
-        "spectral_flux_max": float(flux.max()), "spectral_flux_mean": float(flux.mean()),
-        "spectral_centroid_variance": float(centroid.var()), "spectral_spread_mean": float(spread.mean()),
+        "flux_max": float(flux.max()), "flux_mean": float(flux.mean()),
+        "centroid_variance": float(centroid.var()), "spread_mean": float(spread.mean()),
     }
     flags = bool(flux.max() > 10), bool(centroid.var() > 1e6)
     return any(flags), _confidence(*zip(flags, (0.6, 0.4))), features, {"num_frames": str(m.shape[1])}
@@ -169,7 +169,7 @@ def filterbank_energy(a: np.ndarray, rate: int, bands: int = 32):
     share = share / (share.sum() + TINY)
     entropy = float(-(share * np.log2(share + TINY)).sum())
     features = {f"band_{k}_energy_db": float(e) for k, e in enumerate(energy)}
-    features |= {"max_band_energy_db": float(energy.max()), "max_band_index": float(energy.argmax()), "spectral_entropy": entropy}
+    features |= {"max_band_energy_db": float(energy.max()), "max_band_index": float(energy.argmax()), "band_entropy": entropy}
     flags = entropy < 3.0, bool(energy.max() > -30)
     return any(flags), _confidence(*zip(flags, (0.4, 0.6))), features, {"num_bands": str(bands)}
 

@@ -12,9 +12,10 @@ AXES = "xyz"
 LEAST_FLOAT = 1.401298464324817e-45
 #: The wizard's states in order.
 STEPS = (
-    "INTRO", "MAG_ROTATE_X_POS", "MAG_ROTATE_X_NEG", "MAG_ROTATE_Y_POS", "MAG_ROTATE_Y_NEG", "MAG_ROTATE_Z_POS", "MAG_ROTATE_Z_NEG",
-    "MAG_FIGURE_8", "ACCEL_PLACE_FLAT", "CALIBRATE_ACCEL", "GYRO_STATIONARY", "CALIBRATE_GYRO", "VALIDATE", "COMPLETE",
+    "WELCOME", "PREPARE_MAGNETOMETER", "CALIBRATE_MAG_1", "CALIBRATE_MAG_2", "CALIBRATE_MAG_3", "CALIBRATE_MAG_4", "CALIBRATE_MAG_5", "CALIBRATE_MAG_6",
+    "MAG_FIGURE_8", "PREPARE_ACCELEROMETER", "CALIBRATE_ACCEL", "PREPARE_GYROSCOPE", "CALIBRATE_GYRO", "COMPLETED",
 )
+#: Which sensor is fitted when a state is left.
 COMPUTES = {"MAG_FIGURE_8": "magnetometer", "CALIBRATE_ACCEL": "accelerometer", "CALIBRATE_GYRO": "gyroscope"}
 
 
@@ -61,6 +62,6 @@ def with_defaults(devices: DataFrame, calibration: DataFrame, keys: list[str]) -
 
 
 def next_steps(spark) -> DataFrame:
-    """step, next_step, computes: the wizard as a table."""
+    """place, step, computes, next_step: the wizard as a table; the last step stays."""
     rows = spark.createDataFrame([(k, s, COMPUTES.get(s)) for k, s in enumerate(STEPS)], "place int, step string, computes string")
-    return rows.withColumn("next_step", F.lead("step").over(Window.orderBy("place")))
+    return rows.withColumn("next_step", F.coalesce(F.lead("step").over(Window.orderBy("place")), "step"))

@@ -34,9 +34,9 @@ def audio_spike(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return rows.withColumns({"audio_anomaly": loud, "audio_details": F.when(loud, F.struct(F.col("audio_peak").alias("peak"), F.lit("audio_peak_threshold").alias("reason")))})
 
 
-def one_shot(spark: SparkSession, value: float, seed: int = 0, settings: Settings = DEFAULT) -> DataFrame:
-    """One value against 99 samples of N(50, 5) and itself; a fresh filter passes the first value as it is."""
-    noise = spark.range(99).select((50 + 5 * F.randn(seed)).alias("v"))
+def one_shot(spark: SparkSession, value: float, seed: int = 0, settings: Settings = DEFAULT, noise: DataFrame | None = None) -> DataFrame:
+    """One value against 99 samples of N(50, 5), or the one column of ``noise``, and itself; a fresh filter passes the first value as it is."""
+    noise = spark.range(99).select((50 + 5 * F.randn(seed)).alias("v")) if noise is None else noise.toDF("v")
     seen = noise.union(spark.createDataFrame([(float(value),)], "v double"))
     stats = seen.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
     limit = F.col("mean") + settings.sigmas * F.col("std")

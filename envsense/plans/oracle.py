@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..config import DEFAULT as D
 from ..functions.columns import LABELS
 from ..operators.audio import VARIANTS
+from ..operators.calibration import COMPUTES, LEAST_FLOAT, STEPS
 from ..sources.tables import AXES_SQL, CLIPS_SQL, PACKETS_SQL
 from .queries import NOW, RANGE_START, RANGE_STOP
 
@@ -158,7 +159,7 @@ ORACLE: dict[str, str] = {
     "kalman_adaptive": f"WITH RECURSIVE {PACKETS_SQL}, {ADAPTIVE} SELECT device_id, seq, {r('z', 'raw')}, {r('x', 'filtered')}, {r('p', 'p')}, {r('r', 'r')} FROM rec",
     "kalman_3d": f"WITH RECURSIVE {AXES_SQL}, {TRIPLE} SELECT device_id, ts, seq, {r('fx', 'x')}, {r('fy', 'y')}, {r('fz', 'z')}, {r('p', 'p')} FROM rec",
     "ekf_identity": f"WITH RECURSIVE {AXES_SQL}, {TRIPLE} SELECT device_id, ts, seq, {r('fx', 'x')}, {r('fy', 'y')}, {r('fz', 'z')} FROM rec",
-    "filtered_sigma": f"""WITH RECURSIVE {PACKETS_SQL}, {ADAPTIVE}, {sigma('x', 'rec')} SELECT device_id, seq, {r('z', 'raw')}, {r('x', 'filtered')}, n, {ZEROS} FROM s""",
+    "filtered_sigma": f"""WITH RECURSIVE {PACKETS_SQL}, {ADAPTIVE}, {sigma('x', 'rec')} SELECT device_id, seq, {r('z', 'raw')}, {r('x', 'filtered')}, n, {ZEROS}, anomaly FROM s""",
     "orientation": f"""WITH RECURSIVE {AXES_SQL}, {_turn()} SELECT device_id, ts, seq, {r('atan2(2*(q0*q1 + q2*q3), 1 - 2*(q1*q1 + q2*q2))', 'roll')},
         {r('asin(least(greatest(2*(q0*q2 - q3*q1), -1.0::DOUBLE), 1.0::DOUBLE))', 'pitch')}, {r('atan2(2*(q0*q3 + q1*q2), 1 - 2*(q2*q2 + q3*q3))', 'yaw')} FROM rec WHERE k > 0""",
     "fusion_truth_table": f"""SELECT m AS anomaly, a AS audio_anomaly, h AS humanoid, {r('CASE WHEN m THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN a THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN h THEN 0.2::DOUBLE ELSE 0 END', 'correlation_score')},
@@ -206,7 +207,7 @@ ORACLE: dict[str, str] = {
         SELECT clip_id, {r('avg(zcr)', 'zcr_mean')}, {r('stddev_pop(zcr)', 'zcr_std')}, {r('max(zcr)', 'zcr_max')}, avg(zcr) > 0.15::DOUBLE AS high_zcr, stddev_pop(zcr) > 0.05::DOUBLE AS variable_zcr FROM fr GROUP BY clip_id""",
     "client_spectrum": f"""WITH {CLIPS_SQL.replace('unnest(samples) AS v FROM clips', f'unnest(samples) AS v0 FROM clips')}, h AS (SELECT clip_id, i, v0 * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * i / 64)) AS v FROM samples),
         {SPECTRUM.format(0).replace('FROM samples,', 'FROM h,')} SELECT clip_id, {r('arg_max(k, (round(mag, 9), -k)) * 44100.0::DOUBLE / 64', 'peak_frequency')}, {r('max(mag)', 'peak_magnitude')} FROM bins GROUP BY clip_id""",
-    "audio_stft": f"WITH {CLIPS_SQL}, {STFT} SELECT clip_id, {r('fmax', 'spectral_flux_max')}, {r('fmean', 'spectral_flux_mean')}, {r('round(cv, 2)', 'spectral_centroid_variance')}, {r('sp', 'spectral_spread_mean')} FROM flux JOIN shape USING (clip_id)",
+    "audio_stft": f"WITH {CLIPS_SQL}, {STFT} SELECT clip_id, {r('fmax', 'flux_max')}, {r('fmean', 'flux_mean')}, {r('round(cv, 2)', 'centroid_variance')}, {r('sp', 'spread_mean')} FROM flux JOIN shape USING (clip_id)",
     "audio_ensemble_vote": f"""WITH {CLIPS_SQL}, m AS (SELECT clip_id, (clip_id * 7 + k * 5 + label) % 6 AS mark FROM clips, {MADE}),
         v AS (SELECT clip_id, count(*) AS n, count(*) FILTER (mark < 2) AS votes, sum(mark / 5.0::DOUBLE / 6) AS c FROM m WHERE mark <> 5 GROUP BY clip_id)
         SELECT clip_id, n > 0 AND (2 * votes >= n OR c > 0.5::DOUBLE) AS anomaly_detected, {r('c', 'confidence')}, n AS num_variants, votes AS num_anomalies_detected FROM v""",
@@ -225,6 +226,23 @@ ORACLE: dict[str, str] = {
     "scalar_functions": f"""WITH {PACKETS_SQL} SELECT device_id, seq, {EVENT_ID.format('epoch_us(ts) * 1000 + 999')} AS event_id, 'event_' || strftime(ts, '%Y%m%d_%H%M%S') AS calendar_id,
         {r('20 * log10(abs(magnitude) + 1e-10::DOUBLE)', 'db')}, {r('10 * log10(magnitude + 1e-10::DOUBLE)', 'power_db')}, {r('sqrt(magnitude*magnitude + 4*magnitude*magnitude + 4*magnitude*magnitude)', 'norm')},
         {r('least(greatest((seq % 150) / 100.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)', 'progress')}, (seq % 101) < 20 AS low_power, {r('(seq - 100 - 3.5::DOUBLE)', '"offset"')}, CASE WHEN humanoid THEN 3 ELSE 0 END AS label FROM packets""",
+    "packet_errors": f"""WITH c AS (SELECT *, CASE WHEN event_id % 17 = 0 THEN 'INVALID_JSON' WHEN event_id % 13 = 0 THEN 'MISSING_TIMESTAMP' WHEN event_id % 11 = 0 THEN 'MISSING_DEVICE'
+        WHEN event_id % 7 = 0 THEN 'INVALID_AUDIO_PEAK' ELSE '' END AS error FROM events)
+        SELECT event_id AS id, error, CASE WHEN error = '' THEN 'd' || user_id ELSE '' END AS device_id, CASE WHEN error = '' THEN epoch_us(ts) ELSE 0 END AS ts_us,
+        {r("CASE WHEN error <> '' THEN 0.0::DOUBLE WHEN event_id % 5 = 0 THEN -1.0::DOUBLE WHEN event_id % 4 = 0 THEN 0.0::DOUBLE ELSE event_id + 0.25::DOUBLE END", 'magnitude')},
+        {r("CASE WHEN error = '' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END", 'audio_peak')}, false AS humanoid FROM c""",
+    "calibrate_mag_literal": f"""WITH {AXES_SQL}, turned AS (SELECT device_id, {', '.join(f'CASE WHEN device_id % 2 = 0 THEN -{a} ELSE {a} END AS {a}' for a in 'xyz')} FROM axes),
+        fit AS (SELECT device_id, {', '.join(f'min({a}) AS lo_{a}, greatest(max({a}), {LEAST_FLOAT}::DOUBLE) AS hi_{a}' for a in 'xyz')} FROM turned GROUP BY device_id)
+        SELECT device_id, {', '.join([*(r(f'(hi_{a} + lo_{a}) / 2', f'offset_{a}') for a in 'xyz'), *(r(f'CASE WHEN abs(hi_{a} - lo_{a}) > 1e-6::DOUBLE THEN ((hi_x - lo_x) + (hi_y - lo_y) + (hi_z - lo_z)) / 3 / (hi_{a} - lo_{a}) ELSE 1.0::DOUBLE END', f'scale_{a}') for a in 'xyz')])} FROM fit""",
+    "calibrate_gyro": f"WITH {AXES_SQL} SELECT device_id, {r('avg(x)', 'offset_x')}, {r('avg(y)', 'offset_y')}, {r('avg(z)', 'offset_z')} FROM axes GROUP BY device_id",
+    "calibration_wizard": "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}', '{COMPUTES.get(s, '')}', '{STEPS[min(k + 1, len(STEPS) - 1)]}')" for k, s in enumerate(STEPS)) + ") t(place, step, computes, next_step)",
+    "stored_calibrations": f"""WITH {AXES_SQL}, {FIT.format('WHERE device_id % 3 <> 0')} SELECT d.device_id, {', '.join([*(r(f'coalesce(offset_{a}, 0.0::DOUBLE)', f'offset_{a}') for a in 'xyz'), *(r(f'coalesce(scale_{a}, 1.0::DOUBLE)', f'scale_{a}') for a in 'xyz')])},
+        CASE WHEN fit.device_id IS NULL THEN 0 ELSE d.device_id * 1000 END::BIGINT AS timestamp, fit.device_id IS NOT NULL AS calibrated FROM (SELECT DISTINCT device_id FROM axes) d LEFT JOIN fit ON fit.device_id = d.device_id""",
+    "ack_messages": """SELECT user_id AS device_id, '{"type":"ack","timestamp":' || (epoch_us(ts) * 1000) || ',"status":"ok"}' AS message FROM events""",
+    "pcm_samples": f"SELECT event_id AS seq, {r('(event_id % 32768) / 32768.0::DOUBLE', 'a')}, {r('(-(event_id * 3 % 32768) - 1) / 32768.0::DOUBLE', 'b')} FROM events",
+    "session_clock": "SELECT user_id AS device_id, event_id AS seq, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS since FROM events",
+    "one_shot_test": f"""WITH v AS (SELECT value AS v FROM (SELECT * FROM events ORDER BY event_id LIMIT 99) UNION ALL SELECT 95.5::DOUBLE), s AS (SELECT avg(v) AS mean, stddev_pop(v) AS std FROM v)
+        SELECT 95.5::DOUBLE AS raw, 95.5::DOUBLE AS filtered, {r('mean', 'mean')}, {r('std', 'std')}, {r(f'mean + {D.sigmas}::DOUBLE * std', 'threshold')}, {r('(95.5::DOUBLE - mean) / std', 'z_score')}, 95.5::DOUBLE > mean + {D.sigmas}::DOUBLE * std AS anomaly FROM s""",
 }
 
 

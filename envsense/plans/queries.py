@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import columns as C
 from ..operators import audio, calibration, catalog, detect, features, filters, fusion
+from ..sources import packets as parsing
 from ..sources import tables
 
 DEVICE, ORDER = ["device_id"], ["ts", "seq"]
@@ -70,7 +71,7 @@ def filtered_sigma(spark, sf_dir):
     """The detector on the adaptively filtered signal, all packets."""
     filtered = filters.kalman_adaptive(tables.packets(spark, sf_dir), DEVICE, ORDER, "magnitude")
     rows = detect.rolling_sigma(filtered, DEVICE, ORDER, "filtered", zeros=True)
-    return rounded(rows, "device_id", "seq", "raw", "filtered", "n", "mean", "std", "threshold", "z_score")
+    return rounded(rows, "device_id", "seq", "raw", "filtered", "n", "mean", "std", "threshold", "z_score", "anomaly")
 
 
 def ekf_identity(spark, sf_dir):
@@ -206,7 +207,7 @@ def client_spectrum(spark, sf_dir):
 
 def audio_stft(spark, sf_dir):
     out = audio.stft_features(tables.clips(spark, sf_dir), 44_100, 16, 4)
-    return rounded(out.withColumn("spectral_centroid_variance", F.round("spectral_centroid_variance", 2)))
+    return rounded(out.withColumn("centroid_variance", F.round("centroid_variance", 2)))
 
 
 def audio_variants(spark, sf_dir):
@@ -285,12 +286,75 @@ def scalar_functions(spark, sf_dir):
     ))
 
 
+def packet_errors(spark, sf_dir):
+    """Packets as JSON text, some of them malformed or incomplete, parsed and told apart."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, every = F.col("event_id"), lambda n: F.col("event_id") % n == 0
+    text = F.concat(
+        F.when(every(17), F.lit("{oops")).otherwise(F.lit("{")),
+        F.when(every(13), F.lit("")).otherwise(F.concat(F.lit('"timestamp":'), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + 7).cast("string"), F.lit(","))),
+        F.when(every(11), F.lit("")).otherwise(F.concat(F.lit('"device_id":"d'), F.col("user_id").cast("string"), F.lit('",'))),
+        F.when(every(5), F.lit("")).otherwise(F.concat(F.lit('"magnetometer":{"x":1.5'), F.when(every(4), F.lit("")).otherwise(F.concat(F.lit(',"magnitude":'), k.cast("string"), F.lit(".25"))), F.lit("},"))),
+        F.lit('"audio_peak":'), F.when(every(7), F.lit("1.5")).otherwise(F.lit("0.5")), F.lit("}"),
+    )
+    coded = parsing.error_code(parsing.parse_packets(e.select(k.alias("id"), text.alias("value"))))
+    good = parsing.detector_rows(coded.where("error is null").withColumn("bluetooth_devices_count", F.col("id").cast("int")))
+    rows = good.select(F.col("bluetooth_count").cast("long").alias("id"), F.lit("").alias("error"), "device_id", F.unix_micros("ts").alias("ts_us"), F.coalesce("magnitude", F.lit(-1.0)).alias("magnitude"), "audio_peak", "humanoid")
+    bad = coded.where("error is not null").select("id", "error", F.lit("").alias("device_id"), F.lit(0).cast("long").alias("ts_us"), F.lit(0.0).alias("magnitude"), F.lit(0.0).alias("audio_peak"), F.lit(False).alias("humanoid"))
+    return rounded(rows.unionByName(bad))
+
+
+def calibrate_mag_literal(spark, sf_dir):
+    """Extremes of negative axes with the maxima that start at the least positive float."""
+    a = tables.axes(spark, sf_dir).select("device_id", *(F.when(F.col("device_id") % 2 == 0, -F.col(c)).otherwise(F.col(c)).alias(c) for c in "xyz"))
+    return rounded(calibration.fit_magnetometer(a, "device_id", literal=True))
+
+
+def calibrate_gyro(spark, sf_dir):
+    return rounded(calibration.fit_bias(tables.axes(spark, sf_dir), "device_id"))
+
+
+def calibration_wizard(spark, sf_dir):
+    return calibration.next_steps(spark).withColumn("computes", F.coalesce("computes", F.lit("")))
+
+
+def stored_calibrations(spark, sf_dir):
+    """The calibrations of all devices, two thirds of which have one."""
+    a = tables.axes(spark, sf_dir)
+    fit = calibration.fit_magnetometer(a.where("device_id % 3 <> 0"), "device_id").withColumns({"timestamp": F.col("device_id").cast("long") * 1000, "calibrated": F.lit(True)})
+    return rounded(calibration.with_defaults(a.select("device_id").distinct(), fit, DEVICE))
+
+
+def ack_messages(spark, sf_dir):
+    p = tables.packets(spark, sf_dir).select("device_id", (F.unix_micros("ts") * 1000).alias("ts"))
+    return fusion.acks(p)
+
+
+def pcm_samples(spark, sf_dir):
+    p = tables.packets(spark, sf_dir)
+    pcm = p.select("seq", C.pcm_to_float(F.array(F.col("seq") % 32768, -(F.col("seq") * 3 % 32768) - 1)).alias("s"))
+    return rounded(pcm.select("seq", F.col("s")[0].alias("a"), F.col("s")[1].alias("b")))
+
+
+def session_clock(spark, sf_dir):
+    """Microseconds since the device's first packet."""
+    p = tables.packets(spark, sf_dir).select("device_id", "seq", F.unix_micros("ts").alias("us"))
+    return p.select("device_id", "seq", C.relative_time(F.col("us"), "device_id").alias("since"))
+
+
+def one_shot_test(spark, sf_dir):
+    """One value against the first 99 packets' values."""
+    noise = tables.packets(spark, sf_dir).orderBy("seq").limit(99).select("magnitude")
+    return rounded(detect.one_shot(spark, 95.5, noise=noise))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     fused_events, rolling_sigma_raw, rolling_sigma_w20, kalman_1d, kalman_adaptive, kalman_3d, filtered_sigma, ekf_identity, orientation,
     fusion_truth_table, correlate_window, event_clip_join, timeseries_unpivot, timeseries_range, events_list_page, event_lookup, classify_latest,
     realtime_stats, server_counters, packet_sessions, rate_limit_rejects, downsample_last, sync_sensors, calibrate_mag, calibrate_bias,
     calibration_steps, apply_calibration, audio_fft, audio_zcr, client_spectrum, audio_stft, audio_variants, audio_averaged, audio_ensemble,
     audio_ensemble_vote, sensor_features, classification_metrics, confusion, pose_flag, embedding_meanpool, embedding_concat, label_softmax, scalar_functions,
+    packet_errors, calibrate_mag_literal, calibrate_gyro, calibration_wizard, stored_calibrations, ack_messages, pcm_samples, session_clock, one_shot_test,
 )
 
 
