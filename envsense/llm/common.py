@@ -55,10 +55,14 @@ def new_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/envsense-{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    small: rows that are few against the tables they come from; they are dealt anew, to as many partitions as
+    their bytes are worth, so that what reads them runs few tasks, and many where they are many after all.
+    """
     shared_dir(df.sparkSession)
-    made = df.checkpoint(eager=True)
+    made = (df.hint("rebalance") if small else df).checkpoint(eager=True)
     release(df.sparkSession)
     return made
 

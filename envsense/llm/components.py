@@ -16,7 +16,7 @@ from .common import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, root (the smallest id reachable) for every id in a link. Nulls and loops are ignored; no link, no row."""
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    both = cut(pairs.union(pairs.select("b", "a")).toDF("id", "other"))
+    both = cut(pairs.union(pairs.select("b", "a")).toDF("id", "other"), small=True)
     labels = cut(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("root")))
     while True:
         heard = both.join(labels.select(F.col("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near"))
@@ -35,4 +35,4 @@ def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     joined = components(ends)
     moved = roots.join(joined.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-    return cut(moved.union(joined.join(roots, "id", "left_anti")))
+    return cut(moved.union(joined.join(roots, "id", "left_anti")), small=True)

@@ -388,7 +388,7 @@ def _needed_sets(keys: DataFrame, rows: DataFrame, sets: DataFrame, levels, n: i
     A set is sent by the document with the least id of those that have it.
     """
     spark = keys.sparkSession
-    wanted = cut(keys.distinct().join(sets.select("key", "least"), "key"))
+    wanted = cut(keys.distinct().join(sets.select("key", "least"), "key"), small=True)
     size = min(NEEDED_BITS, max(15, (16 * wanted.count()).bit_length()))
     slots = wanted.select(_slot(F.col("key"), F.col("least"), size).alias("slot"))
     maps = slots.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits"))
@@ -533,8 +533,8 @@ def _grouped(docs: DataFrame, extra: list[Column], doc_id: str, text: str, n: in
     groups = made.where("left > 0").groupBy(F.col("b").alias("grp"), F.col("a").alias("key")).agg(F.max("size").alias("size"))
     shared = made.select(F.explode(F.when(F.col("left") == 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct()
     maps = cut(keyed.where("bits is not null").select("key", "bits", "size").join(shared, "key", "left_semi").groupBy("key").agg(F.first("bits").alias("bits"), F.first("size").alias("size")))
-    pairs = cut(_dealt(pairs, maps).mapInArrow(_possible(percent), "a long, b long"))
-    links = cut(_verified(pairs, rows, sets, levels, n, percent))
+    pairs = cut(_dealt(pairs, maps).mapInArrow(_possible(percent), "a long, b long"), small=True)
+    links = cut(_verified(pairs, rows, sets, levels, n, percent), small=True)
     failed = pairs.join(links, ["a", "b"], "left_anti")
     roots = components(links)
     # What the first links have not joined: ids whose sets are in more than one component, under the name of the one with most.
@@ -543,11 +543,11 @@ def _grouped(docs: DataFrame, extra: list[Column], doc_id: str, text: str, n: in
     tops = tops.select("grp", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("salt"))
     units = cut(groups.join(tops, ["grp", "salt"]).select("label", "key").distinct().join(maps, "key"))
     for most in TRIES:
-        apart = cut(_still_apart(units, roots, failed, percent, most))
+        apart = cut(_still_apart(units, roots, failed, percent, most), small=True)
         if apart.isEmpty():
             break
-        good = cut(_verified(apart, rows, sets, levels, n, percent))
-        failed = cut(failed.union(apart.join(good, ["a", "b"], "left_anti")))
+        good = cut(_verified(apart, rows, sets, levels, n, percent), small=True)
+        failed = cut(failed.union(apart.join(good, ["a", "b"], "left_anti")), small=True)
         roots = extended(roots, good)
     named = sets.select("key", "least").join(roots.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     return keyed.drop("bits", "check"), named
