@@ -582,7 +582,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     every = [F.to_json(F.struct(*(column(c).alias(str(k)) for k, c in enumerate(docs.columns))), {"ignoreNullFields": "false"})]
     hashes = [F.xxhash64(F.lit(k), *every) for k in (1, 2)]
-    keyed, named = _grouped(docs, hashes, doc_id, text, n, percent, RANGE_BYTES)
+    keyed, named = _grouped(docs, [h.alias(f"x{k}") for k, h in enumerate(hashes)], doc_id, text, n, percent, RANGE_BYTES)
     members = keyed.where("size > 0").join(named.select("key", "root"), "key")
     stay = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "x0", "x1")).alias("stay")).select("stay.x0", "stay.x1")
     names = []

@@ -2,9 +2,9 @@
 
 Lines are normalised (A-Z to lower case, runs of blanks to one, trimmed) and hashed. For each host the
 distinct documents that hold a line are counted: exact copies of a text are one document. A line in more
-documents than the limit is boilerplate of that host. It is not cut out of texts; a document that would
-lose more than half of its words that way is depleted and rejected, as are documents that fail the base
-rules. The limit is ``min_docs`` documents or ``max_share`` of the host's documents, whichever is more.
+documents than the limit is boilerplate of that host and is removed from its documents (``cleaned_documents``);
+a document that loses more than half of its words that way is depleted and rejected, as are documents that
+fail the base rules. The limit is ``min_docs`` documents or ``max_share`` of the host's documents, whichever is more.
 """
 
 from __future__ import annotations
@@ -81,12 +81,12 @@ def frequent_lines(rows: DataFrame, docs: DataFrame, host: str, min_docs: int, m
     return held.join(sizes, "host").where(F.col("held") > F.col("docs") * F.lit(max_share)).select("host", "line")
 
 
-def judged(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """What ``quality`` returns, and ``row``: a hash of id, host and text."""
+def judged(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, places: bool = False) -> DataFrame:
+    """What ``quality`` returns, and ``row``: a hash of id, host and text; with ``places`` also the 0-based places of the frequent lines, null for none."""
     rows = line_rows(docs, doc_id=doc_id, text=text, host=host)
     frequent = frequent_lines(rows, docs, host, min_docs, max_share)
     lost = rows.join(frequent, ["host", "line"]).groupBy("row", "place").agg(F.first("words").alias("words"))
-    lost = lost.groupBy("row").agg(F.sum("words").cast("long").alias("n_removed"))
+    lost = lost.groupBy("row").agg(F.sum("words").cast("long").alias("n_removed"), *([F.collect_list("place").alias("places")] if places else []))
 
     t = column(text).cast("string")
     words = words_of(F.coalesce(t, F.lit("")))
@@ -110,6 +110,25 @@ def quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host
     return judged(docs, doc_id=doc_id, text=text, host=host, min_docs=min_docs, max_share=max_share).drop("row")
 
 
+def cleaned_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
+    """The documents that the rules keep, with all columns, and their texts without the lines that are frequent on their host.
+
+    What is left of a text are its other lines, in their order, as they were. Null texts and texts without
+    words are rejected; null hosts are one host named ''. Rows that are equal in id, host and text are cleaned
+    alike and all stay. Columns may have any names. An empty table gives an empty result.
+    """
+    names = []
+    for wanted in ("row", "good_row", "good_places"):
+        names.append(free_name([*docs.columns, *names], wanted))
+    row, good_row, good_places = names
+    good = judged(docs, doc_id=doc_id, text=text, host=host, places=True, **limits).where("kept").groupBy("row").agg(F.first("places").alias("places"))
+    given = docs.withColumn(row, F.xxhash64(column(doc_id), F.coalesce(column(host).cast("string"), F.lit("")), column(text).cast("string")))
+    joined = given.join(good.toDF(good_row, good_places), F.col(row) == F.col(good_row))
+    lines = F.split(column(text).cast("string"), "\n")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(good_places)), lambda k: F.get(lines, k)), "\n")
+    return joined.select(*((F.when(F.col(good_places).isNull(), column(c)).otherwise(left) if c == text else column(c)).alias(c) for c in docs.columns))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality rules over all ``documents``; hosts are sources."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))

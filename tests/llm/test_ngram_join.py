@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from envsense.llm import ngram_join as J
 
@@ -69,3 +70,49 @@ def test_overlap_and_suffix_filter():
         b = np.sort(r.choice(pool, r.integers(200, 400), replace=False))
         i = len(np.intersect1d(a, b))
         assert J.linked(a, b, 75) == (100 * i >= 75 * (len(a) + len(b) - i))
+
+
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(2)
+    pool = r.choice(2**50, 4000, replace=False).astype(np.uint64)
+    for _ in range(200):
+        a, b = (np.sort(r.choice(pool[: r.integers(60, 4000)], r.integers(1, 60), replace=False)) for _ in range(2))
+        if r.random() < 0.3:
+            b = np.concatenate([a, r.choice(pool, 200)])
+        b = np.unique(b)
+        x, y = (np.frombuffer(J.bitmap(s), "<u8") for s in (a, b))
+        differ, common = J.differences(x, y), len(np.intersect1d(a, b))
+        assert differ <= len(a) + len(b) - 2 * common
+        if 100 * common >= 75 * (len(a) + len(b) - common):
+            assert J.may_link(differ, len(a), len(b), 75)
+
+
+def test_pairs_are_verified_once(spark, monkeypatch):
+    seen, verify = [], J._verified
+
+    def counted(pairs, *rest):
+        seen.extend(map(tuple, pairs.select("a", "b").collect()))
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(J, "_verified", counted)
+    J.similar_documents(spark.createDataFrame(corpus(4), "doc_id long, text string")).collect()
+    assert len(seen) == len(set(seen)) > 20 and all(a < b for a, b in seen)
+
+
+def test_one_row_of_each_group(spark):
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(n))
+    base, other, third = text(60), text(60), text(40)
+    near = base + " xx"
+    rows = [(5, base, 1), (3, near, 1), (3, near, 1), (3, near, 2), (3, other, 1), (None, base, 1), (None, third, 1), (None, third, 2), (8, None, 1), (8, None, 1), (9, "", 1), (9, " ", 1), (2, "one two", 1), (1, "ONE two", 1), (1, "One two", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int").withColumn("row_a", F.create_map(F.lit("k"), F.col("gone"))).repartition(3)
+    out = J.one_of_each(docs)
+    assert out.dtypes == docs.dtypes
+    got = sorted(((x.doc_id, x.text, x.gone) for x in out.collect()), key=str)
+    for must in [(3, other, 1), (8, None, 1), (9, "", 1), (9, " ", 1)]:
+        assert got.count(must) == rows.count(must), must
+    groups = [{(3, near, 1), (3, near, 2)}, {(None, third, 1), (None, third, 2)}, {(1, "ONE two", 1), (1, "One two", 1)}]
+    for group in groups:
+        assert sum(got.count(x) for x in group) == 1
+    assert len(got) == 1 + 2 + 2 + 3
+    assert J.one_of_each(docs.limit(0)).count() == 0

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from envsense.llm import quality
@@ -61,3 +62,14 @@ def test_stages_return_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_stages_with_nulls_repeats_and_other_columns(spark, sf_dir):
+    path = sf_dir[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({"gone": F.lit(1), "n_removed": F.lit("x")})
+    odd = docs.limit(3).withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")})
+    docs = docs.union(docs.limit(2)).union(odd).union(docs.limit(2).withColumns({"text": F.lit(None).cast("string")})).union(docs.limit(1).withColumn("text", F.lit("")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.dtypes == docs.dtypes and 0 < out.count() <= docs.count(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == docs.count()

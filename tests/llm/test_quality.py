@@ -42,3 +42,15 @@ def test_against_brute_force(spark, min_docs, max_share):
     got = sorted((tuple(r) for r in quality.quality(docs, min_docs=min_docs, max_share=max_share).collect()), key=str)
     assert got == brute(rows, min_docs, max_share)
     assert quality.quality(docs.limit(0)).count() == 0
+
+
+def test_frequent_lines_are_removed(spark):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(70))
+    docs = [(k, f"Share  THIS page now\n{own(k)}\nshare this page now", "a", k) for k in range(6)] + [(9, f"share this page now\n{own(9)}", "b", 9)]
+    docs += [(20, None, "a", 1), (21, "", "a", 1), (7, f"{own(7)}\n\n  x", None, 1), (0, docs[0][1], "a", 0), (None, f"{own(30)}\nshare this page now", "a", 2)]
+    given = spark.createDataFrame(docs, "doc_id long, text string, source string, good_row int").repartition(3)
+    out = quality.cleaned_documents(given, min_docs=3, max_share=0.0)
+    assert out.dtypes == given.dtypes
+    want = [(k, own(k), "a", k) for k in range(6)] + [docs[6], docs[9], (0, own(0), "a", 0), (None, own(30), "a", 2)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert quality.cleaned_documents(given.limit(0)).count() == 0
