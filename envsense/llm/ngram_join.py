@@ -39,8 +39,8 @@ WORDS, PERCENT = 5, 75
 CLASS_BYTES, LEAST_BITS, MOST_BITS, PARTS, RANGE_BYTES = 32, 16, 22, 8, 24 << 20
 #: Most bits of the filter that tells which sets are needed for verification (16 MB).
 NEEDED_BITS = 27
-#: Bits of a bitmap for each id at least; pairs of one set that one task looks at; sets, and bytes of bitmaps, of a block that others are compared with.
-ID_BITS, HUB_PAIRS, BLOCK_SETS, BLOCK_BYTES = 4, 512, 2048, 16 << 20
+#: Bits of a bitmap for each id at least; pairs of one set that one task looks at; sets, and bytes of bitmaps, of a block that others are compared with; sets of a group that are looked at pair by pair before.
+ID_BITS, HUB_PAIRS, BLOCK_SETS, BLOCK_BYTES, GROUP_SETS = 4, 512, 2048, 16 << 20, 8192
 #: Pairs that a set and a component get in one round after another (see ``_block_comparer``); the last takes all that are left.
 TRIES = (0, None)
 ENTRY = np.dtype([("id", "<u8"), ("key", "<i8"), ("size", "<u4"), ("left", "<u4")])
@@ -362,23 +362,71 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
 
-def _still_apart(units: DataFrame, roots: DataFrame, failed: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs (a, b) to verify: of sets with one label that are in different components. units: label, key, size, bits."""
+def _unit_maker(percent: int):
+    """Rows sorted by group: label and key of the sets that pass the length and positional filters with a set of another component.
+
+    Of groups above ``GROUP_SETS`` all sets are given: the bitmaps tell them apart.
+    """
+
+    def units(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        _, label, root, key, size, left = (np.concatenate(x) for x in zip(*rows))
+        good = np.ones(len(key), bool)
+        if len(key) <= GROUP_SETS:
+            for low in range(0, len(key), 512):
+                x, l = size[low : low + 512, None], left[low : low + 512, None]
+                short, long = np.minimum(x, size), np.maximum(x, size)
+                near = (100 * short >= percent * long) & (np.minimum(l, left) >= overlap_needed(x, size, percent)) & (root[low : low + 512, None] != root)
+                good[low : low + 512] = near.any(axis=1)
+        return label[good], key[good]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            at = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+            for part in zip(*(np.split(r, at) for r in rows)):
+                if held and held[0][0][0] != part[0][0]:
+                    found.append(units(held))
+                    held = []
+                held.append(part)
+            if len(found) > 10_000:
+                yield _pairs_once(found)
+                found = []
+        if held:
+            found.append(units(held))
+        if found:
+            yield _pairs_once(found)
+
+    return make
+
+
+def _pairs_once(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], names=["label", "key"])
+
+
+def _still_apart(units: DataFrame, maps: DataFrame, roots: DataFrame, failed: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) to verify: of sets with one label that are in different components. units: label, key; maps: key, size, bits.
+
+    All is decided without the bitmaps; they are joined to what is compared.
+    """
     of = roots.select(F.col("id").alias("key"), "root")
     rows = units.join(of, "key", "left").withColumn("root", F.coalesce("root", "key"))
     tops = roots.select(F.col("id").alias("label"), F.col("root").alias("top"))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("bits").cast("long")).alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("ids") * ID_BITS / (8 * BLOCK_BYTES)))
     sizes = sizes.join(tops, "label", "left").select("label", F.coalesce("top", "label").alias("top"), blocks.alias("blocks"))
     rows = rows.join(sizes, "label")
     none = F.lit(None).cast("long")
-    own = rows.select("label", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), F.lit(0).alias("role"), "key", none.alias("bad"), "root", "size", "top", "bits")
+    own = rows.select("label", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), F.lit(0).alias("role"), "key", none.alias("bad"), "root", "top")
     guests = rows.where("root <> top")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    others = guests.select("label", every, F.lit(1).alias("role"), "key", none.alias("bad"), "root", "size", "top", "bits")
+    others = guests.select("label", every, F.lit(1).alias("role"), "key", none.alias("bad"), "root", "top")
+    placed = own.union(others).join(maps, "key").select("label", "block", "role", "key", "bad", "root", "size", "top", "bits")
     vain = guests.select("label", "key", "blocks").join(failed.union(failed.select("b", "a")).toDF("key", "bad"), "key")
     vain = vain.select("label", F.pmod(F.xxhash64("bad"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), "key", "bad", none, none, none, F.lit(None).cast("binary"))
-    placed = own.union(others).union(vain).repartition("label", "block").sortWithinPartitions("label", "block", "role", "key", F.col("bad").asc_nulls_first())
+    placed = placed.union(vain).repartition("label", "block").sortWithinPartitions("label", "block", "role", "key", F.col("bad").asc_nulls_first())
     return placed.mapInArrow(_block_comparer(percent, most), "a long, b long").distinct()
 
 
@@ -530,7 +578,7 @@ def _grouped(docs: DataFrame, extra: list[Column], doc_id: str, text: str, n: in
     index = texts.mapInArrow(_prefix_maker(levels, n, percent, n_ranges), "rng int, entries binary").repartitionById(n_ranges, F.col("rng"))
     made = cut(index.mapInArrow(_pair_maker(percent), PAIR_SCHEMA))
     pairs = made.where("left = 0").select("a", "b").distinct()
-    groups = made.where("left > 0").groupBy(F.col("b").alias("grp"), F.col("a").alias("key")).agg(F.max("size").alias("size"))
+    groups = made.where("left > 0").groupBy(F.col("b").alias("grp"), F.col("a").alias("key")).agg(F.max("size").alias("size"), F.max("left").alias("left"))
     shared = made.select(F.explode(F.when(F.col("left") == 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct()
     maps = cut(keyed.where("bits is not null").select("key", "bits", "size").join(shared, "key", "left_semi").groupBy("key").agg(F.first("bits").alias("bits"), F.first("size").alias("size")))
     pairs = cut(_dealt(pairs, maps).mapInArrow(_possible(percent), "a long, b long"), small=True)
@@ -541,9 +589,11 @@ def _grouped(docs: DataFrame, extra: list[Column], doc_id: str, text: str, n: in
     groups = groups.join(roots.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(8)))
     tops = groups.groupBy("grp", "root").count().groupBy("grp").agg(F.max_by("root", "count").alias("label"), F.count("*").alias("roots")).where("roots > 1")
     tops = tops.select("grp", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("salt"))
-    units = cut(groups.join(tops, ["grp", "salt"]).select("label", "key").distinct().join(maps, "key"))
+    mixed = groups.join(tops, ["grp", "salt"]).select("grp", "label", "root", "key", "size", "left").repartition("grp").sortWithinPartitions("grp")
+    units = mixed.mapInArrow(_unit_maker(percent), "label long, key long").distinct()
+    units = cut(units.join(maps.select("key", "size"), "key").select("label", "key", "size"), small=True)
     for most in TRIES:
-        apart = cut(_still_apart(units, roots, failed, percent, most), small=True)
+        apart = cut(_still_apart(units, maps, roots, failed, percent, most), small=True)
         if apart.isEmpty():
             break
         good = cut(_verified(apart, rows, sets, levels, n, percent), small=True)
