@@ -16,8 +16,8 @@ from pyspark.sql.types import StructType
 
 from .common import column, new_dir
 
-#: Text bytes of a bucket, and the most buckets there are (their counts are broadcast: 2 MB at most).
-BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 65_536
+#: Text bytes of a bucket, and the most buckets there are (their counts are broadcast: 24 MB at most); beyond 4 TB buckets grow, to 100 MB at 100 TB.
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 1 << 20
 
 
 def scatter(docs: DataFrame, n_buckets: int, seed: int, doc_id: str = "doc_id") -> DataFrame:
@@ -35,7 +35,9 @@ def write_shards(docs: DataFrame, path: str, n_shards: int, *, seed: int = 0, do
 
     Every record is written once, whatever it holds: nulls, empty or very long texts (a bucket holds
     whole records, so it is at least as large as its largest), repeated rows, clashing column names.
-    An empty table gives no records. The order is fixed by seed, partitions and rows of the input. Returns the schema to read the files with.
+    An empty table gives no records. The buckets are fixed by seed, partitions and rows of the input, which is read
+    twice and must give the same rows in the same partitions again, as files do (write other inputs to a table first); the
+    order in a bucket also follows how its rows arrive. Returns the schema to read the files with.
     """
     size = F.coalesce(F.octet_length(column(text)), F.lit(0)) + 64
     total, rows = docs.agg(F.sum(size.cast("long")), F.count("*")).first()
