@@ -7,8 +7,8 @@ operations, looks them up, and folds the merges over the distinct words it does
 at once; it keeps them in a bounded table. Decoding concatenates the binary pieces of the ids.
 
 The higher-order functions alone take 170 microseconds of a core for a word, the joint fold of a worker
-2.6, so only the first tier goes through them; the two agree word by word (see the tests). Texts with
-characters beyond U+01FF are cut by the library, whose Unicode version then decides.
+2.6, so only the first tier goes through them; the two agree word by word (see the tests). The classes of
+characters are the library's, so its Unicode version decides where texts are cut.
 """
 
 from __future__ import annotations
@@ -45,32 +45,28 @@ def frequent_words(docs: DataFrame, text: str, tokens: list[bytes], *, sample_do
 
 
 class Backend:
-    """Encodes what a table misses: words by merges, texts beyond plain characters by the library's cuts."""
+    """Encodes what a table misses, by merges; the library says which class a character is of."""
 
     special = None
 
     def __init__(self, tokens: list[bytes]):
-        import regex
+        import tiktoken
 
         self.merger = merges.Merger(tokens)
-        self.kinds = np.full(0x200, pieces.SPACE, np.uint8)
-        for c in range(0x200):
-            for kind, other in ((pieces.LETTER, r"\p{L}"), (pieces.NUMBER, r"\p{N}"), (pieces.OTHER, r"[^\s\p{L}\p{N}]")):
-                if regex.fullmatch(other, chr(c)):
-                    self.kinds[c] = kind
-        self._library = None
+        # An encoding keeps what its pattern matches.
+        kept = lambda pattern: tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        self.of_class = [(pieces.LETTER, kept(r"\p{L}")), (pieces.NUMBER, kept(r"\p{N}")), (pieces.OTHER, kept(r"[^\s\p{L}\p{N}]"))]
+
+    def classes(self, chars: list[str]) -> np.ndarray:
+        found = np.full(len(chars), pieces.SPACE, np.uint8)
+        for kind, encoding in self.of_class:
+            of = set(encoding.decode(encoding.encode_ordinary("".join(chars))))
+            found[[k for k, c in enumerate(chars) if c in of]] = kind
+        return found
 
     def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self.merger.encode(words)
 
-    def texts(self, texts: list[str]) -> list[list[int]]:
-        if self._library is None:
-            import tiktoken
-
-            self._library = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.merger.rank, special_tokens={})
-        return [self._library.encode_ordinary(t) for t in texts]
-
-
 class Decoder:
     """Ids to bytes."""
 

@@ -5,8 +5,9 @@ ids of a text are the concatenated ids of its pieces. Here the cuts of a whole b
 with array operations on its UTF-8 bytes, each piece is looked up in a hash table by its exact bytes, and
 the library encodes only what the table misses.
 
-That holds for *plain* texts: characters up to U+01FF, whose classes (letter, number, white space, other)
-are asked of the library itself, and no special string. Other texts go to the library as they are.
+Where a text is cut depends on the classes of its characters (letter, number, white space, other), which are
+asked of the library itself, for each character when it is first met. Texts with a special string go to
+the library as they are.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ SPECIAL = b"<|endoftext|>"
 #: What may follow an apostrophe as one piece with it.
 SUFFIX_1, SUFFIX_2 = b"stmd", (b"re", b"ve", b"ll")
 LETTER, NUMBER, OTHER, SPACE = range(4)
-#: First byte of the first character that is not plain.
-NOT_PLAIN = 0xC8
+#: Class of a character that was not met yet, and how many code points there are.
+UNKNOWN, CODE_POINTS = 255, 0x110000
 #: Longest piece that a table holds; longer ones are encoded each time.
 LONGEST = 23
 #: Bytes of text that are worked on at a time.
@@ -41,25 +42,37 @@ def library(vocabulary_json: str):
     return Tokenizer.from_str(vocabulary_json)
 
 
-def classes(tokenizer) -> np.ndarray:
-    """Class of each character up to U+01FF, as the library's pre-tokenizer has it."""
-    cut = tokenizer.pre_tokenizer.pre_tokenize_str
-    found = np.full(0x200, SPACE, np.uint8)
-    for c in range(0x200):
-        for kind, other in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
-            if len(cut(other + chr(c))) == 1:
-                found[c] = kind
+def classes(tokenizer, chars: list[str]) -> np.ndarray:
+    """Class of each character, as the library's pre-tokenizer has it: with what it stays in one piece."""
+    found = np.full(len(chars), SPACE, np.uint8)
+    for kind, other in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+        begins = {at for _, (at, _) in tokenizer.pre_tokenizer.pre_tokenize_str("".join(f"\n{other}{c}" for c in chars))}
+        found[[k for k in range(len(chars)) if 3 * k + 2 not in begins]] = kind
     return found
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, widths and code points of the characters of two bytes or more."""
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead].astype(np.int64)
+    width = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & (0x7F >> width)
+    for k in range(1, 4):
+        more = width > k
+        code[more] = code[more] << 6 | (data[lead[more] + k] & 0x3F)
+    return lead, width, code
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Where the pieces of the plain texts data[offsets[d]:offsets[d + 1]] begin."""
+    """Where the pieces of the texts data[offsets[d]:offsets[d + 1]] begin; kinds: the classes by code point."""
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64)
     kind = kinds[np.minimum(data, 0x7F)]
-    lead = np.flatnonzero(data >= 0xC0)
-    kind[lead] = kind[lead + 1] = kinds[((data[lead].astype(np.int64) & 0x1F) << 6) | (data[lead + 1] & 0x3F)]
+    lead, width, code = characters(data)
+    for k in range(4):
+        wide = width > k
+        kind[lead[wide] + k] = kinds[code[wide]]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     start = np.empty(n, bool)
@@ -69,7 +82,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> np.ndarray
     runs = np.flatnonzero(start)
     after = runs[(kind[runs] != SPACE) & ~edge[runs]]
     after = after[kind[after - 1] == SPACE]  # runs that follow white space in their text
-    last = after - np.where(data[after - 1] < 0x80, 1, 2)
+    last = after - np.where(data[after - 1] < 0x80, 1, np.where(data[after - 2] >= 0xC0, 2, np.where(data[after - 3] >= 0xC0, 3, 4)))
     start[last] = True
     joined = after[data[after - 1] == 0x20]
     start[joined] = False
@@ -186,7 +199,9 @@ class Library:
 
     def __init__(self, vocabulary_json: str):
         self.tokenizer = library(vocabulary_json)
-        self.kinds = classes(self.tokenizer)
+
+    def classes(self, chars: list[str]) -> np.ndarray:
+        return classes(self.tokenizer, chars)
 
     def texts(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -206,7 +221,8 @@ class Encoder:
     """
 
     def __init__(self, backend, bits: int = 22, first: tuple[Table, np.ndarray] | None = None, known: dict[bytes, list[int]] | None = None, track: bool = False):
-        self.backend, self.kinds = backend, backend.kinds
+        self.backend, self.kinds = backend, np.full(CODE_POINTS, UNKNOWN, np.uint8)
+        self.kinds[:0x80] = backend.classes(list(map(chr, range(0x80))))
         self.bits, self.first = bits, first
         self.known = {p: ids for p, ids in (known or {}).items() if len(p) <= LONGEST}
         self._anew()
@@ -266,6 +282,10 @@ class Encoder:
         """Number of ids of each text, and all ids."""
         padded = np.zeros(len(data) + 32, np.uint8)
         padded[: len(data)] = data
+        codes = np.unique(characters(data)[2])
+        codes = codes[self.kinds[codes] == UNKNOWN]
+        if len(codes):
+            self.kinds[codes] = self.backend.classes(list(map(chr, codes.tolist())))
         starts = cuts(data, offsets, self.kinds)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         keys = Keys(padded, starts, ends - starts)
@@ -304,9 +324,7 @@ class Encoder:
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.empty(0, np.uint8)
-        odd = np.flatnonzero(data[offsets[0] :] >= NOT_PLAIN) + offsets[0]
         slow = np.zeros(len(texts), bool)
-        slow[np.searchsorted(offsets, odd, "right") - 1] = True
         at, whole = -1, data[offsets[0] :].tobytes() if self.backend.special else b""
         while self.backend.special and (at := whole.find(self.backend.special, at + 1)) >= 0:
             slow[np.searchsorted(offsets, at + offsets[0], "right") - 1] = True
@@ -336,16 +354,19 @@ class Encoder:
         return counts, (np.concatenate(parts) if parts else np.empty(0, np.uint32)) if want_ids else None
 
     def _long(self, data: np.ndarray, a: int, b: int) -> list[int]:
-        """Where to cut a long text: at single spaces between letters."""
+        """Where to cut a long text: at single spaces between letters, or before an ideographic full stop after a letter."""
         found, step = [a], STRIDE // 2
         at = a + step
         letter = np.zeros(256, bool)
         letter[65:91] = letter[97:123] = True
         while at < b - step:
             here = data[at : min(at + step, b)]
-            good = np.flatnonzero((here[1:-1] == 0x20) & letter[here[:-2]] & letter[here[2:]])
+            good = np.flatnonzero((here[1:-1] == 0x20) & letter[here[:-2]] & letter[here[2:]]) + 1
+            if not len(good) and len(here) > 6:  # U+3002 after one of U+5000 to U+8FFF, all of them letters
+                stop = (here[3:-2] == 0xE3) & (here[4:-1] == 0x80) & (here[5:] == 0x82)
+                good = np.flatnonzero(stop & (here[:-5] >= 0xE5) & (here[:-5] <= 0xE8)) + 3
             if len(good):
-                found.append(at + int(good[0]) + 1)
+                found.append(at + int(good[0]))
                 at = found[-1] + step
             else:
                 at += step

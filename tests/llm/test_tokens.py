@@ -72,3 +72,37 @@ def test_long_text_is_cut_and_whole(encoder, monkeypatch):
     text = "some words here, and  there 's more\n" * 50
     n, ids = encoder.encode(pa.array([text, "a"]))
     assert ids[: n[0]].tolist() == encoder.backend.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+WIDE = st.sampled_from(list("ab s1'.\n\u00a0\u0301\u0391\u0416\u05d0\u0661\u0e01\u0e31\u1680\u2003\u2028\u3000\u3002\u4e00\u6f22\u8fff\uac00\uff11\U0001f600\U0001f469\u200d\U00020000\U0001d7d8\u0378")) | st.characters(codec="utf-8")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(WIDE, max_size=40), max_size=5))
+def test_texts_of_any_script(vocabulary_json, encoder, by_ranks, texts):
+    n, ids = encoder.encode(pa.array(texts, pa.string()))
+    want = [expected(vocabulary_json, t) for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [k for w in want for k in w]
+    own, library = by_ranks
+    n, ids = own.encode(pa.array(texts, pa.string()))
+    want = [library.encode_ordinary(t) for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [k for w in want for k in w]
+
+
+@pytest.fixture(scope="module")
+def by_ranks():
+    import tiktoken
+
+    from envsense.llm import bpe, merges
+
+    tokens = merges.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+    return pieces.Encoder(bpe.Backend(tokens), bits=12), library
+
+
+def test_long_texts_without_spaces(vocabulary_json, encoder, monkeypatch):
+    monkeypatch.setattr(pieces, "STRIDE", 1 << 10)
+    texts = ["漢字仮名。" * 900, "漢字" * 2000, "。。漢。 漢" * 700, "é" * 3000]
+    n, ids = encoder.encode(pa.array(texts))
+    want = [expected(vocabulary_json, t) for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [k for w in want for k in w]
