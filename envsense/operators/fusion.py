@@ -32,10 +32,18 @@ def correlate_window(rows: DataFrame, device: str, seconds: str, reach: int, set
 
 
 def event_clips(events: DataFrame, packets: DataFrame, device: str, ts: str, before: str, after: str) -> DataFrame:
-    """Packets in [event - before, event + after] of the same device: event columns as e_*, packet columns as they are."""
+    """Packets in [event - before, event + after] of the same device: event columns as e_*, packet columns as they are.
+
+    Both sides are dealt to stretches of time as long as a clip, an event to all that its clip touches: a device's
+    packets meet the events of their own time only.
+    """
+    length = " + ".join(f"unix_micros(timestamp_seconds(0) + INTERVAL {x})" for x in (before, after))
+    part = lambda at: F.floor(F.unix_micros(at) / F.expr(f"greatest(1, {length})"))
+    low, high = F.col(f"e_{ts}") - F.expr(f"INTERVAL {before}"), F.col(f"e_{ts}") + F.expr(f"INTERVAL {after}")
     e = events.select(*(F.col(c).alias(f"e_{c}") for c in events.columns))
-    near = (F.col(ts) >= F.col(f"e_{ts}") - F.expr(f"INTERVAL {before}")) & (F.col(ts) <= F.col(f"e_{ts}") + F.expr(f"INTERVAL {after}"))
-    return packets.join(e, (F.col(device) == F.col(f"e_{device}")) & near)
+    e = e.withColumn("e__part", F.explode(F.sequence(part(low), part(high))))
+    near = (F.col("_part") == F.col("e__part")) & (F.col(ts) >= low) & (F.col(ts) <= high)
+    return packets.withColumn("_part", part(F.col(ts))).join(e, (F.col(device) == F.col(f"e_{device}")) & near).drop("_part", "e__part")
 
 
 def event_messages(fused: DataFrame) -> DataFrame:
