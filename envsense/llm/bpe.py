@@ -39,8 +39,12 @@ def frequent_words(docs: DataFrame, text: str, tokens: list[bytes], *, sample_do
     sample = docs.where(F.octet_length(col) <= SAMPLE_BYTES).select(col.alias("t")).limit(sample_docs)
     # Only ASCII words: the pattern's classes are the same everywhere for them.
     words = sample.select(F.explode(F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))).alias("word")).where(~F.col("word").rlike("[^\\x00-\\x7f]"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
-    encoded = top.select(F.col("word").cast("binary").alias("word"), merges.SparkMerges(tokens).encode(F.col("word").cast("binary")).alias("ids"))
+    words = words.where(F.char_length("word") <= pieces.LONGEST)  # longer ones are not in the worker's table
+    top = [r.word for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()]
+    if not top:
+        return {}
+    given = docs.sparkSession.createDataFrame([(w,) for w in top], "word string").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    encoded = given.select(F.col("word").cast("binary").alias("word"), merges.SparkMerges(tokens, [w.encode() for w in top]).encode(F.col("word").cast("binary")).alias("ids"))
     return {bytes(r.word): list(r.ids) for r in encoded.collect()}
 
 

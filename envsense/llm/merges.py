@@ -131,9 +131,13 @@ class SparkMerges:
 
     BUCKETS = 4096
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], words: list[bytes] | None = None):
+        """words: the map holds what occurs in them only, as all that merges make of a word does; so the plan stays small."""
         maps: list[dict[str, int]] = [{} for _ in range(self.BUCKETS)]
+        parts = None if words is None else {w[a:b] for w in words for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
         for k, t in enumerate(tokens):
+            if parts is not None and t not in parts:
+                continue
             h = t.hex().upper()
             maps[zlib.crc32(h.encode()) % self.BUCKETS][h] = k
         self.literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")

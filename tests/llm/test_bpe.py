@@ -33,6 +33,8 @@ def test_the_two_folds_agree_with_the_library(spark, tokens, reference):
     df = spark.createDataFrame([(k, w) for k, w in enumerate(words)] + [(-1, None)], "k int, w string")
     spark_ids = {x.k: x.ids for x in df.select("k", merges.SparkMerges(tokens).encode(F.col("w").cast("binary")).alias("ids")).collect()}
     assert spark_ids.pop(-1) is None and [spark_ids[k] for k in range(len(words))] == got
+    few = merges.SparkMerges(tokens, [w.encode() for w in words])
+    assert [x.ids for x in df.where("k >= 0").orderBy("k").select(few.encode(F.col("w").cast("binary")).alias("ids")).collect()] == got
 
 
 def test_round_trip_with_edge_cases(spark, tokens, reference):
