@@ -96,3 +96,10 @@ def column(name: str):
 def let(value, f):
     """f(value) with ``value`` bound to a lambda variable: it is computed once, however often f uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def numbered(df: DataFrame, copies: str, name: str, chunk: int = 100_000) -> DataFrame:
+    """Each row as many times as its column ``copies`` says, numbered from 0 in ``name``; many copies are dealt to several tasks."""
+    last = F.floor((F.col(copies) - 1) / chunk)
+    parts = df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(F.col(name), F.col(copies))
+    return parts.withColumn(name, F.explode(F.sequence(F.col(name) * chunk, F.least(F.col(copies), (F.col(name) + 1) * chunk) - 1)))

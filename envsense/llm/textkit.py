@@ -46,10 +46,10 @@ def slices(texts: pa.Array, most: int = 1 << 22):
 class Words:
     """The words of a column of texts; ``first[d]``:``first[d + 1]`` are those of text d. Null texts have none.
 
-    ``punctuation``: ASCII punctuation separates words too.
+    ``punctuation``: ASCII punctuation separates words too. ``separators``: a table of the bytes that do, instead.
     """
 
-    def __init__(self, texts: pa.Array, punctuation: bool = False):
+    def __init__(self, texts: pa.Array, punctuation: bool = False, separators: np.ndarray | None = None):
         texts = texts.fill_null("").cast(pa.large_string())
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -60,7 +60,7 @@ class Words:
         padded[:n] = _LOWER[data]
         self.data, self.offsets = padded, offsets
         inside = np.zeros(n + 1, bool)
-        np.logical_not((_PUNCTUATION if punctuation else _BLANK)[data], out=inside[:n])
+        np.logical_not((separators if separators is not None else _PUNCTUATION if punctuation else _BLANK)[data], out=inside[:n])
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         before = np.zeros(n + 1, bool)
