@@ -1,7 +1,10 @@
 """Recursive filters over ordered samples of a key, as folds of Spark's higher-order functions.
 
+A key that is too long for one task is split: see ``scans``. ``split`` gives the samples of a chunk; by default the
+samples of the keys are counted, and chunks are used if a key has more than ``scans.LONG``.
+
 A fold carries its state through ``aggregate`` and appends each step's row to an array, in chunks, since
-appending one element copies the array. A matrix state goes through grouped Arrow batches instead.
+appending one element copies the array.
 """
 
 from __future__ import annotations
@@ -12,42 +15,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions import matrix as M
 from ..functions.columns import let
-
-#: Samples that are folded before their rows are appended to the result.
-CHUNK = 256
+from ..shared import cut
+from . import scans
+from .scans import fold
 
 
-def fold(samples: Column, state_type: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Array of the states after each sample; ``step(state, sample)`` gives a struct of ``state_type``.
-
-    Samples are folded in chunks of 256: within a chunk rows are appended to a small array, and the
-    chunks are flattened once, so a key of n samples costs n times a chunk at most, not n squared.
-    """
-    rows = f"array<{state_type}>"
+def _ordered(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """One row a key with its samples in order: struct of the order columns and values."""
+    sample = F.struct(*order, *(c.alias(k) for k, c in values.items()))
+    return scans.together(rows.select(*keys, sample.alias("sample")), *keys).groupBy(*keys).agg(F.array_sort(F.collect_list("sample")).alias("samples"))
 
-    def one(acc, x):
-        return let(step(acc["state"], x), lambda s: F.struct(s.alias("state"), F.concat(acc["rows"], F.array(s)).alias("rows")))
 
-    def chunk(acc, c):
-        part = F.aggregate(F.slice(samples, c * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["state"].alias("state"), F.array().cast(rows).alias("rows")), one)
-        return let(part, lambda p: F.struct(p["state"].alias("state"), F.concat(acc["done"], F.array(p["rows"])).alias("done")))
+PLAIN = "struct<n:int,x_prior:double,x:double,p:double,gain:double>"
 
-    first = F.struct(start.cast(state_type).alias("state"), F.array().cast(f"array<{rows}>").alias("done"))
-    chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(samples), F.lit(1)) - 1) / CHUNK).cast("int"))
-    return F.flatten(F.aggregate(chunks, first, chunk)["done"])
 
+def _series(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], scan, step, first, split: int | None) -> DataFrame:
+    """keys, samples, before: a key's samples in order, or chunks of them if the key is long or ``split`` is given.
 
-def _ordered(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
-    """One row a key with its samples in order: struct of the order columns and values."""
-    sample = F.struct(*order, *(c.alias(k) for k, c in values.items()))
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    before: what the earlier samples come to by ``scan``, whose elements ``step`` and ``first`` make.
+    """
+    if split or scans.is_long(rows, keys):
+        return scans.scanned(scans.chunked(rows, keys, order, values, split or scans.SPLIT), keys, scan, step, first)
+    return _ordered(rows, keys, order, values).withColumn("before", scan.unit)
 
 
-PLAIN = "struct<n:int,x_prior:double,x:double,p:double,gain:double>"
+def _begun(kind: str, fresh: Column, later: Column) -> Column:
+    """State before a chunk: ``later`` where samples came before it."""
+    return F.when(F.col("before.n") == 0, fresh.cast(kind)).otherwise(later.cast(kind))
 
 
-def plain_step(state: Column, z: Column, q: float, r: float, x0: float = 0.0) -> Column:
+def plain_step(state: Column, z: Column, q: float, r: float) -> Column:
     m = state["p"] + F.lit(q)
 
     def update(gain):
@@ -67,20 +66,24 @@ def _start(x0: float = 0.0) -> Column:
     return F.struct(F.lit(0).alias("n"), F.lit(x0).alias("x_prior"), F.lit(x0).alias("x"), F.lit(1.0).alias("p"), F.lit(0.0).alias("gain"))
 
 
-def kalman_1d(rows: DataFrame, keys: list[str], order: list[str], value: str, q: float = 1e-5, r: float = 1e-2, x0: float = 0.0) -> DataFrame:
+def kalman_1d(rows: DataFrame, keys: list[str], order: list[str], value: str, q: float = 1e-5, r: float = 1e-2, x0: float = 0.0, split: int | None = None) -> DataFrame:
     """Constant-noise filter: keys, order, z, x_prior, x, p, gain for each sample that is not null.
 
     The first sample becomes the state as it is, with p = 1 + q.
     """
-    grouped = _ordered(rows.where(F.col(value).isNotNull()), keys, order, {"z": F.col(value)})
-    states = fold(F.transform("samples", lambda s: s["z"]), PLAIN, _start(x0), lambda s, z: plain_step(s, z, q, r))
+    present = rows.where(F.col(value).isNotNull())
+    grouped = _series(present, keys, order, {"z": F.col(value)}, scans.gaussian(1), lambda s: scans.gaussian_step([s["z"]], q, F.lit(r)), lambda s: scans.gaussian_first([s["z"]], 1.0 + q), split)
+    later = F.struct(F.col("before.n").cast("int").alias("n"), F.col("before.b0").alias("x_prior"), F.col("before.b0").alias("x"), F.col("before.c").alias("p"), F.lit(0.0).alias("gain"))
+    states = fold(F.transform("samples", lambda s: s["z"]), PLAIN, _begun(PLAIN, _start(x0), later), lambda s, z: plain_step(s, z, q, r))
     pairs = grouped.select(*keys, F.explode(F.arrays_zip(F.col("samples").alias("s"), states.alias("f"))).alias("e"))
     return pairs.select(*keys, *(F.col(f"e.s.{c}").alias(c) for c in order), F.col("e.s.z").alias("z"), *(F.col(f"e.f.{c}").alias(c) for c in ("x_prior", "x", "p", "gain")))
 
 
-def kalman_3d(rows: DataFrame, keys: list[str], order: list[str], axes: tuple[str, str, str], q: float = 1e-5, r: float = 1e-2) -> DataFrame:
+def kalman_3d(rows: DataFrame, keys: list[str], order: list[str], axes: tuple[str, str, str], q: float = 1e-5, r: float = 1e-2, split: int | None = None) -> DataFrame:
     """Three independent filters in one fold: keys, order, x, y, z (filtered) and the common p."""
-    grouped = _ordered(rows, keys, order, {f"z{k}": F.col(a) for k, a in enumerate(axes)})
+    three = lambda s: [s[f"z{k}"] for k in range(3)]
+    values = {f"z{k}": F.col(a) for k, a in enumerate(axes)}
+    grouped = _series(rows, keys, order, values, scans.gaussian(3), lambda s: scans.gaussian_step(three(s), q, F.lit(r)), lambda s: scans.gaussian_first(three(s), 1.0 + q), split)
     kind = "struct<n:int,a:double,b:double,c:double,p:double>"
 
     def step(s, v):
@@ -93,37 +96,68 @@ def kalman_3d(rows: DataFrame, keys: list[str], order: list[str], axes: tuple[st
 
         return let(m / (m + F.lit(r)), update)
 
-    start = F.struct(F.lit(0).alias("n"), *(F.lit(0.0).alias(c) for c in "abc"), F.lit(1.0).alias("p"))
+    fresh = F.struct(F.lit(0).alias("n"), *(F.lit(0.0).alias(c) for c in "abc"), F.lit(1.0).alias("p"))
+    later = F.struct(F.col("before.n").alias("n"), *(F.col(f"before.b{k}").alias(c) for k, c in enumerate("abc")), F.col("before.c").alias("p"))
+    start = _begun(kind, fresh, later)
     pairs = grouped.select(*keys, F.explode(F.arrays_zip(F.col("samples").alias("s"), fold(F.col("samples"), kind, start, step).alias("f"))).alias("e"))
     return pairs.select(*keys, *(F.col(f"e.s.{c}").alias(c) for c in order), F.col("e.f.a").alias("x"), F.col("e.f.b").alias("y"), F.col("e.f.c").alias("z"), F.col("e.f.p").alias("p"))
 
 
-def kalman_adaptive(rows: DataFrame, keys: list[str], order: list[str], value: str, settings: Settings = DEFAULT) -> DataFrame:
+def kalman_adaptive(rows: DataFrame, keys: list[str], order: list[str], value: str, settings: Settings = DEFAULT, split: int | None = None) -> DataFrame:
     """The adaptive filter: keys, order, raw, filtered, p, r for each sample that is not null.
 
     The noise r moves by ``adapt_alpha`` towards the population variance of the last ten raw samples, the
-    current one included, once there are three; the first sample becomes the state with p = 1. Variances
-    are window aggregates; the recursion alone is folded.
+    current one included, once there are three; the first sample becomes the state with p = 1. The noise is
+    found first; of a key that is not split, variances are window aggregates.
     """
     present = rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - settings.adapt_window, 0)
-    ready = present.withColumn("v_", F.when(F.count(value).over(w) >= 3, F.var_pop(value).over(w)))
-    grouped = _ordered(ready, keys, order, {"z": F.col(value), "v": F.col("v_")})
+    alpha, q = settings.adapt_alpha, settings.kalman_q
+    noise = lambda r, v: F.when(v.isNull(), r).otherwise((1 - alpha) * r + alpha * v)
+    if split or scans.is_long(present, keys):
+        grouped = _split_adaptive(present, keys, order, value, settings, noise, split or scans.SPLIT)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - settings.adapt_window, 0)
+        ready = present.withColumn("v_", F.when(F.count(value).over(w) >= 3, F.var_pop(value).over(w)))
+        grouped = _ordered(ready, keys, order, {"z": F.col(value), "v": F.col("v_")}).withColumns({"r_start": F.lit(settings.kalman_r), "before": scans.gaussian(1).unit})
     kind = "struct<n:int,x:double,p:double,r:double>"
-    alpha = settings.adapt_alpha
 
     def step(s, e):
-        r = F.when(e["v"].isNull(), s["r"]).otherwise((1 - alpha) * s["r"] + alpha * e["v"])
-        m = s["p"] + F.lit(settings.kalman_q)
+        m = s["p"] + F.lit(q)
         update = lambda b: F.struct((s["n"] + 1).alias("n"), (s["x"] + b["g"] * (e["z"] - s["x"])).alias("x"), ((1 - b["g"]) * b["m"]).alias("p"), b["r"].alias("r"))
-        later = let(F.struct(r.alias("r"), m.alias("m")), lambda a: let(F.struct(a["r"].alias("r"), a["m"].alias("m"), (a["m"] / (a["m"] + a["r"])).alias("g")), update))
+        later = let(F.struct(noise(s["r"], e["v"]).alias("r"), m.alias("m")), lambda a: let(F.struct(a["r"].alias("r"), a["m"].alias("m"), (a["m"] / (a["m"] + a["r"])).alias("g")), update))
         return F.when(s["n"] == 0, F.struct(F.lit(1).alias("n"), e["z"].alias("x"), F.lit(1.0).alias("p"), s["r"].alias("r"))).otherwise(later)
 
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("x"), F.lit(1.0).alias("p"), F.lit(settings.kalman_r).alias("r"))
-    pairs = grouped.select(*keys, F.explode(F.arrays_zip(F.col("samples").alias("s"), fold(F.col("samples"), kind, start, step).alias("f"))).alias("e"))
+    fresh = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("x"), F.lit(1.0).alias("p"), F.col("r_start").alias("r"))
+    later = F.struct(F.col("before.n").alias("n"), F.col("before.b0").alias("x"), F.col("before.c").alias("p"), F.col("r_start").alias("r"))
+    pairs = grouped.select(*keys, F.explode(F.arrays_zip(F.col("samples").alias("s"), fold(F.col("samples"), kind, _begun(kind, fresh, later), step).alias("f"))).alias("e"))
     return pairs.select(*keys, *(F.col(f"e.s.{c}").alias(c) for c in order), F.col("e.s.z").alias("raw"), F.col("e.f.x").alias("filtered"), F.col("e.f.p").alias("p"), F.col("e.f.r").alias("r"))
 
 
+def _variance(values: Column) -> Column:
+    """Population variance of an array of three values or more; null of fewer."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    around = lambda a: let(total(a) / F.size(a), lambda m: total(F.transform(a, lambda v: (v - m) * (v - m))) / F.size(a))
+    return let(values, lambda a: F.when(F.size(a) >= 3, around(a)))
+
+
+def _split_adaptive(rows: DataFrame, keys: list[str], order: list[str], value: str, settings: Settings, noise, split: int) -> DataFrame:
+    """keys, samples (z and v), r_start, before, for chunks: three scans, of the last values, of the noise and of the filter."""
+    chunks, most = scans.chunked(rows, keys, order, {"z": F.col(value)}, split), settings.adapt_window
+    one = lambda **c: F.struct(F.lit(1).cast("long").alias("n"), *(x.alias(k) for k, x in c.items()))
+    near = scans.scanned(chunks, keys, scans.last_values(most - 1), lambda s: one(tail=F.array(s["z"])))
+    ends = lambda all_, i: F.slice(all_, F.greatest(F.size("before.tail") + i + 2 - most, F.lit(1)), F.least(F.size("before.tail") + i + 1, F.lit(most)))
+    with_v = lambda all_: F.transform("samples", lambda s, i: F.struct(*(s[c].alias(c) for c in order), s["z"].alias("z"), _variance(ends(all_, i)).alias("v")))
+    ready = cut(near.select(*keys, "block_", let(F.concat("before.tail", F.transform("samples", lambda s: s["z"])), with_v).alias("samples")))
+    alpha = settings.adapt_alpha
+    moves = lambda s: F.when(s["v"].isNull(), one(a=F.lit(1.0), c=F.lit(0.0))).otherwise(one(a=F.lit(1 - alpha), c=alpha * s["v"]))
+    noisy = scans.scanned(ready, keys, scans.affine(), moves)
+    noisy = noisy.withColumn("r_start", F.col("before.a") * F.lit(settings.kalman_r) + F.col("before.c"))
+    levels = fold(F.transform("samples", lambda s: s["v"]), "struct<r:double>", F.struct(F.col("r_start").alias("r")), lambda s, v: F.struct(noise(s["r"], v).alias("r")))
+    joint = F.zip_with("samples", levels, lambda s, r: F.struct(*(s[c].alias(c) for c in order), s["z"].alias("z"), s["v"].alias("v"), r["r"].alias("r")))
+    steps = cut(noisy.select(*keys, "block_", "r_start", joint.alias("samples")))
+    return scans.scanned(steps, keys, scans.gaussian(1), lambda s: scans.gaussian_step([s["z"]], settings.kalman_q, s["r"]), lambda s: scans.gaussian_first([s["z"]], 1.0))
+
+
 def orientation(rows: DataFrame, keys: list[str], order: list[str], beta: float = 0.1) -> DataFrame:
     """Gradient-descent fusion of accelerometer (ax, ay, az) and gyroscope (gx, gy, gz, radians) over dt seconds.
 
@@ -170,35 +204,88 @@ def orientation(rows: DataFrame, keys: list[str], order: list[str], beta: float
     })
 
 
-def matrix_kalman(rows: DataFrame, keys: list[str], order: list[str], values: list[str], transition=None, observe=None, q: float = 1e-5, r: float = 1e-2) -> DataFrame:
+def _riccati_powers(f, h, qs, rs, most: int = 48) -> list[tuple]:
+    """(A, C, J) for 1, 2, 4 ... steps of the covariance: P becomes A (1 + P J)^-1 P A' + C. Ends where P is forgotten."""
+    import numpy as np
+
+    inner = np.linalg.inv(h @ qs @ h.T + rs)
+    left = np.eye(len(f)) - qs @ h.T @ inner @ h
+    a, c, j = left @ f, left @ qs, f.T @ h.T @ inner @ h @ f
+    powers = [(a, c, j)]
+    while len(powers) < most and np.abs(a).max() > 0:
+        w = np.linalg.inv(np.eye(len(f)) + c @ j)
+        a, c, j = a @ w @ a, a @ w @ c @ a.T + c, a.T @ w.T @ j @ a + j
+        powers.append((a, c, j))
+    return powers
+
+
+def _covariance(steps: Column, start, powers: list[tuple]) -> Column:
+    """The covariance ``steps`` steps after the matrix ``start``, by the powers of two in ``steps``."""
+    n = len(start)
+    table = F.array(*(F.struct(F.lit(1 << k).cast("long").alias("bit"), *(M.literal(v).alias(x) for x, v in zip("acj", power))) for k, power in enumerate(powers)))
+
+    def apply(p, t):
+        kept = let(M.inverse(M.combined(M.product(p, t["j"], n), M.literal(M.identity(n))), n), lambda w: M.product(M.product(t["a"], w, n), p, n))
+        return F.when(steps.bitwiseAND(t["bit"]) == 0, p).otherwise(M.combined(M.times_transposed(kept, t["a"]), t["c"]))
+
+    return F.aggregate(table, M.literal(start), apply)
+
+
+def matrix_kalman(
+    rows: DataFrame, keys: list[str], order: list[str], values: list[str], transition=None, observe=None, q: float = 1e-5, r: float = 1e-2, split: int | None = None
+) -> DataFrame:
     """Linear filter with a matrix state: predict with ``transition``, update with ``observe`` (identity by default).
 
-    The first measurement sets the state through the pseudo-inverse of ``observe`` and leaves the
-    covariance. Matrix states go through Arrow batches of one key each. Adds x (array) and trace (of P).
+    The first measurement sets the state through the pseudo-inverse of ``observe``, after a step of the covariance
+    from the identity. Gives keys, order, x (array) and trace (of P). Samples with a null value are left out.
+    Of a key that is split, the covariance before a chunk comes from the number of samples before it.
     """
     import numpy as np
-    import pandas as pd
 
-    n = len(values) if transition is None else len(transition)
+    m = len(values)
+    n = m if transition is None else len(transition)
     f = np.eye(n) if transition is None else np.array(transition, float)
-    h = np.eye(len(values), n) if observe is None else np.array(observe, float)
-    kept = [*keys, *order]
-    fields = {x.name: x.dataType.simpleString() for x in rows.schema}
-    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in kept), "x array<double>", "trace double"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        x, p, started = np.zeros(n), np.eye(n), False
-        states, traces = [], []
-        for z in group[values].to_numpy(float):
-            x, p = f @ x, f @ p @ f.T + q * np.eye(n)
-            if not started:
-                x, started = np.linalg.pinv(h) @ z, True
-            else:
-                gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r * np.eye(len(values)))
-                x, p = x + gain @ (z - h @ x), (np.eye(n) - gain @ h) @ p
-            states.append(x)
-            traces.append(float(np.trace(p)))
-        return group[kept].assign(x=states, trace=traces)
-
-    return rows.select(*kept, *values).groupBy(*keys).applyInPandas(run, schema)
+    h = np.eye(m, n) if observe is None else np.array(observe, float)
+    qs, rs = q * np.eye(n), r * np.eye(m)
+    start_p, guess, none = f @ f.T + qs, np.linalg.pinv(h), [0.0] * n
+    z = lambda s: F.array(*(s[f"z{k}"] for k in range(m)))
+
+    def gained(p, then):
+        """then(gain, h p, p): the gain after a predicted covariance p."""
+        ahead = M.combined(M.times_transposed(M.product(M.literal(f), p, n), M.literal(f)), M.literal(qs))
+
+        def gain(t):
+            spread = M.combined(M.times_transposed(t["hp"], M.literal(h)), M.literal(rs))
+            return let(M.product(M.transpose(t["hp"], n), M.inverse(spread, m), m), lambda k: then(k, t["hp"], t["p"]))
+
+        return let(let(ahead, lambda p: F.struct(p.alias("p"), M.product(M.literal(h), p, n).alias("hp"))), gain)
+
+    def step(s, sample):
+        """State after a sample."""
+        moved = lambda k, x: M.added(x, M.apply(k, M.added(z(sample), M.apply(M.literal(h), x), -1)))
+        later = gained(s["p"], lambda k, hp, p: F.struct((s["n"] + 1).alias("n"), moved(k, M.apply(M.literal(f), s["x"])).alias("x"), M.combined(p, M.product(k, hp, n), -1).alias("p")))
+        begun = F.struct(F.lit(1).cast("long").alias("n"), M.apply(M.literal(guess), z(sample)).alias("x"), M.literal(start_p).alias("p"))
+        return F.when(s["n"] == 0, begun).otherwise(later)
+
+    def step_map(s, sample):
+        """The map x -> a x + b after a sample more, and the covariance."""
+        kept = lambda k: M.combined(M.literal(f), M.product(k, M.literal(h @ f), n), -1)
+        after = lambda k, hp, p: let(kept(k), lambda t: F.struct((s["n"] + 1).alias("n"), M.product(t, s["a"], n).alias("a"), M.added(M.apply(t, s["b"]), M.apply(k, z(sample))).alias("b"), M.combined(p, M.product(k, hp, n), -1).alias("p")))
+        begun = F.struct(F.lit(1).cast("long").alias("n"), M.literal(np.zeros((n, n))).alias("a"), M.apply(M.literal(guess), z(sample)).alias("b"), M.literal(start_p).alias("p"))
+        return F.when(s["n"] == 0, begun).otherwise(gained(s["p"], after))
+
+    present, named = rows.dropna(subset=values), {f"z{k}": F.col(v).cast("double") for k, v in enumerate(values)}
+    kind, square = "struct<n:bigint,x:array<double>,p:array<array<double>>>", "array<array<double>>"
+    if split or scans.is_long(present, keys):
+        size = F.struct(F.size("samples").cast("long").alias("n"))
+        counted = scans.with_prefixes(scans.chunked(present, keys, order, named, split or scans.SPLIT), keys, scans.counts(), F.struct(size.alias("first"), size.alias("later")))
+        p = _covariance(F.greatest(F.col("before.n") - 1, F.lit(0)), start_p, _riccati_powers(f, h, qs, rs))
+        chunks = cut(counted.select(*keys, "block_", "samples", F.col("before.n").alias("n_"), p.alias("p_")))
+        whole = F.struct(F.col("n_").alias("n"), M.literal(M.identity(n)).alias("a"), F.array(*map(F.lit, none)).alias("b"), F.col("p_").alias("p")).cast(f"struct<n:bigint,a:{square},b:array<double>,p:{square}>")
+        maps = let(F.aggregate("samples", whole, step_map), lambda e: F.struct((e["n"] - F.col("n_")).alias("n"), e["a"].alias("a"), e["b"].alias("b")))
+        part = let(maps, lambda e: F.struct(e.alias("first"), e.alias("later")))
+        grouped = scans.with_prefixes(chunks, keys, scans.matrix_affine(n), part).withColumn("start", F.struct(F.col("n_").alias("n"), F.col("before.b").alias("x"), F.col("p_").alias("p")).cast(kind))
+    else:
+        grouped = _ordered(present, keys, order, named).withColumn("start", F.struct(F.lit(0).cast("long").alias("n"), F.array(*map(F.lit, none)).alias("x"), M.literal(start_p).alias("p")).cast(kind))
+    pairs = grouped.select(*keys, F.explode(F.arrays_zip(F.col("samples").alias("s"), fold(F.col("samples"), kind, F.col("start"), step).alias("f"))).alias("e"))
+    return pairs.select(*keys, *(F.col(f"e.s.{c}").alias(c) for c in order), F.col("e.f.x").alias("x"), M.trace(F.col("e.f.p")).alias("trace"))

@@ -68,6 +68,14 @@ TRIPLE = folded(
     "", "SELECT * FROM axes", f"x AS fx, y AS fy, z AS fz, 1.0::DOUBLE + {Q} AS p, ts, seq",
     f"rec.fx + {GAIN} * (o.x - rec.fx), rec.fy + {GAIN} * (o.y - rec.fy), rec.fz + {GAIN} * (o.z - rec.fz), (1 - {GAIN}) * (rec.p + {Q}), o.ts, o.seq",
 )
+VQ, VR = "1e-3::DOUBLE", "0.5::DOUBLE"
+#: The covariance after the step of the state (a b; c d), as SQL over rec.
+V_A, V_B, V_C, V_D = f"(rec.a + 0.1::DOUBLE * (rec.b + rec.c) + 0.01::DOUBLE * rec.d + {VQ})", "(rec.b + 0.1::DOUBLE * rec.d)", "(rec.c + 0.1::DOUBLE * rec.d)", f"(rec.d + {VQ})"
+V_G, V_H, V_Y = f"({V_A} / ({V_A} + {VR}))", f"({V_C} / ({V_A} + {VR}))", "(o.x - rec.x - 0.1::DOUBLE * rec.v)"
+VELOCITY = folded(
+    "", "SELECT * FROM axes", f"x, 0.0::DOUBLE AS v, 1.01::DOUBLE + {VQ} AS a, 0.1::DOUBLE AS b, 0.1::DOUBLE AS c, 1.0::DOUBLE + {VQ} AS d, ts, seq",
+    f"rec.x + 0.1::DOUBLE * rec.v + {V_G} * {V_Y}, rec.v + {V_H} * {V_Y}, (1 - {V_G}) * {V_A}, (1 - {V_G}) * {V_B}, {V_C} - {V_H} * {V_A}, {V_D} - {V_H} * {V_B}, o.ts, o.seq",
+)
 R_NEXT = f"(CASE WHEN o.v IS NULL THEN rec.r ELSE (1 - {D.adapt_alpha}::DOUBLE) * rec.r + {D.adapt_alpha}::DOUBLE * o.v END)"
 A_GAIN = f"((rec.p + {Q}) / (rec.p + {Q} + {R_NEXT}))"
 ADAPTIVE = folded(
@@ -246,5 +254,10 @@ ORACLE: dict[str, str] = {
 }
 
 
+for _name in ("kalman_1d", "kalman_adaptive", "kalman_3d"):
+    ORACLE[f"{_name}_split"] = ORACLE[_name]
+ORACLE["kalman_velocity"] = ORACLE["kalman_velocity_split"] = f"WITH RECURSIVE {AXES_SQL}, {VELOCITY} SELECT device_id, ts, seq, {r('x', 'position')}, {r('v', 'speed')}, {r('a + d', 'trace')} FROM rec"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

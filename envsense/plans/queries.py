@@ -15,6 +15,8 @@ from ..sources import packets as parsing
 from ..sources import tables
 
 DEVICE, ORDER = ["device_id"], ["ts", "seq"]
+#: Samples of a chunk, where a query splits its keys.
+SPLIT = 32
 #: Fixed moments inside the generated tables' time span.
 NOW, RANGE_START, RANGE_STOP = "2024-01-20 12:00:00", "2024-01-10 00:00:00", "2024-01-20 00:00:00"
 
@@ -79,6 +81,33 @@ def ekf_identity(spark, sf_dir):
     return rounded(rows.select("device_id", "ts", "seq", *(F.get("x", F.lit(k)).alias(a) for k, a in enumerate("xyz"))))
 
 
+def kalman_1d_split(spark, sf_dir):
+    """The same as a scan over chunks, as for keys that are too long for a task."""
+    return rounded(filters.kalman_1d(tables.packets(spark, sf_dir), DEVICE, ORDER, "magnitude", split=SPLIT), "device_id", "seq", "x_prior", "x", "p", "gain")
+
+
+def kalman_adaptive_split(spark, sf_dir):
+    return rounded(filters.kalman_adaptive(tables.packets(spark, sf_dir), DEVICE, ORDER, "magnitude", split=SPLIT), "device_id", "seq", "raw", "filtered", "p", "r")
+
+
+def kalman_3d_split(spark, sf_dir):
+    return rounded(filters.kalman_3d(tables.axes(spark, sf_dir), DEVICE, ORDER, ("x", "y", "z"), split=SPLIT), "device_id", "ts", "seq", "x", "y", "z", "p")
+
+
+def _velocity(spark, sf_dir, split=None):
+    """Position and speed from measured positions: a state of two values, one of them observed."""
+    rows = filters.matrix_kalman(tables.axes(spark, sf_dir), DEVICE, ORDER, ["x"], transition=[[1, 0.1], [0, 1]], observe=[[1, 0]], q=1e-3, r=0.5, split=split)
+    return rounded(rows.select("device_id", "ts", "seq", F.get("x", F.lit(0)).alias("position"), F.get("x", F.lit(1)).alias("speed"), "trace"))
+
+
+def kalman_velocity(spark, sf_dir):
+    return _velocity(spark, sf_dir)
+
+
+def kalman_velocity_split(spark, sf_dir):
+    return _velocity(spark, sf_dir, SPLIT)
+
+
 def orientation(spark, sf_dir):
     a = tables.axes(spark, sf_dir)
     rows = a.select("device_id", "ts", "seq", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), (F.col("y") / 1000).alias("gx"), (F.col("x") / 100).alias("gy"), (F.col("z") / 100).alias("gz"), F.lit(0.1).alias("dt"))
@@ -350,6 +379,7 @@ def one_shot_test(spark, sf_dir):
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     fused_events, rolling_sigma_raw, rolling_sigma_w20, kalman_1d, kalman_adaptive, kalman_3d, filtered_sigma, ekf_identity, orientation,
+    kalman_1d_split, kalman_adaptive_split, kalman_3d_split, kalman_velocity, kalman_velocity_split,
     fusion_truth_table, correlate_window, event_clip_join, timeseries_unpivot, timeseries_range, events_list_page, event_lookup, classify_latest,
     realtime_stats, server_counters, packet_sessions, rate_limit_rejects, downsample_last, sync_sensors, calibrate_mag, calibrate_bias,
     calibration_steps, apply_calibration, audio_fft, audio_zcr, client_spectrum, audio_stft, audio_variants, audio_averaged, audio_ensemble,
