@@ -1,18 +1,19 @@
-"""Waveform analysis on DataFrames of clips: SQL forms for short clips, Arrow kernels for any, and the vote.
+"""Waveform analysis on DataFrames of clips: array functions, Arrow kernels, and the vote. Spectra are in ``spectra``.
 
-A clip is (clip_id, sample_rate, samples array<double>). Spectra of short clips are sums over exploded
-samples and bins; kernels run a batch of clips in a Python worker.
+A clip is (clip_id, sample_rate, samples array<double>). Kernels run a batch of clips in a Python worker.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..sources.schema import VARIANT
 from . import audio_kernels
+from .spectra import client_spectrum, fft_features, stft_features  # noqa: F401
 
 #: Variants in the order of their weights. Others are added with ``register``.
 VARIANTS: dict[str, Callable] = {
@@ -27,35 +28,6 @@ def register(name: str, kernel: Callable) -> None:
     VARIANTS[name] = kernel
 
 
-def samples(clips: DataFrame) -> DataFrame:
-    """clip_id, n (samples in the clip), i, v."""
-    return clips.select("clip_id", F.size("samples").alias("n"), F.posexplode("samples").alias("i", "v"))
-
-
-def spectrum(clips: DataFrame, first: int = 1) -> DataFrame:
-    """clip_id, k, mag for the bins k = first … below half the length. The products of n samples and n/2 bins of a clip are summed at once: for short clips."""
-    turn = 2 * 3.141592653589793 * F.col("k") * F.col("i") / F.col("n")
-    long = samples(clips).withColumn("k", F.explode(F.sequence(F.lit(first), F.floor((F.col("n") - 1) / 2).cast("int"))))
-    sums = long.groupBy("clip_id", "k").agg(F.sum(F.col("v") * F.cos(turn)).alias("re"), F.sum(F.col("v") * F.sin(turn)).alias("im"))
-    return sums.select("clip_id", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
-
-
-def fft_features(clips: DataFrame, rate: int) -> DataFrame:
-    """The classic variant's features and verdict; a band without a bin is null and raises no flag."""
-    n = clips.select("clip_id", F.size("samples").alias("n"))
-    bins = spectrum(clips).join(n, "clip_id").withColumns({"f": F.col("k") * F.lit(float(rate)) / F.col("n"), "db": 20 * F.log10(F.col("mag") + F.lit(1e-10))})
-    out = bins.groupBy("clip_id").agg(
-        F.max(F.when(F.col("f") < 20, F.col("db"))).alias("infrasound_power_db"),
-        F.max(F.when(F.col("f") > 18000, F.col("db"))).alias("ultrasound_power_db"),
-        F.max_by("f", F.struct("db", -F.col("k"))).alias("peak_frequency_hz"),
-        F.max("db").alias("peak_power_db"),
-        F.avg(F.when((F.col("f") >= 80) & (F.col("f") <= 4000), F.col("db"))).alias("voice_band_energy_db"),
-    )
-    low, high, peak = (F.coalesce(F.col(c) > t, F.lit(False)) for c, t in (("infrasound_power_db", -40), ("ultrasound_power_db", -40), ("peak_power_db", -20)))
-    part = lambda flag, w: F.when(flag, F.lit(w)).otherwise(0.0)
-    return out.withColumns({"anomaly": low | high | peak, "confidence": F.least(part(low, 0.4) + part(high, 0.4) + part(peak, 0.2), F.lit(1.0))})
-
-
 def zero_crossings(clips: DataFrame, size: int, hop: int) -> DataFrame:
     """Sign changes in frames of ``size`` by array functions: zcr_mean, zcr_std (population), zcr_max and the flags."""
     half = size // 2
@@ -69,45 +41,45 @@ def zero_crossings(clips: DataFrame, size: int, hop: int) -> DataFrame:
     return out.withColumns({"high_zcr": F.col("zcr_mean") > 0.15, "variable_zcr": F.col("zcr_std") > 0.05})
 
 
-def client_spectrum(clips: DataFrame, rate: int, *, literal: bool = False) -> DataFrame:
-    """Peak of the Hann-windowed magnitude spectrum (bins 0 … n/2 - 1, first of equals).
+def _mirrored(a: Column) -> Column:
+    """The array with seven more values at each end, mirrored about its ends as often as need be."""
+    n, taps = F.size(a), len(audio_kernels.DB4)
+    wide = F.concat(F.reverse(F.slice(a, 1, F.lit(taps - 1))), a, F.reverse(F.slice(a, F.greatest(n - taps + 2, F.lit(1)), F.lit(taps - 1))))
+    place = lambda i: let(F.pmod(i, 2 * n), lambda j: F.get(a, F.when(j < n, j).otherwise(2 * n - 1 - j)))
+    return F.when(n >= taps - 1, wide).otherwise(F.transform(F.sequence(F.lit(1 - taps), n + taps - 2), place))
 
-    ``literal`` divides by half the length, which gives about twice the frequency.
-    """
-    n = F.size("samples")
-    hann = F.transform("samples", lambda v, i: v * (0.5 - 0.5 * F.cos(2 * 3.141592653589793 * i / n)))
-    windowed = clips.select("clip_id", hann.alias("samples"))
-    bins = spectrum(windowed, 0).join(clips.select("clip_id", n.alias("n")), "clip_id").where(F.col("k") < F.col("n") / 2)
-    scale = F.col("n") / 2 if literal else F.col("n")
-    peak = bins.groupBy("clip_id").agg(F.max_by(F.struct("k", "n"), F.struct(F.round("mag", 9), -F.col("k"))).alias("p"), F.max("mag").alias("peak_magnitude"))
-    return peak.select("clip_id", F.col("p.k").alias("k"), F.col("p.n").alias("n"), "peak_magnitude").select("clip_id", (F.col("k") * F.lit(float(rate)) / scale).alias("peak_frequency"), "peak_magnitude")
 
+def wavelet_levels(clips: DataFrame, levels: int = 6) -> DataFrame:
+    """clip_id, level, length, energy of the wavelet coefficients: level 0 is the approximation, 1 the coarsest details.
 
-def frame_spectra(clips: DataFrame, size: int, hop: int) -> DataFrame:
-    """clip_id, frame, k, mag: short-time spectra in rows, for short clips and small windows."""
-    half = size // 2
-    padded = F.concat(F.array_repeat(F.lit(0.0), half), F.col("samples"), F.array_repeat(F.lit(0.0), half))
-    fill = F.pmod(-(F.size("p") - size), F.lit(hop)).cast("int")
-    rows = clips.select("clip_id", padded.alias("p")).select("clip_id", F.concat("p", F.array_repeat(F.lit(0.0), fill)).alias("p"))
-    frames = rows.select("clip_id", "p", F.posexplode(F.sequence(F.lit(0), F.size("p") - size, F.lit(hop))).alias("frame", "at"))
-    values = frames.select("clip_id", "frame", F.posexplode(F.slice("p", F.col("at") + 1, F.lit(size))).alias("i", "v"))
-    hann = 0.5 - 0.5 * F.cos(2 * 3.141592653589793 * F.col("i") / size)
-    long = values.withColumn("w", F.col("v") * hann / F.lit(size / 2)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size // 2))))
-    turn = 2 * 3.141592653589793 * F.col("k") * F.col("i") / size
-    sums = long.groupBy("clip_id", "frame", "k").agg(F.sum(F.col("w") * F.cos(turn)).alias("re"), F.sum(F.col("w") * F.sin(turn)).alias("im"))
-    return sums.select("clip_id", "frame", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
-
-
-def stft_features(clips: DataFrame, rate: int, size: int, hop: int) -> DataFrame:
-    """Flux, centroid variance and spread of short-time spectra, in SQL."""
-    bins = frame_spectra(clips, size, hop).withColumn("f", F.col("k") * F.lit(rate / size))
-    flux = bins.select("clip_id", (F.col("mag") - F.lag("mag").over(Window.partitionBy("clip_id", "k").orderBy("frame"))).alias("d"))
-    flux = flux.groupBy("clip_id").agg(F.max("d").alias("flux_max"), F.avg("d").alias("flux_mean"))
-    per = bins.groupBy("clip_id", "frame").agg(F.sum("mag").alias("m"), F.sum(F.col("f") * F.col("mag")).alias("fm"), F.sum(F.col("f") * F.col("f") * F.col("mag")).alias("ffm"))
-    per = per.withColumn("centroid", F.col("fm") / (F.col("m") + 1e-10))
-    spread = F.sqrt(F.greatest(F.col("ffm") - 2 * F.col("centroid") * F.col("fm") + F.col("centroid") * F.col("centroid") * F.col("m"), F.lit(0.0)) / (F.col("m") + 1e-10))
-    shape = per.withColumn("spread", spread).groupBy("clip_id").agg(F.var_pop("centroid").alias("centroid_variance"), F.avg("spread").alias("spread_mean"))
-    return flux.join(shape, "clip_id")
+    A filter bank of array functions: each level keeps every other value of two convolutions of the level above. The
+    time is linear in a clip's length. A null or empty clip has no rows.
+    """
+    low = [float(v) for v in audio_kernels.DB4]
+    high = [v * (-1.0) ** k for k, v in enumerate(reversed(low))]
+
+    def filtered(a: Column, taps: list[float]) -> Column:
+        values = lambda w: F.transform(F.sequence(F.lit(1), 2 * F.floor((F.size(a) + len(taps) - 1) / 2).cast("int") - 1, F.lit(2)), lambda at: sum((F.get(w, at + k) * F.lit(v) for k, v in enumerate(taps[1:], 1)), F.get(w, at) * F.lit(taps[0])))
+        return let(_mirrored(a), values)
+
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
+    summed = lambda level: lambda d: F.struct(F.lit(level).alias("level"), F.size(d).alias("length"), square(d).alias("energy"))
+    rows = clips.where(F.size("samples") > 0).select("clip_id", F.col("samples").alias("a0"), F.array().cast("array<struct<level:int,length:int,energy:double>>").alias("done"))
+    for k in range(levels):
+        part = let(filtered(F.col(f"a{k}"), high), summed(levels - k))
+        rows = rows.select("clip_id", filtered(F.col(f"a{k}"), low).alias(f"a{k + 1}"), F.concat("done", F.array(part)).alias("done"))
+    return rows.select("clip_id", F.explode(F.concat("done", F.array(summed(0)(F.col(f"a{levels}"))))).alias("e")).select("clip_id", "e.*")
+
+
+def wavelet_features(clips: DataFrame, levels: int = 6) -> DataFrame:
+    """The wavelet variant: mean energies of the levels, the shares of both ends, and the verdict."""
+    rows = wavelet_levels(clips, levels)
+    total = F.sum("energy") + F.lit(1e-10)
+    of = lambda k: F.max(F.when(F.col("level") == k, F.col("energy")))
+    means = [F.max(F.when(F.col("level") == k, F.col("energy") / F.col("length"))).alias(f"wavelet_energy_level_{k}") for k in range(levels + 1)]
+    out = rows.groupBy("clip_id").agg(*means, (of(levels) / total).alias("high_level_energy_ratio"), (of(0) / total).alias("low_level_energy_ratio"))
+    high, low = F.col("high_level_energy_ratio") > 0.1, F.col("low_level_energy_ratio") > 0.5
+    return out.withColumns({"anomaly": high | low, "confidence": F.when(high, 0.5).otherwise(0.0) + F.when(low, 0.5).otherwise(0.0)})
 
 
 def analyze(clips: DataFrame, names: list[str] | None = None, kernels: dict[str, Callable] | None = None) -> DataFrame:

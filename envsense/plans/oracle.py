@@ -6,7 +6,8 @@ from ..config import DEFAULT as D
 from ..functions.columns import LABELS
 from ..operators.audio import VARIANTS
 from ..operators.calibration import COMPUTES, LEAST_FLOAT, STEPS
-from ..sources.tables import AXES_SQL, CLIPS_SQL, PACKETS_SQL
+from ..operators.audio_kernels import DB4
+from ..sources.tables import AXES_SQL, CLIPS_SQL, HELD, LONG, LONG_SQL, PACKETS_SQL
 from .queries import NOW, RANGE_START, RANGE_STOP
 
 PI = "3.141592653589793::DOUBLE"
@@ -144,7 +145,8 @@ bins AS (
   SELECT clip_id, frame, k, 44100 / 16.0::DOUBLE * k AS f, sqrt(sum(w * cos(a)) ^ 2 + sum(w * sin(a)) ^ 2) AS mag FROM (
     SELECT clip_id, frame, k, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * i / 16)) / 8 AS w, 2 * {PI} * k * i / 16 AS a FROM frames, range(0, 9) t(k)
   ) GROUP BY clip_id, frame, k
-), flux AS (
+)"""
+SHAPE = """, flux AS (
   SELECT clip_id, max(d) AS fmax, avg(d) AS fmean FROM (SELECT clip_id, mag - lag(mag) OVER (PARTITION BY clip_id, k ORDER BY frame) AS d FROM bins) GROUP BY clip_id
 ), per AS (
   SELECT clip_id, frame, sum(mag) AS m, sum(f * mag) AS fm, sum(f * f * mag) AS ffm FROM bins GROUP BY clip_id, frame
@@ -153,6 +155,51 @@ bins AS (
 ), shape AS (
   SELECT clip_id, var_pop(c) AS cv, avg(sqrt(greatest(ffm - 2 * c * fm + c * c * m, 0.0::DOUBLE) / (m + 1e-10::DOUBLE))) AS sp FROM cen GROUP BY clip_id
 )"""
+#: Spectra of long clips: the sum over values, times that of one held value, as re + i im.
+LONG_SPECTRUM = f"""waves AS MATERIALIZED (
+  SELECT k, list_transform(range(0, 1024), lambda j: cos(2 * {PI} * ((k * {HELD} * j) % {LONG}) / {LONG})) AS c, list_transform(range(0, 1024), lambda j: -sin(2 * {PI} * ((k * {HELD} * j) % {LONG}) / {LONG})) AS s,
+         CASE WHEN k = 0 THEN {HELD}::DOUBLE ELSE sin({PI} * k * {HELD} / {LONG}) / sin({PI} * k / {LONG}) END AS d, -{PI} * k * {HELD - 1} / {LONG} AS turn
+  FROM range(-1, 22051) t(k)
+), parts AS (
+  SELECT clip_id, k, d, turn, list_dot_product(vals, c) AS re, list_dot_product(vals, s) AS im FROM held, waves
+), x AS MATERIALIZED (
+  SELECT clip_id, k, d * (re * cos(turn) - im * sin(turn)) AS re, d * (re * sin(turn) + im * cos(turn)) AS im FROM parts
+)"""
+#: Short-time spectra of long clips: each value times the sum over the window's part that holds it.
+LONG_STFT = f"""wave AS (
+  SELECT k, n, (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * n / 2048)) * cos(2 * {PI} * ((k * n) % 2048) / 2048) AS c, -(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * n / 2048)) * sin(2 * {PI} * ((k * n) % 2048) / 2048) AS s
+  FROM range(0, 1025) t(k), range(0, 2049) u(n)
+), cum AS (
+  SELECT k, n, sum(c) OVER w - c AS c, sum(s) OVER w - s AS s FROM wave WINDOW w AS (PARTITION BY k ORDER BY n)
+), edges AS (
+  SELECT f, j, j0, j1, least(greatest({HELD} * j - (512 * f - 1024), 0), 2048) AS n FROM (
+    SELECT f, greatest(0, (512 * f - 1024) // {HELD}) AS j0, least(1024, (512 * f + 1024 + {HELD - 1}) // {HELD}) AS j1 FROM range(0, 88) t(f)
+  ), range(0, 1025) u(j) WHERE j BETWEEN j0 AND j1
+), spans AS (
+  SELECT f, k, j, j0, j1, lead(c) OVER w - c AS c, lead(s) OVER w - s AS s FROM edges JOIN cum USING (n) WINDOW w AS (PARTITION BY f, k ORDER BY j)
+), weights AS (
+  SELECT f, k, j0, j1, list(c ORDER BY j) AS c, list(s ORDER BY j) AS s FROM spans WHERE j < j1 GROUP BY f, k, j0, j1
+), bins AS MATERIALIZED (
+  SELECT clip_id, f AS frame, k, 44100 / 2048.0::DOUBLE * k AS f,
+         sqrt(list_dot_product(list_slice(vals, (j0 + 1)::BIGINT, j1::BIGINT), c) ^ 2 + list_dot_product(list_slice(vals, (j0 + 1)::BIGINT, j1::BIGINT), s) ^ 2) / 1024 AS mag FROM held, weights
+)"""
+
+
+def _wavelet(source: str, levels: int = 6) -> str:
+    """CTEs l1 ... and w (clip_id, level, length, energy) over ``source`` (clip_id, samples), each level a list of the one above."""
+    taps = [f"{v!r}::DOUBLE" for v in DB4.tolist()]
+    high = [f"{v * (-1.0) ** k!r}::DOUBLE" for k, v in enumerate(DB4.tolist()[::-1])]
+    parts, above = [f"l0 AS (SELECT clip_id, samples AS a FROM {source})"], "l0"
+    for k in range(1, levels + 1):
+        wide = f"(SELECT clip_id, len(a) AS n, list_transform(range(-7, len(a) + 7), lambda i: a[CASE WHEN ((i % (2 * len(a))) + 2 * len(a)) % (2 * len(a)) < len(a) THEN ((i % (2 * len(a))) + 2 * len(a)) % (2 * len(a)) ELSE 2 * len(a) - 1 - ((i % (2 * len(a))) + 2 * len(a)) % (2 * len(a)) END + 1]) AS p FROM {above})"
+        values = lambda w: f"list_transform(range(0, (n + 7) // 2), lambda i: {' + '.join(f'p[2 * i + {t + 2}] * {v}' for t, v in enumerate(w))})"
+        parts.append(f"l{k} AS MATERIALIZED (SELECT clip_id, {values(taps)} AS a, {values(high)} AS d FROM {wide})")
+        above = f"l{k}"
+    energy = "list_sum(list_transform({0}, lambda v: v * v))"
+    rows = [f"SELECT clip_id, {levels - k + 1} AS level, len(d) AS length, {energy.format('d')} AS energy FROM l{k}" for k in range(1, levels + 1)] + [f"SELECT clip_id, 0, len(a), {energy.format('a')} FROM l{levels}"]
+    return ", ".join([*parts, f"w AS ({' UNION ALL '.join(rows)})"])
+
+
 MADE = "(" + " UNION ALL ".join(f"SELECT {k} AS k, '{v}' AS variant" for k, v in enumerate(VARIANTS)) + ")"
 CATALOGUE = "cat AS (SELECT o_orderkey AS event_id, o_custkey AS device_id, o_orderdate AS ts, o_orderpriority AS classification, o_totalprice AS confidence FROM orders)"
 SIGMA_COLUMNS = f"device_id, seq, n, {ZEROS}, anomaly"
@@ -215,7 +262,7 @@ ORACLE: dict[str, str] = {
         SELECT clip_id, {r('avg(zcr)', 'zcr_mean')}, {r('stddev_pop(zcr)', 'zcr_std')}, {r('max(zcr)', 'zcr_max')}, avg(zcr) > 0.15::DOUBLE AS high_zcr, stddev_pop(zcr) > 0.05::DOUBLE AS variable_zcr FROM fr GROUP BY clip_id""",
     "client_spectrum": f"""WITH {CLIPS_SQL.replace('unnest(samples) AS v FROM clips', f'unnest(samples) AS v0 FROM clips')}, h AS (SELECT clip_id, i, v0 * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * i / 64)) AS v FROM samples),
         {SPECTRUM.format(0).replace('FROM samples,', 'FROM h,')} SELECT clip_id, {r('arg_max(k, (round(mag, 9), -k)) * 44100.0::DOUBLE / 64', 'peak_frequency')}, {r('max(mag)', 'peak_magnitude')} FROM bins GROUP BY clip_id""",
-    "audio_stft": f"WITH {CLIPS_SQL}, {STFT} SELECT clip_id, {r('fmax', 'flux_max')}, {r('fmean', 'flux_mean')}, {r('round(cv, 2)', 'centroid_variance')}, {r('sp', 'spread_mean')} FROM flux JOIN shape USING (clip_id)",
+    "audio_stft": f"WITH {CLIPS_SQL}, {STFT}{SHAPE} SELECT clip_id, {r('fmax', 'flux_max')}, {r('fmean', 'flux_mean')}, {r('round(cv, 2)', 'centroid_variance')}, {r('sp', 'spread_mean')} FROM flux JOIN shape USING (clip_id)",
     "audio_ensemble_vote": f"""WITH {CLIPS_SQL}, m AS (SELECT clip_id, (clip_id * 7 + k * 5 + label) % 6 AS mark FROM clips, {MADE}),
         v AS (SELECT clip_id, count(*) AS n, count(*) FILTER (mark < 2) AS votes, sum(mark / 5.0::DOUBLE / 6) AS c FROM m WHERE mark <> 5 GROUP BY clip_id)
         SELECT clip_id, n > 0 AND (2 * votes >= n OR c > 0.5::DOUBLE) AS anomaly_detected, {r('c', 'confidence')}, n AS num_variants, votes AS num_anomalies_detected FROM v""",
@@ -254,6 +301,23 @@ ORACLE: dict[str, str] = {
 }
 
 
+_FLAGS = "CASE WHEN {} THEN {}::DOUBLE ELSE 0 END"
+ORACLE["audio_fft_long"] = f"""WITH {LONG_SQL}, {LONG_SPECTRUM}, db AS (SELECT clip_id, k, k * 44100.0::DOUBLE / {LONG} AS f, 20 * log10(sqrt(re * re + im * im) + 1e-10::DOUBLE) AS db FROM x WHERE k BETWEEN 1 AND 22049),
+    a AS (SELECT clip_id, max(db) FILTER (f < 20) AS lo, max(db) FILTER (f > 18000) AS hi, arg_max(f, (db, -k)) AS pf, max(db) AS peak, avg(db) FILTER (f >= 80 AND f <= 4000) AS voice FROM db GROUP BY clip_id)
+    SELECT clip_id, {r('lo', 'infrasound_power_db')}, {r('hi', 'ultrasound_power_db')}, {r('pf', 'peak_frequency_hz')}, {r('peak', 'peak_power_db')}, {r('voice', 'voice_band_energy_db')},
+    lo > -40 OR hi > -40 OR peak > -20 AS anomaly, {r(f"least({_FLAGS.format('lo > -40', 0.4)} + {_FLAGS.format('hi > -40', 0.4)} + {_FLAGS.format('peak > -20', 0.2)}, 1.0::DOUBLE)", 'confidence')} FROM a"""
+ORACLE["client_spectrum_long"] = f"""WITH {LONG_SQL}, {LONG_SPECTRUM}, h AS (
+      SELECT clip_id, k, 0.5::DOUBLE * re - 0.25::DOUBLE * (lag(re) OVER w + lead(re) OVER w) AS re, 0.5::DOUBLE * im - 0.25::DOUBLE * (lag(im) OVER w + lead(im) OVER w) AS im FROM x WINDOW w AS (PARTITION BY clip_id ORDER BY k)
+    ), m AS (SELECT clip_id, k, sqrt(re * re + im * im) AS mag FROM h WHERE k BETWEEN 0 AND 22049)
+    SELECT clip_id, {r(f"arg_max(k, (round(mag, 9), -k)) * 44100.0::DOUBLE / {LONG}", 'peak_frequency')}, {r('max(mag)', 'peak_magnitude')} FROM m GROUP BY clip_id"""
+ORACLE["audio_stft_long"] = f"""WITH {LONG_SQL}, {LONG_STFT}{SHAPE} SELECT clip_id, {r('fmax', 'flux_max')}, {r('fmean', 'flux_mean')}, {r('round(cv, 2)', 'centroid_variance')}, {r('sp', 'spread_mean')},
+    fmax > 10 OR cv > 1e6::DOUBLE AS anomaly, {r(f"{_FLAGS.format('fmax > 10', 0.6)} + {_FLAGS.format('cv > 1e6::DOUBLE', 0.4)}", 'confidence')} FROM flux JOIN shape USING (clip_id)"""
+ORACLE["audio_wavelet"] = f"""WITH {CLIPS_SQL}, {_wavelet('clips')}, s AS (SELECT clip_id, {', '.join(f'max(energy / length) FILTER (level = {k}) AS wavelet_energy_level_{k}' for k in range(7))},
+      max(energy) FILTER (level = 6) / (sum(energy) + 1e-10::DOUBLE) AS hi, max(energy) FILTER (level = 0) / (sum(energy) + 1e-10::DOUBLE) AS lo FROM w GROUP BY clip_id)
+    SELECT clip_id, {', '.join(r(f'wavelet_energy_level_{k}', f'wavelet_energy_level_{k}') for k in range(7))}, {r('hi', 'high_level_energy_ratio')}, {r('lo', 'low_level_energy_ratio')},
+    hi > 0.1::DOUBLE OR lo > 0.5::DOUBLE AS anomaly, {r(f"{_FLAGS.format('hi > 0.1::DOUBLE', 0.5)} + {_FLAGS.format('lo > 0.5::DOUBLE', 0.5)}", 'confidence')} FROM s"""
+ORACLE["audio_wavelet_levels"] = f"""WITH {LONG_SQL}, long AS (SELECT clip_id, list_resize(flatten(list_transform(vals, lambda v: list_transform(range(0, {HELD}), lambda i: v))), {LONG}, 0.0::DOUBLE) AS samples FROM held), {_wavelet('long')}
+    SELECT clip_id, level, length::INT AS length, {r('energy', 'energy')} FROM w"""
 for _name in ("kalman_1d", "kalman_adaptive", "kalman_3d"):
     ORACLE[f"{_name}_split"] = ORACLE[_name]
 ORACLE["kalman_velocity"] = ORACLE["kalman_velocity_split"] = f"WITH RECURSIVE {AXES_SQL}, {VELOCITY} SELECT device_id, ts, seq, {r('x', 'position')}, {r('v', 'speed')}, {r('a + d', 'trace')} FROM rec"

@@ -236,9 +236,33 @@ def client_spectrum(spark, sf_dir):
 
 def audio_stft(spark, sf_dir):
     out = audio.stft_features(tables.clips(spark, sf_dir), 44_100, 16, 4)
+    return rounded(out.withColumn("centroid_variance", F.round("centroid_variance", 2)), "clip_id", "flux_max", "flux_mean", "centroid_variance", "spread_mean")
+
+
+def audio_fft_long(spark, sf_dir):
+    """The classic variant on clips of 44,100 samples."""
+    return rounded(audio.fft_features(tables.long_clips(spark, sf_dir), 44_100))
+
+
+def client_spectrum_long(spark, sf_dir):
+    return rounded(audio.client_spectrum(tables.long_clips(spark, sf_dir), 44_100))
+
+
+def audio_stft_long(spark, sf_dir):
+    """Windows of 2,048 and steps of 512 on clips of 44,100 samples."""
+    out = audio.stft_features(tables.long_clips(spark, sf_dir), 44_100)
     return rounded(out.withColumn("centroid_variance", F.round("centroid_variance", 2)))
 
 
+def audio_wavelet(spark, sf_dir):
+    """The wavelet variant by array functions."""
+    return rounded(audio.wavelet_features(tables.clips(spark, sf_dir)))
+
+
+def audio_wavelet_levels(spark, sf_dir):
+    return rounded(audio.wavelet_levels(tables.long_clips(spark, sf_dir)))
+
+
 def audio_variants(spark, sf_dir):
     """All six variants by Arrow kernels, features counted; short clips make the short-time variant fail, as specified."""
     out = audio.analyze(tables.clips(spark, sf_dir))
@@ -383,6 +407,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     fusion_truth_table, correlate_window, event_clip_join, timeseries_unpivot, timeseries_range, events_list_page, event_lookup, classify_latest,
     realtime_stats, server_counters, packet_sessions, rate_limit_rejects, downsample_last, sync_sensors, calibrate_mag, calibrate_bias,
     calibration_steps, apply_calibration, audio_fft, audio_zcr, client_spectrum, audio_stft, audio_variants, audio_averaged, audio_ensemble,
+    audio_fft_long, client_spectrum_long, audio_stft_long, audio_wavelet, audio_wavelet_levels,
     audio_ensemble_vote, sensor_features, classification_metrics, confusion, pose_flag, embedding_meanpool, embedding_concat, label_softmax, scalar_functions,
     packet_errors, calibrate_mag_literal, calibrate_gyro, calibration_wizard, stored_calibrations, ack_messages, pcm_samples, session_clock, one_shot_test,
 )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as packets: user is the device, value the magnitude, errors are loud, purchases have a person."""
@@ -45,6 +47,27 @@ clips AS (
 )"""
 
 
+#: Vectors of a long clip, samples that hold each value, samples in all.
+JOINED, HELD, LONG = 16, 43, 44_100
+
+
+def long_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of a second: 16 vectors of ``embeddings`` each, every value held for 43 samples, filled up with zeros."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    joined = e.groupBy(F.floor(F.col("vec_id") / JOINED).alias("clip_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("parts"))
+    values = F.flatten(F.transform("parts", lambda p: p["embedding"]))
+    held = F.flatten(F.transform(values, lambda v: F.array_repeat(v.cast("double"), HELD)))
+    return joined.select("clip_id", F.lit(44_100).alias("sample_rate"), C.pad_or_trim(held, LONG).alias("samples"))
+
+
+#: The values of long clips in SQL, each once, as a list of 1,024.
+LONG_SQL = f"""
+held AS (
+  SELECT vec_id // {JOINED} AS clip_id, list_resize(flatten(list(list_transform(embedding, lambda v: v::DOUBLE) ORDER BY vec_id)), {JOINED * 64}, 0.0::DOUBLE) AS vals
+  FROM embeddings GROUP BY 1
+)"""
+
+
 def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as three-axis samples of devices (suppliers); seq numbers a device's samples."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
