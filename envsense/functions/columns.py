@@ -77,6 +77,11 @@ def pose_present(confidences: Column, least: int = 5, above: float = 0.3) -> Col
     return F.size(F.filter(confidences, lambda c: c > above)) >= least
 
 
+def mean_confidence(confidences: Column) -> Column:
+    """Mean over all keypoints; null without one."""
+    return F.aggregate(confidences, F.lit(0.0), lambda s, c: s + c) / F.when(F.size(confidences) > 0, F.size(confidences))
+
+
 def low_power(level: Column, scale: Column, below: int = 20) -> Column:
     return (level / scale * 100).cast("int") < below
 

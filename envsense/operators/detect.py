@@ -28,6 +28,22 @@ def rolling_sigma(rows: DataFrame, keys: list[str], order: list[str], value: str
     return out.withColumns({c: F.when(ready, F.col(c)) if not zeros else F.when(ready, F.col(c)).otherwise(0.0) for c in ("mean", "std", "threshold", "z_score")})
 
 
+def sliding_buffer(rows: DataFrame, keys: list[str], micros: str, order: list[str], value: str, reach: int = 5_000_000, most: int = 500) -> DataFrame:
+    """Adds buffered, oldest, buffer_mean, buffer_min, buffer_max over a buffer that is bounded by time and by number.
+
+    It holds the rows of the last ``reach`` microseconds (younger than that), but the last ``most`` in ``order`` at most:
+    the oldest are dropped. Rows of one microsecond see each other unless the number bounds the buffer. ``micros``
+    is a whole number and the first part of ``order``. Null values count as rows and enter no statistic.
+    """
+    by_time = Window.partitionBy(*keys).orderBy(micros).rangeBetween(1 - reach, 0)
+    by_number = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - most, 0)
+    near = F.count("*").over(by_time)
+    either = lambda f, c: F.when(near <= most, f(c).over(by_time)).otherwise(f(c).over(by_number))
+    return rows.withColumns({
+        "buffered": F.least(near, F.lit(most)), "oldest": either(F.min, micros), "buffer_mean": either(F.avg, value), "buffer_min": either(F.min, value), "buffer_max": either(F.max, value),
+    })
+
+
 def audio_spike(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Adds audio_anomaly and its details (peak, reason), which are null where there is none."""
     loud = F.coalesce(F.col("audio_peak"), F.lit(0.0)) > settings.audio_peak

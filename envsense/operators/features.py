@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import magnitude
+from .scans import fold
 
 
 def sensor_features(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -46,5 +47,37 @@ def concat_embeddings(rows: DataFrame, *vectors: str) -> DataFrame:
     return rows.withColumn("embedding", F.concat(*vectors))
 
 
+def training_schedule(
+    logged: DataFrame, keys: list[str], order: list[str], loss: str, rate: float = 1e-3, *, factor: float = 0.5, patience: int = 5, threshold: float = 1e-4, stop_patience: int = 10, rounds: int = 50,
+) -> DataFrame:
+    """keys, epoch (from 1), loss, rate, bad, wait, stopped for each epoch of a run that is trained.
+
+    The rate after an epoch: it is multiplied by ``factor`` once more than ``patience`` epochs in a row have not brought
+    the loss below its best by the share ``threshold``. Training stops with the epoch ``stop_patience`` after the last
+    that was strictly best, with a loss that is null or not finite, or after ``rounds``; later rows are left out.
+    """
+    kind = "struct<epoch:int,best:double,bad:int,rate:double,least:double,wait:int,stopped:boolean>"
+
+    def step(s, x):
+        finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        better, least = F.coalesce(x < s["best"] * (1 - threshold), F.lit(False)), F.coalesce(x < s["least"], F.lit(False))
+        bad = F.when(better, 0).otherwise(s["bad"] + 1)
+        lower = (bad > patience) & (s["rate"] * (1 - factor) > 1e-8)
+        wait = F.when(least, 0).otherwise(s["wait"] + 1)
+        return F.struct(
+            (s["epoch"] + 1).alias("epoch"), F.when(better, x).otherwise(s["best"]).alias("best"), F.when(bad > patience, 0).otherwise(bad).alias("bad"), F.when(lower, s["rate"] * factor).otherwise(s["rate"]).alias("rate"),
+            F.when(least, x).otherwise(s["least"]).alias("least"), wait.alias("wait"), ((wait >= stop_patience) | ~finite | (s["epoch"] + 1 >= rounds)).alias("stopped"),
+        )
+
+    start = F.struct(F.lit(0).alias("epoch"), F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(rate).alias("rate"), F.lit(float("inf")).alias("least"), F.lit(0).alias("wait"), F.lit(False).alias("stopped"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = logged.select(*keys, *order, F.col(loss).cast("double").alias("loss")).withColumn("epoch_", F.row_number().over(w)).where(F.col("epoch_") <= rounds)
+    runs = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("epoch_", "loss"))).alias("log"))
+    states = fold(F.transform("log", lambda e: e["loss"]), kind, start, step)
+    each = runs.select(*keys, F.explode(F.arrays_zip(F.transform("log", lambda e: e["loss"]).alias("loss"), states.alias("s"))).alias("e"))
+    ended = F.coalesce(F.min(F.when(F.col("e.s.stopped"), F.col("e.s.epoch"))).over(Window.partitionBy(*keys)), F.lit(rounds))
+    return each.withColumn("ended_", ended).where("e.s.epoch <= ended_").select(*keys, "e.s.epoch", F.col("e.loss").alias("loss"), "e.s.rate", "e.s.bad", "e.s.wait", "e.s.stopped")
+
+
 def best_checkpoints(runs: DataFrame, loss: str, keep: int = 3) -> DataFrame:
     return runs.orderBy(loss, *[c for c in runs.columns if c != loss]).limit(keep)

@@ -31,6 +31,18 @@ def correlate_window(rows: DataFrame, device: str, seconds: str, reach: int, set
     return fuse(near, "near_anomaly", "near_audio_anomaly", "near_humanoid", settings)
 
 
+def correlation_engine(rows: DataFrame, keys: list[str], micros: str, reach: int = DEFAULT.correlation_ms * 1000, settings: Settings = DEFAULT) -> DataFrame:
+    """Adds ``buffered``, the rows of the last ``reach`` microseconds (younger than that), and the current row's score alone.
+
+    The buffer does not enter the score. ``is_correlated`` is true from ``min_score`` on, which no single modality
+    reaches. Rows of one microsecond see each other; ``micros`` is a whole number.
+    """
+    w = Window.partitionBy(*keys).orderBy(micros).rangeBetween(1 - reach, 0)
+    m, a, h = (F.coalesce(F.col(c), F.lit(False)) for c in ("anomaly", "audio_anomaly", "humanoid"))
+    out = rows.withColumns({"buffered": F.count("*").over(w), "correlation_score": correlation_score(m, a, h, settings)})
+    return out.withColumn("is_correlated", F.col("correlation_score") >= settings.min_score)
+
+
 def event_clips(events: DataFrame, packets: DataFrame, device: str, ts: str, before: str, after: str) -> DataFrame:
     """Packets in [event - before, event + after] of the same device: event columns as e_*, packet columns as they are.
 

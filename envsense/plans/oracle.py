@@ -301,6 +301,40 @@ ORACLE: dict[str, str] = {
 }
 
 
+ORACLE["correlation_engine"] = f"""WITH {DETECTED} SELECT device_id, seq, count(*) OVER (PARTITION BY device_id ORDER BY epoch_us(ts) RANGE BETWEEN {6 * 3600 * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS buffered,
+    {r('correlation_score', 'correlation_score')}, correlation_score >= {D.min_score}::DOUBLE AS is_correlated FROM fused"""
+_EITHER = "CASE WHEN count(*) OVER t <= 12 THEN {0} OVER t ELSE {0} OVER n END"
+ORACLE["sliding_buffer"] = f"""WITH {PACKETS_SQL}, p AS (SELECT *, epoch_us(ts) AS us FROM packets), b AS (
+      SELECT device_id, seq, least(count(*) OVER t, 12) AS buffered, {_EITHER.format('min(us)')} AS oldest, {_EITHER.format('avg(magnitude)')} AS a, {_EITHER.format('min(magnitude)')} AS lo, {_EITHER.format('max(magnitude)')} AS hi FROM p
+      WINDOW t AS (PARTITION BY device_id ORDER BY us RANGE BETWEEN {5 * 24 * 3600 * 1_000_000 - 1} PRECEDING AND CURRENT ROW), n AS (PARTITION BY device_id ORDER BY us, seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)
+    ) SELECT device_id, seq, buffered, oldest, {r('a', 'buffer_mean')}, {r('lo', 'buffer_min')}, {r('hi', 'buffer_max')} FROM b"""
+ORACLE["anomaly_messages"] = f"""WITH {DETECTED} SELECT device_id, 'anomaly_detected' AS type, {EVENT_ID.format('epoch_us(ts) * 1000')} AS event_id, epoch_us(ts) * 1000 AS timestamp, {r('correlation_score', 'score')},
+    {', '.join(r(f'CASE WHEN anomaly THEN {c} ELSE -1.0::DOUBLE END', c) for c in ('mean', 'std', 'threshold', 'z_score'))}, {r('CASE WHEN audio_anomaly THEN audio_peak ELSE -1.0::DOUBLE END', 'peak')},
+    CASE WHEN audio_anomaly THEN 'audio_peak_threshold' ELSE '' END AS reason, CASE WHEN humanoid THEN 'true' ELSE '' END AS humanoid FROM found WHERE is_event"""
+ORACLE["pose_confidence"] = f"WITH {CLIPS_SQL} SELECT clip_id, count(*) FILTER (v > 0.3::DOUBLE) >= 5 AS humanoid, {r('avg(v)', 'confidence')} FROM samples GROUP BY clip_id"
+CLOCKS = f"""{PACKETS_SQL}, asked AS (
+  SELECT device_id, seq, epoch_us(ts) AS t1, 2000 + seq * 7919 % 50000 AS trip FROM packets WHERE event_type = 'view'
+), trips AS (
+  SELECT device_id, t1 AS client_time, t1 + trip + seq % 500 AS received_at, trip AS round_trip, t1 + device_id * 1000 + seq % 13 + trip // 2 - t1 - trip / 2.0::DOUBLE AS off FROM asked WHERE seq % 7 <> 0
+)"""
+ORACLE["clock_round_trips"] = f"WITH {CLOCKS} SELECT device_id, client_time, received_at, round_trip, {r('off', 'offset')} FROM trips"
+ORACLE["clock_sync"] = f"""WITH {CLOCKS}, best AS (
+      SELECT device_id, received_at AS seen, client_time, arg_min(off, (round_trip, -received_at, -client_time)) OVER (PARTITION BY device_id ORDER BY received_at, client_time ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS off FROM trips
+    ), p AS (SELECT device_id, seq, epoch_us(ts) AS client_time FROM packets), j AS (
+      SELECT p.*, coalesce(b.off, 0.0::DOUBLE) AS off FROM p ASOF LEFT JOIN (SELECT device_id, seen, arg_max(off, client_time) AS off FROM best GROUP BY ALL) b ON b.device_id = p.device_id AND b.seen <= p.client_time
+    ) SELECT device_id, seq, client_time, {r('off', 'offset')}, floor(client_time + off)::BIGINT AS server_time FROM j"""
+ORACLE["event_bundles"] = f"""WITH {CLIPS_SQL} SELECT 'event/' || clip_id AS event_id, 44100 AS sample_rate, len(samples)::INT AS n, list_sum(list_transform(samples, lambda v: least(greatest(floor(v * 32768), -32768), 32767)))::BIGINT AS pcm_sum,
+    {r('least(greatest(floor(samples[-1] * 32768), -32768), 32767) / 32768.0::DOUBLE', 'last')}, {r('samples[1] + samples[2] + samples[3]', 'magnitudes')}, len(list_filter(samples[1:3], lambda v: v > 0))::INT AS humanoids, label::BIGINT AS label FROM clips"""
+_BETTER, _LEAST = "(o.z < rec.best * (1 - 1e-4::DOUBLE))", "(o.z < rec.least)"
+_BAD = f"(CASE WHEN {_BETTER} THEN 0 ELSE rec.bad0 + 1 END)"
+SCHEDULE = folded(
+    "", "SELECT device_id, ts, seq, magnitude AS z FROM packets",
+    "z AS loss, z AS best, 0 AS bad0, 1e-3::DOUBLE AS rate, z AS least, 0 AS wait",
+    f"""o.z, CASE WHEN {_BETTER} THEN o.z ELSE rec.best END, CASE WHEN {_BAD} > 5 THEN 0 ELSE {_BAD} END, CASE WHEN {_BAD} > 5 AND rec.rate * 0.5::DOUBLE > 1e-8::DOUBLE THEN rec.rate * 0.5::DOUBLE ELSE rec.rate END,
+    CASE WHEN {_LEAST} THEN o.z ELSE rec.least END, CASE WHEN {_LEAST} THEN 0 ELSE rec.wait + 1 END""",
+)
+ORACLE["training_schedule"] = f"""WITH RECURSIVE {PACKETS_SQL}, {SCHEDULE}, e AS (SELECT device_id, k, loss, rate, bad0, wait, wait >= 10 OR k >= 50 AS stopped FROM rec)
+    SELECT device_id, k::INT AS epoch, {r('loss', 'loss')}, {r('rate', 'rate')}, bad0 AS bad, wait, stopped FROM e QUALIFY k <= coalesce(min(CASE WHEN stopped THEN k END) OVER (PARTITION BY device_id), 50)"""
 _FLAGS = "CASE WHEN {} THEN {}::DOUBLE ELSE 0 END"
 ORACLE["audio_fft_long"] = f"""WITH {LONG_SQL}, {LONG_SPECTRUM}, db AS (SELECT clip_id, k, k * 44100.0::DOUBLE / {LONG} AS f, 20 * log10(sqrt(re * re + im * im) + 1e-10::DOUBLE) AS db FROM x WHERE k BETWEEN 1 AND 22049),
     a AS (SELECT clip_id, max(db) FILTER (f < 20) AS lo, max(db) FILTER (f > 18000) AS hi, arg_max(f, (db, -k)) AS pf, max(db) AS peak, avg(db) FILTER (f >= 80 AND f <= 4000) AS voice FROM db GROUP BY clip_id)

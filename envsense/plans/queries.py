@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..config import DEFAULT
 from ..functions import columns as C
-from ..operators import audio, calibration, catalog, detect, features, filters, fusion
+from ..operators import audio, calibration, catalog, clock, detect, features, filters, fusion
+from ..operators import sensor_model as sensors
+from ..sources import bundle_source
 from ..sources import packets as parsing
 from ..sources import tables
 
@@ -286,7 +290,7 @@ def audio_ensemble_vote(spark, sf_dir):
     return rounded(audio.vote(rows), "clip_id", "anomaly_detected", "confidence", "num_variants", "num_anomalies_detected")
 
 
-def sensor_features(spark, sf_dir):
+def _sensor_features(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rows = li.select(
         F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("tie"), F.col("l_extendedprice").alias("magnetic_magnitude"),
@@ -294,10 +298,36 @@ def sensor_features(spark, sf_dir):
         F.col("l_discount").alias("gyro_x"), F.col("l_tax").alias("gyro_y"), F.lit(0.0).alias("gyro_z"), F.col("l_quantity").alias("orientation_yaw"),
         F.col("l_discount").alias("audio_peak"), (F.col("l_returnflag") == "R").alias("humanoid_detected"), F.col("l_linenumber").alias("bluetooth_count"),
     )
-    out = features.sensor_features(rows, "event_id", ["seq", "tie", "orientation_yaw"])
+    return features.sensor_features(rows, "event_id", ["seq", "tie", "orientation_yaw"])
+
+
+def sensor_features(spark, sf_dir):
+    out = _sensor_features(spark, sf_dir)
     return rounded(out.withColumn("mag_std", F.coalesce("mag_std", F.lit(-1.0))))
 
 
+def labelled_features(spark, sf_dir):
+    """The features of each order's lines, labelled by what is high: magnetic values, audio, both or neither."""
+    rows = _sensor_features(spark, sf_dir)
+    m, a = F.col("mag_max") > 60_000, F.col("audio_peak_max") > 0.075
+    names = list(C.LABELS)
+    return rows.withColumn("label", F.when(m & a, names[3]).when(m, names[1]).when(a, names[2]).otherwise(names[0]))
+
+
+def sensor_model(spark, sf_dir):
+    """Accuracy and macro-F1 of the sensor classifier on the events that it was not trained on."""
+    rows = labelled_features(spark, sf_dir)
+    out = sensor_model_of(rows).select("label", "predicted")
+    counts = out.agg(F.count("*").alias("n"))
+    return rounded(features.classification_metrics(out, "label", "predicted").join(F.broadcast(counts)))
+
+
+def sensor_model_of(rows):
+    """Predictions for the held-out events by a model trained on the others."""
+    apart = sensors.held_out(F.col("event_id"))
+    return sensors.predict(sensors.fit(rows.where(~apart), "label"), rows.where(apart))
+
+
 def classification_metrics(spark, sf_dir):
     return rounded(features.classification_metrics(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", "toxic"))
 
@@ -401,6 +431,80 @@ def one_shot_test(spark, sf_dir):
     return rounded(detect.one_shot(spark, 95.5, noise=noise))
 
 
+def correlation_engine(spark, sf_dir):
+    """The current row's score beside the number of rows of the last six hours."""
+    rows = _detected(spark, sf_dir).drop("correlation_score", "is_event").withColumn("us", F.unix_micros("ts"))
+    out = fusion.correlation_engine(rows, DEVICE, "us", 6 * 3600 * 1_000_000)
+    return rounded(out, "device_id", "seq", "buffered", "correlation_score", "is_correlated")
+
+
+def sliding_buffer(spark, sf_dir):
+    """A buffer of five days and 12 packets: both bounds are met."""
+    rows = tables.packets(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
+    out = detect.sliding_buffer(rows, DEVICE, "us", ["us", "seq"], "magnitude", 5 * 24 * 3600 * 1_000_000, 12)
+    return rounded(out, "device_id", "seq", "buffered", "oldest", "buffer_mean", "buffer_min", "buffer_max")
+
+
+def anomaly_messages(spark, sf_dir):
+    """The messages of all events, read back from their JSON."""
+    found = _event_ids(_detected(spark, sf_dir)).withColumn("ts", F.col("ts_ns"))
+    part = lambda path: F.get_json_object("message", f"$.{path}")
+    rows = fusion.event_messages(found).select(
+        "device_id", part("type").alias("type"), part("event_id").alias("event_id"), part("timestamp").cast("long").alias("timestamp"), part("correlation_score").cast("double").alias("score"),
+        *(F.coalesce(part(f"details.magnetic.{c}").cast("double"), F.lit(-1.0)).alias(c) for c in ("mean", "std", "threshold", "z_score")),
+        F.coalesce(part("details.audio.peak").cast("double"), F.lit(-1.0)).alias("peak"), F.coalesce(part("details.audio.reason"), F.lit("")).alias("reason"), F.coalesce(part("details.humanoid"), F.lit("")).alias("humanoid"),
+    )
+    return rounded(rows)
+
+
+def pose_confidence(spark, sf_dir):
+    """All values of a vector as confidences of keypoints."""
+    c = tables.clips(spark, sf_dir)
+    return rounded(c.select("clip_id", C.pose_present(F.col("samples"), 5, 0.3).alias("humanoid"), C.mean_confidence(F.col("samples")).alias("confidence")))
+
+
+def _questions(spark, sf_dir):
+    """Views as questions of clocks, all but every seventh answered: requests and responses, in microseconds."""
+    p = tables.packets(spark, sf_dir).where("event_type = 'view'").select("device_id", "seq", F.unix_micros("ts").alias("client_time"))
+    trip = 2_000 + F.col("seq") * 7919 % 50_000
+    answers = p.where("seq % 7 <> 0").select(
+        "device_id", "client_time", (F.col("client_time") + F.col("device_id") * 1000 + F.col("seq") % 13 + (trip / 2).cast("long")).alias("server_time"),
+        (F.col("seq") % 500).alias("processing"), (F.col("client_time") + trip + F.col("seq") % 500).alias("received_at"),
+    )
+    return p.select("device_id", "client_time"), answers
+
+
+def clock_round_trips(spark, sf_dir):
+    return rounded(clock.round_trips(*_questions(spark, sf_dir)))
+
+
+def clock_sync(spark, sf_dir):
+    """All packets with their device's best offset as of their time."""
+    offsets = clock.best_offsets(clock.round_trips(*_questions(spark, sf_dir)))
+    p = tables.packets(spark, sf_dir).select("device_id", "seq", F.unix_micros("ts").alias("client_time"))
+    return rounded(clock.corrected(p, offsets).withColumn("server_time", F.floor("server_time")))
+
+
+def training_schedule(spark, sf_dir):
+    """Devices as runs, their values as losses, an epoch each."""
+    return rounded(features.training_schedule(tables.packets(spark, sf_dir), DEVICE, ORDER, "magnitude"))
+
+
+def event_bundles(spark, sf_dir):
+    """All clips written as bundles (WAV, CSV, JSON) in the shared folder, and read back."""
+    c = tables.clips(spark, sf_dir)
+    sensors = F.transform(F.slice("samples", 1, 3), lambda v, i: F.struct(i.cast("long").alias("timestamp"), v.alias("magnetic_magnitude"), F.abs(v).alias("audio_peak"), (v > 0).alias("humanoid_detected")))
+    rows = c.select(F.concat(F.lit("event/"), F.col("clip_id").cast("string")).alias("event_id"), "sample_rate", "samples", sensors.alias("sensors"), F.to_json(F.struct("clip_id", "label")).alias("metadata"))
+    path = f"{shared.shared_dir(spark).rstrip('/')}/envsense-bundles-{uuid.uuid4().hex}"
+    bundle_source.write(rows, path)
+    back = bundle_source.read(spark, path)
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    return rounded(back.select(
+        "event_id", "sample_rate", F.size("samples").alias("n"), (total(F.col("samples"), lambda v: v * 32768)).cast("long").alias("pcm_sum"), F.element_at("samples", -1).alias("last"),
+        total(F.col("sensors"), lambda x: x["magnetic_magnitude"]).alias("magnitudes"), F.size(F.filter("sensors", lambda x: x["humanoid_detected"])).alias("humanoids"), F.get_json_object("metadata", "$.label").cast("long").alias("label"),
+    ))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     fused_events, rolling_sigma_raw, rolling_sigma_w20, kalman_1d, kalman_adaptive, kalman_3d, filtered_sigma, ekf_identity, orientation,
     kalman_1d_split, kalman_adaptive_split, kalman_3d_split, kalman_velocity, kalman_velocity_split,
@@ -408,8 +512,9 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     realtime_stats, server_counters, packet_sessions, rate_limit_rejects, downsample_last, sync_sensors, calibrate_mag, calibrate_bias,
     calibration_steps, apply_calibration, audio_fft, audio_zcr, client_spectrum, audio_stft, audio_variants, audio_averaged, audio_ensemble,
     audio_fft_long, client_spectrum_long, audio_stft_long, audio_wavelet, audio_wavelet_levels,
-    audio_ensemble_vote, sensor_features, classification_metrics, confusion, pose_flag, embedding_meanpool, embedding_concat, label_softmax, scalar_functions,
+    audio_ensemble_vote, sensor_features, sensor_model, classification_metrics, confusion, pose_flag, embedding_meanpool, embedding_concat, label_softmax, scalar_functions,
     packet_errors, calibrate_mag_literal, calibrate_gyro, calibration_wizard, stored_calibrations, ack_messages, pcm_samples, session_clock, one_shot_test,
+    correlation_engine, sliding_buffer, anomaly_messages, pose_confidence, clock_round_trips, clock_sync, training_schedule, event_bundles,
 )
 
 
