@@ -65,3 +65,18 @@ def next_steps(spark) -> DataFrame:
     """place, step, computes, next_step: the wizard as a table; the last step stays."""
     rows = spark.createDataFrame([(k, s, COMPUTES.get(s)) for k, s in enumerate(STEPS)], "place int, step string, computes string")
     return rows.withColumn("next_step", F.coalesce(F.lead("step").over(Window.orderBy("place")), "step"))
+
+
+def wizard_progress(samples: DataFrame, keys: list[str], order: list[str], settings: Settings = DEFAULT) -> DataFrame:
+    """keys, place, step, samples, complete, computes, next_step: how far each device's samples have taken its wizard.
+
+    States that only announce are passed; each of the others takes ``calibration_samples`` samples in order and is then
+    left, which fits the sensor that ``computes`` names. Samples beyond the last state are counted as COMPLETED.
+    """
+    taking = [s for s in STEPS if not s.startswith(("WELCOME", "PREPARE"))]
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    k = F.least(F.floor(n / settings.calibration_samples), F.lit(len(taking) - 1)).cast("int")
+    counted = samples.select(*keys, F.get(F.array(*map(F.lit, taking)), k).alias("step")).groupBy(*keys, "step").agg(F.count("*").alias("samples"))
+    steps = next_steps(samples.sparkSession)
+    out = counted.join(F.broadcast(steps), "step").withColumn("complete", (F.col("samples") >= settings.calibration_samples) | (F.col("step") == STEPS[-1]))
+    return out.select(*keys, "place", "step", "samples", "complete", F.when(F.col("complete"), F.col("computes")).alias("computes"), "next_step")

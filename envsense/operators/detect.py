@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.columns import let
+from .scans import fold, together
 
 
 def rolling_sigma(rows: DataFrame, keys: list[str], order: list[str], value: str, settings: Settings = DEFAULT, *, zeros: bool = False) -> DataFrame:
@@ -65,6 +67,23 @@ def rate_limit(rows: DataFrame, device: str, ts: str, order: list[str], unit: st
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > limit).withColumn("error", F.lit("RATE_LIMIT_EXCEEDED"))
 
 
+def token_bucket(rows: DataFrame, keys: list[str], micros: str, order: list[str], rate: float = DEFAULT.rate_limit, most: float = DEFAULT.rate_limit) -> DataFrame:
+    """keys, order, tokens, error: a bucket of ``most`` tokens that fills by ``rate`` a second; a row takes one or is rejected.
+
+    ``micros`` (whole microseconds) is the first part of ``order``. tokens: what is left after the row.
+    """
+    kind = "struct<tokens:double,at:bigint,accepted:boolean>"
+
+    def step(s, e):
+        full = F.least(F.lit(float(most)), s["tokens"] + F.coalesce(e[micros] - s["at"], F.lit(0)) * F.lit(rate / 1e6))
+        return let(full, lambda f: F.struct(F.when(f >= 1, f - 1).otherwise(f).alias("tokens"), e[micros].alias("at"), (f >= 1).alias("accepted")))
+
+    start = F.struct(F.lit(float(most)).alias("tokens"), F.lit(None).cast("long").alias("at"), F.lit(True).alias("accepted"))
+    grouped = together(rows.select(*keys, F.struct(*order).alias("sample")), *keys).groupBy(*keys).agg(F.array_sort(F.collect_list("sample")).alias("samples"))
+    each = grouped.select(*keys, F.explode(F.arrays_zip(F.col("samples").alias("s"), fold(F.col("samples"), kind, start, step).alias("f"))).alias("e"))
+    return each.select(*keys, *(F.col(f"e.s.{c}").alias(c) for c in order), F.col("e.f.tokens").alias("tokens"), F.when(~F.col("e.f.accepted"), F.lit("RATE_LIMIT_EXCEEDED")).alias("error"))
+
+
 def downsample_last(rows: DataFrame, device: str, ts: str, order: list[str], every: str, values: list[str]) -> DataFrame:
     """The last row of each device and window of time."""
     last = F.max_by(F.struct(*values), F.struct(*order))

@@ -217,8 +217,7 @@ ORACLE: dict[str, str] = {
     "filtered_sigma": f"""WITH RECURSIVE {PACKETS_SQL}, {ADAPTIVE}, {sigma('x', 'rec')} SELECT device_id, seq, {r('z', 'raw')}, {r('x', 'filtered')}, n, {ZEROS}, anomaly FROM s""",
     "orientation": f"""WITH RECURSIVE {AXES_SQL}, {_turn()} SELECT device_id, ts, seq, {r('atan2(2*(q0*q1 + q2*q3), 1 - 2*(q1*q1 + q2*q2))', 'roll')},
         {r('asin(least(greatest(2*(q0*q2 - q3*q1), -1.0::DOUBLE), 1.0::DOUBLE))', 'pitch')}, {r('atan2(2*(q0*q3 + q1*q2), 1 - 2*(q2*q2 + q3*q3))', 'yaw')} FROM rec WHERE k > 0""",
-    "fusion_truth_table": f"""SELECT m AS anomaly, a AS audio_anomaly, h AS humanoid, {r('CASE WHEN m THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN a THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN h THEN 0.2::DOUBLE ELSE 0 END', 'correlation_score')},
-        (m::INT + a::INT + h::INT) >= 2 AS is_event FROM (VALUES (false), (true)) x(m), (VALUES (false), (true)) y(a), (VALUES (false), (true)) z(h)""",
+    "fusion_truth_table": f"""WITH {DETECTED} SELECT anomaly, audio_anomaly, humanoid, {r('correlation_score', 'correlation_score')}, is_event, count(*) AS n FROM found GROUP BY ALL""",
     "correlate_window": f"""WITH {DETECTED}, near AS (
         SELECT *, count(*) OVER f AS buffered, bool_or(anomaly) OVER f AS near_anomaly, bool_or(audio_anomaly) OVER f AS near_audio_anomaly, bool_or(humanoid) OVER f AS near_humanoid
         FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM found) WINDOW f AS (PARTITION BY device_id ORDER BY sec RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW))
@@ -273,10 +272,10 @@ ORACLE: dict[str, str] = {
         f AS (SELECT x, 2.0::DOUBLE * coalesce(sum(n) FILTER (l = x AND p = x), 0) / (coalesce(sum(n) FILTER (l = x), 0) + coalesce(sum(n) FILTER (p = x), 0)) AS f1 FROM c, k GROUP BY x)
         SELECT {r('(SELECT sum(n) FILTER (l = p)::DOUBLE / sum(n) FROM c)', 'accuracy')}, {r('avg(f1)', 'macro_f1')} FROM f""",
     "confusion": "SELECT quality AS label, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2",
-    "pose_flag": f"WITH {CLIPS_SQL} SELECT clip_id, count(*) FILTER (v > 0.1::DOUBLE) >= 5 AS humanoid FROM samples WHERE i < 17 GROUP BY clip_id",
+    "pose_flag": f"WITH {CLIPS_SQL} SELECT clip_id, count(*) FILTER (v > 0.1::DOUBLE) >= 12 AS humanoid FROM samples GROUP BY clip_id",
     "embedding_meanpool": f"WITH {CLIPS_SQL} SELECT label, i::INT AS dim, {r('avg(v)', 'mean')} FROM samples JOIN clips USING (clip_id) GROUP BY label, i",
-    "embedding_concat": f"WITH {CLIPS_SQL} SELECT clip_id, (CASE WHEN i < 8 THEN i ELSE i - 24 END)::INT AS dim, {r('v', 'v')} FROM samples WHERE i < 8 OR (i >= 32 AND i < 36)",
-    "label_softmax": f"""WITH {CLIPS_SQL}, e AS (SELECT clip_id, i, exp(v - max(v) OVER (PARTITION BY clip_id)) AS e FROM samples WHERE i < 4)
+    "embedding_concat": f"WITH {CLIPS_SQL} SELECT clip_id, dim::INT AS dim, {r('v', 'v')} FROM (SELECT clip_id, i AS dim, v FROM samples UNION ALL SELECT clip_id, 127 - i, v FROM samples)",
+    "label_softmax": f"""WITH {CLIPS_SQL}, e AS (SELECT clip_id, i, exp(v - max(v) OVER (PARTITION BY clip_id)) AS e FROM samples)
         SELECT clip_id, {r('max(e) / sum(e)', 'confidence')}, arg_max(i, (e, -i))::INT AS class FROM e GROUP BY clip_id""",
     "scalar_functions": f"""WITH {PACKETS_SQL} SELECT device_id, seq, {EVENT_ID.format('epoch_us(ts) * 1000 + 999')} AS event_id, 'event_' || strftime(ts, '%Y%m%d_%H%M%S') AS calendar_id,
         {r('20 * log10(abs(magnitude) + 1e-10::DOUBLE)', 'db')}, {r('10 * log10(magnitude + 1e-10::DOUBLE)', 'power_db')}, {r('sqrt(magnitude*magnitude + 4*magnitude*magnitude + 4*magnitude*magnitude)', 'norm')},
@@ -290,7 +289,10 @@ ORACLE: dict[str, str] = {
         fit AS (SELECT device_id, {', '.join(f'min({a}) AS lo_{a}, greatest(max({a}), {LEAST_FLOAT}::DOUBLE) AS hi_{a}' for a in 'xyz')} FROM turned GROUP BY device_id)
         SELECT device_id, {', '.join([*(r(f'(hi_{a} + lo_{a}) / 2', f'offset_{a}') for a in 'xyz'), *(r(f'CASE WHEN abs(hi_{a} - lo_{a}) > 1e-6::DOUBLE THEN ((hi_x - lo_x) + (hi_y - lo_y) + (hi_z - lo_z)) / 3 / (hi_{a} - lo_{a}) ELSE 1.0::DOUBLE END', f'scale_{a}') for a in 'xyz')])} FROM fit""",
     "calibrate_gyro": f"WITH {AXES_SQL} SELECT device_id, {r('avg(x)', 'offset_x')}, {r('avg(y)', 'offset_y')}, {r('avg(z)', 'offset_z')} FROM axes GROUP BY device_id",
-    "calibration_wizard": "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}', '{COMPUTES.get(s, '')}', '{STEPS[min(k + 1, len(STEPS) - 1)]}')" for k, s in enumerate(STEPS)) + ") t(place, step, computes, next_step)",
+    "calibration_wizard": f"""WITH {AXES_SQL}, steps(place, step, computes, next_step) AS (VALUES {', '.join(f"({k}, '{s}', '{COMPUTES.get(s, '')}', '{STEPS[min(k + 1, len(STEPS) - 1)]}')" for k, s in enumerate(STEPS))}),
+        taking AS (SELECT *, row_number() OVER (ORDER BY place) - 1 AS k FROM steps WHERE NOT regexp_matches(step, '^(WELCOME|PREPARE)')),
+        c AS (SELECT device_id, least((row_number() OVER (PARTITION BY device_id ORDER BY ts, seq) - 1) // 20, 9) AS k FROM axes), g AS (SELECT device_id, k, count(*) AS samples FROM c GROUP BY ALL)
+        SELECT device_id, place, step, samples, samples >= 20 OR k = 9 AS complete, CASE WHEN samples >= 20 OR k = 9 THEN computes ELSE '' END AS computes, next_step FROM g JOIN taking USING (k)""",
     "stored_calibrations": f"""WITH {AXES_SQL}, {FIT.format('WHERE device_id % 3 <> 0')} SELECT d.device_id, {', '.join([*(r(f'coalesce(offset_{a}, 0.0::DOUBLE)', f'offset_{a}') for a in 'xyz'), *(r(f'coalesce(scale_{a}, 1.0::DOUBLE)', f'scale_{a}') for a in 'xyz')])},
         CASE WHEN fit.device_id IS NULL THEN 0 ELSE d.device_id * 1000 END::BIGINT AS timestamp, fit.device_id IS NOT NULL AS calibrated FROM (SELECT DISTINCT device_id FROM axes) d LEFT JOIN fit ON fit.device_id = d.device_id""",
     "ack_messages": """SELECT user_id AS device_id, '{"type":"ack","timestamp":' || (epoch_us(ts) * 1000) || ',"status":"ok"}' AS message FROM events""",
@@ -325,6 +327,9 @@ ORACLE["clock_sync"] = f"""WITH {CLOCKS}, best AS (
     ) SELECT device_id, seq, client_time, {r('off', 'offset')}, floor(client_time + off)::BIGINT AS server_time FROM j"""
 ORACLE["event_bundles"] = f"""WITH {CLIPS_SQL} SELECT 'event/' || clip_id AS event_id, 44100 AS sample_rate, len(samples)::INT AS n, list_sum(list_transform(samples, lambda v: least(greatest(floor(v * 32768), -32768), 32767)))::BIGINT AS pcm_sum,
     {r('least(greatest(floor(samples[-1] * 32768), -32768), 32767) / 32768.0::DOUBLE', 'last')}, {r('samples[1] + samples[2] + samples[3]', 'magnitudes')}, len(list_filter(samples[1:3], lambda v: v > 0))::INT AS humanoids, label::BIGINT AS label FROM clips"""
+_TOKENS = "least(3.0::DOUBLE, rec.tokens + (o.us - rec.us) * (1.0::DOUBLE / 86400 / 1e6::DOUBLE))"
+ORACLE["token_bucket"] = f"""WITH RECURSIVE {PACKETS_SQL}, {folded('', 'SELECT device_id, ts, seq, epoch_us(ts) AS us FROM packets', 'us, seq, 2.0::DOUBLE AS tokens, true AS ok', f'o.us, o.seq, CASE WHEN {_TOKENS} >= 1 THEN {_TOKENS} - 1 ELSE {_TOKENS} END, {_TOKENS} >= 1')}
+    SELECT device_id, seq, {r('tokens', 'tokens')}, CASE WHEN ok THEN '' ELSE 'RATE_LIMIT_EXCEEDED' END AS error FROM rec"""
 _BETTER, _LEAST = "(o.z < rec.best * (1 - 1e-4::DOUBLE))", "(o.z < rec.least)"
 _BAD = f"(CASE WHEN {_BETTER} THEN 0 ELSE rec.bad0 + 1 END)"
 SCHEDULE = folded(

@@ -119,8 +119,9 @@ def orientation(spark, sf_dir):
 
 
 def fusion_truth_table(spark, sf_dir):
-    flags = spark.range(8).select(*(((F.shiftright("id", k) % 2) == 1).alias(c) for k, c in enumerate(("anomaly", "audio_anomaly", "humanoid"))))
-    return rounded(fusion.fuse(flags))
+    """Packets by what fired on them, with the score and verdict of each combination."""
+    rows = _detected(spark, sf_dir).groupBy("anomaly", "audio_anomaly", "humanoid", "correlation_score", "is_event").agg(F.count("*").alias("n"))
+    return rounded(rows)
 
 
 def correlate_window(spark, sf_dir):
@@ -337,8 +338,7 @@ def confusion(spark, sf_dir):
 
 
 def pose_flag(spark, sf_dir):
-    points = F.slice("samples", 1, 17)
-    return tables.clips(spark, sf_dir).select("clip_id", C.pose_present(points, 5, 0.1).alias("humanoid"))
+    return tables.clips(spark, sf_dir).select("clip_id", C.pose_present(F.col("samples"), 12, 0.1).alias("humanoid"))
 
 
 def embedding_meanpool(spark, sf_dir):
@@ -347,13 +347,13 @@ def embedding_meanpool(spark, sf_dir):
 
 
 def embedding_concat(spark, sf_dir):
-    c = features.concat_embeddings(tables.clips(spark, sf_dir).select("clip_id", F.slice("samples", 1, 8).alias("a"), F.slice("samples", 33, 4).alias("b")), "a", "b")
+    c = features.concat_embeddings(tables.clips(spark, sf_dir).select("clip_id", F.col("samples").alias("a"), F.reverse("samples").alias("b")), "a", "b")
     return rounded(c.select("clip_id", F.posexplode("embedding").alias("dim", "v")))
 
 
 def label_softmax(spark, sf_dir):
-    """Softmax and argmax over the first four values as logits."""
-    c = tables.clips(spark, sf_dir).select("clip_id", F.slice("samples", 1, 4).alias("logits"))
+    """Softmax and argmax over all values as logits."""
+    c = tables.clips(spark, sf_dir).select("clip_id", F.col("samples").alias("logits"))
     p = c.select("clip_id", C.softmax(F.col("logits")).alias("p"))
     return rounded(p.select("clip_id", F.array_max("p").alias("confidence"), C.argmax(F.col("p")).alias("class")))
 
@@ -398,7 +398,9 @@ def calibrate_gyro(spark, sf_dir):
 
 
 def calibration_wizard(spark, sf_dir):
-    return calibration.next_steps(spark).withColumn("computes", F.coalesce("computes", F.lit("")))
+    """How far each device's samples take its wizard, with 20 samples a state."""
+    rows = calibration.wizard_progress(tables.axes(spark, sf_dir), DEVICE, ["ts", "seq"], replace(DEFAULT, calibration_samples=20))
+    return rows.withColumn("computes", F.coalesce("computes", F.lit("")))
 
 
 def stored_calibrations(spark, sf_dir):
@@ -431,6 +433,13 @@ def one_shot_test(spark, sf_dir):
     return rounded(detect.one_shot(spark, 95.5, noise=noise))
 
 
+def token_bucket(spark, sf_dir):
+    """Three tokens at most, one a day."""
+    rows = tables.packets(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
+    out = detect.token_bucket(rows, DEVICE, "us", ["us", "seq"], 1 / 86400, 3)
+    return rounded(out.withColumn("error", F.coalesce("error", F.lit(""))), "device_id", "seq", "tokens", "error")
+
+
 def correlation_engine(spark, sf_dir):
     """The current row's score beside the number of rows of the last six hours."""
     rows = _detected(spark, sf_dir).drop("correlation_score", "is_event").withColumn("us", F.unix_micros("ts"))
@@ -514,7 +523,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     audio_fft_long, client_spectrum_long, audio_stft_long, audio_wavelet, audio_wavelet_levels,
     audio_ensemble_vote, sensor_features, sensor_model, classification_metrics, confusion, pose_flag, embedding_meanpool, embedding_concat, label_softmax, scalar_functions,
     packet_errors, calibrate_mag_literal, calibrate_gyro, calibration_wizard, stored_calibrations, ack_messages, pcm_samples, session_clock, one_shot_test,
-    correlation_engine, sliding_buffer, anomaly_messages, pose_confidence, clock_round_trips, clock_sync, training_schedule, event_bundles,
+    token_bucket, correlation_engine, sliding_buffer, anomaly_messages, pose_confidence, clock_round_trips, clock_sync, training_schedule, event_bundles,
 )
 
 
