@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import let
 from ..sources.schema import VARIANT
 from . import audio_kernels
-from .spectra import client_spectrum, fft_features, stft_features  # noqa: F401
+from .spectra import averaged_features, client_spectrum, fft_features, filterbank_features, formant_features, mel_spectrogram, stft_features  # noqa: F401
 
 #: Variants in the order of their weights. Others are added with ``register``.
 VARIANTS: dict[str, Callable] = {
@@ -23,6 +23,10 @@ VARIANTS: dict[str, Callable] = {
 }
 
 
+#: Those that ``analyze`` does for batches of clips.
+BUILT_IN = tuple(VARIANTS)
+
+
 def register(name: str, kernel: Callable) -> None:
     """Make a kernel (samples, rate) -> (anomaly, confidence, features, metadata) a variant."""
     VARIANTS[name] = kernel
@@ -82,10 +86,70 @@ def wavelet_features(clips: DataFrame, levels: int = 6) -> DataFrame:
     return out.withColumns({"anomaly": high | low, "confidence": F.when(high, 0.5).otherwise(0.0) + F.when(low, 0.5).otherwise(0.0)})
 
 
+def _named(columns: dict[str, Column]) -> Column:
+    """A map of the features that are not null; flags are 0 and 1."""
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), c.cast("double").alias("value")) for k, c in columns.items()))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
+def _variant_rows(name: str, clips: DataFrame) -> DataFrame:
+    """One variant's results for all clips: clip_id and the columns of VARIANT but the name. No verdict where it fails."""
+    none = F.lit(None).cast("string")
+    columns = lambda df, *skip: {c: F.col(c) for c in df.columns if c not in ("clip_id", "anomaly", "confidence", *skip)}
+    about = lambda **kv: F.map_from_arrays(F.array(*map(F.lit, kv)), F.array(*(v.cast("string") if isinstance(v, Column) else F.lit(str(v)) for v in kv.values())))
+    sizes = clips.select("clip_id", F.coalesce(F.size("samples"), F.lit(0)).alias("n"))
+    if name == "fft_classic":
+        out = fft_features(clips.withColumn("clip_id", F.struct("clip_id", F.greatest(F.coalesce(F.size("samples"), F.lit(0)), F.lit(0)).alias("n"))))
+        out = out.select(F.col("clip_id.clip_id").alias("clip_id"), F.col("clip_id.n").alias("n_"), *[c for c in out.columns if c != "clip_id"])
+        bands = {c: F.coalesce(c, F.lit(float("-inf"))) if c not in ("peak_frequency_hz", "peak_power_db") else F.col(c) for c in columns(out, "n_")}
+        failed, features, metadata = F.when(F.col("peak_power_db").isNull(), F.lit("a clip without a bin")), _named(bands), about(num_samples=F.col("n_"))
+    elif name == "stft_temporal":
+        out = stft_features(clips)
+        failed, features, metadata = F.when(F.col("flux_max").isNull(), F.lit("the overlap is not shorter than the window")), _named(columns(out)), about()
+    elif name == "wavelet_multiresolution":
+        out = sizes.join(wavelet_features(clips), "clip_id", "left").drop("n")
+        failed, features, metadata = F.when(F.col("anomaly").isNull(), F.lit("an empty clip")), _named(columns(out)), about(levels=6)
+    elif name == "formant_evp":
+        out = formant_features(clips)
+        found = {c: F.when(~F.col("failed"), F.col(c)) for c in columns(out, "failed", "formant_count")}
+        found |= {"formant_count": F.when(~F.col("failed") & (F.col("formant_count") < 2), F.col("formant_count"))}
+        rows = out.select("clip_id", "anomaly", "confidence", _named(found).alias("features"), about(lpc_order=12).alias("metadata"), F.when(F.col("failed"), F.lit("too few or invalid samples")).alias("error"))
+        return rows
+    elif name == "filterbank_energy":
+        out = filterbank_features(clips)
+        bands = {f"band_{k}_energy_db": F.get("band_energy_db", F.lit(k)) for k in range(32)}
+        failed, features, metadata = none, _named(bands | columns(out, "band_energy_db")), about(num_bands=32)
+    else:
+        out = zero_crossings(clips.where(F.size("samples") > 0), 2048, 512)
+        out = sizes.join(out, "clip_id", "left").drop("n")
+        flags = F.col("high_zcr") | F.col("variable_zcr")
+        out = out.withColumns({"anomaly": flags, "confidence": F.when(F.col("high_zcr"), 0.5).otherwise(0.0) + F.when(F.col("variable_zcr"), 0.5).otherwise(0.0)})
+        failed, features, metadata = F.when(F.col("zcr_mean").isNull(), F.lit("an empty clip")), _named(columns(out)), F.create_map().cast("map<string,string>")
+    verdict = lambda c: F.when(failed.isNull(), F.col(c))
+    return out.select("clip_id", verdict("anomaly").alias("anomaly"), verdict("confidence").alias("confidence"), F.when(failed.isNull(), features).alias("features"), F.when(failed.isNull(), metadata).alias("metadata"), failed.alias("error"))
+
+
 def analyze(clips: DataFrame, names: list[str] | None = None, kernels: dict[str, Callable] | None = None) -> DataFrame:
-    """clip_id and one variant's result a row, by Arrow batches; a variant that raises has ``error`` set and no verdict."""
-    kernels = VARIANTS if kernels is None else kernels
-    chosen = [(n, kernels[n]) for n in (names or kernels)]
+    """clip_id and one variant's result a row; a variant that fails has ``error`` set and no verdict (but for the voice variant, which votes).
+
+    The six variants are those of ``spectra`` and this module, for batches of clips. Kernels that were registered,
+    or are given, run clip by clip.
+    """
+    own = {n: k for n, k in (VARIANTS if kernels is None else kernels).items() if names is None or n in names}
+    built = [n for n in own if kernels is None and n in BUILT_IN]
+    rows = [_variant_rows(n, clips).withColumn("variant", F.lit(n)) for n in built]
+    other = {n: k for n, k in own.items() if n not in built}
+    if other:
+        rows.append(_by_kernels(clips, other))
+    order = ["clip_id", *(f.split(" ")[0] for f in VARIANT.split(", "))]
+    out = rows[0].select(order)
+    for more in rows[1:]:
+        out = out.union(more.select(order))
+    return out
+
+
+def _by_kernels(clips: DataFrame, kernels: dict[str, Callable]) -> DataFrame:
+    """The results of kernels (samples, rate) -> (anomaly, confidence, features, metadata), clip by clip."""
     kind = clips.schema["clip_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -96,7 +160,7 @@ def analyze(clips: DataFrame, names: list[str] | None = None, kernels: dict[str,
             rows = []
             for clip, rate, values in zip(batch["clip_id"], batch["sample_rate"], batch["samples"]):
                 a = np.asarray(values if values is not None else [], float)
-                for name, kernel in chosen:
+                for name, kernel in kernels.items():
                     try:
                         anomaly, confidence, features, metadata = kernel(a, int(rate))
                         error = metadata.pop("error", None)
@@ -143,19 +207,16 @@ def merged_features(results: DataFrame) -> DataFrame:
 
 def mel_features(clips: DataFrame, bands: int = 128) -> DataFrame:
     """clip_id and the log mel spectrogram (bands by frames) for learning."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            mels = [audio_kernels.power_to_db(audio_kernels.mel_spectrogram(np.asarray(a, float), int(r), bands)).tolist() for a, r in zip(batch["samples"], batch["sample_rate"])]
-            yield pd.DataFrame({"clip_id": batch["clip_id"], "mel": mels})
-
-    kind = clips.schema["clip_id"].dataType.simpleString()
-    return clips.select("clip_id", "sample_rate", "samples").mapInPandas(run, f"clip_id {kind}, mel array<array<double>>")
+    flat = mel_spectrogram(clips, bands)
+    return flat.select("clip_id", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.slice("mel", k * F.col("frames") + 1, F.col("frames"))).alias("mel"))
 
 
 def averaged(clips: DataFrame) -> DataFrame:
     """The averaged-spectrum detector's results, in the form of a variant's."""
-    return analyze(clips, kernels={"averaged_spectrum": audio_kernels.averaged_spectrum})
+    out = averaged_features(clips)
+    names = [c for c in out.columns if c not in ("clip_id", "anomaly", "confidence")]
+    failed = F.col("peak_power_db").isNull()
+    return out.select(
+        "clip_id", F.lit("averaged_spectrum").alias("variant"), F.when(~failed, F.col("anomaly")).alias("anomaly"), F.when(~failed, F.col("confidence")).alias("confidence"),
+        F.when(~failed, _named({c: F.col(c) for c in names})).alias("features"), F.create_map().cast("map<string,string>").alias("metadata"), F.when(failed, F.lit("an empty clip")).alias("error"),
+    )

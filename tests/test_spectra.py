@@ -42,7 +42,7 @@ def test_arrays_are_cut_to_cells(spark, monkeypatch):
     import pyarrow as pa
 
     lists = pa.array([[1.0, 2.0], None, [3.0, None], [4.0] * 60, [5.0] * 60], pa.list_(pa.float64()))
-    got = [(rows.tolist(), array.shape) for rows, array in spectra.stacked(lists.slice(1))]
+    got = [(rows.tolist(), array.shape) for rows, array, _ in spectra.stacked(lists.slice(1), np.full(4, 8000))]
     assert got == [([0], (1, 0)), ([1], (1, 2)), ([2], (1, 60)), ([3], (1, 60))]
 
 
@@ -54,3 +54,38 @@ def test_wavelet_levels_equal_the_kernel(spark):
         anomaly, confidence, f, _ = audio_kernels.wavelet_multiresolution(np.array(made[k][2]), 44_100)
         assert (r.anomaly, r.confidence) == (anomaly, confidence)
         np.testing.assert_allclose([r[n] for n in f], [*f.values()], rtol=1e-9, atol=1e-12)
+
+
+def test_all_variants_equal_their_kernels(spark):
+    made, df = clips_of(spark, [4096, 1600, 9000, 20, 5, 4096])
+    for r in audio.analyze(df).collect():
+        kernel = audio.VARIANTS[r.variant]
+        try:
+            anomaly, confidence, features, metadata = kernel(np.array(made[r.clip_id][2]), 44_100)
+        except ValueError:
+            assert r.anomaly is None and r.error
+            continue
+        assert (r.anomaly, round(r.confidence, 9), bool(r.error)) == (anomaly, round(confidence, 9), "error" in metadata), r
+        missing = {k for k, v in features.items() if np.isinf(v)}
+        assert set(r.features) == set(features) and all(np.isinf(r.features[k]) for k in missing)
+        for k in features.keys() - missing:
+            assert abs(r.features[k] - features[k]) < 1e-6 * max(1, abs(features[k])), (r.variant, k)
+        if r.variant == "fft_classic":
+            assert r.metadata == metadata
+    for r in audio.averaged(df).collect():
+        anomaly, confidence, features, _ = audio_kernels.averaged_spectrum(np.array(made[r.clip_id][2]), 44_100)
+        assert (r.anomaly, round(r.confidence, 9)) == (anomaly, round(confidence, 9))
+        assert all(abs(r.features[k] - v) < 1e-6 for k, v in features.items())
+    mel = {r.clip_id: r.mel for r in audio.mel_features(df, 16).collect()}
+    for k, _, a in made:
+        np.testing.assert_allclose(mel[k], audio_kernels.power_to_db(audio_kernels.mel_spectrogram(np.array(a), 44_100, 16)), atol=1e-9)
+
+
+def test_variants_of_empty_clips(spark):
+    _, df = clips_of(spark, [None, 0])
+    rows = audio.analyze(df).collect()
+    assert len(rows) == 12
+    for r in rows:
+        assert (r.anomaly is None) == (r.variant not in ("formant_evp", "filterbank_energy")), r
+    assert audio.analyze(df.limit(0)).count() == audio.averaged(df.limit(0)).count() == 0
+    assert all(r.anomaly is None for r in audio.averaged(df).collect())
