@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import let
 from ..sources.schema import VARIANT
 from . import audio_kernels
 from .spectra import averaged_features, client_spectrum, fft_features, filterbank_features, formant_features, mel_spectrogram, stft_features  # noqa: F401
@@ -45,12 +44,18 @@ def zero_crossings(clips: DataFrame, size: int, hop: int) -> DataFrame:
     return out.withColumns({"high_zcr": F.col("zcr_mean") > 0.15, "variable_zcr": F.col("zcr_std") > 0.05})
 
 
-def _mirrored(a: Column) -> Column:
-    """The array with seven more values at each end, mirrored about its ends as often as need be."""
-    n, taps = F.size(a), len(audio_kernels.DB4)
-    wide = F.concat(F.reverse(F.slice(a, 1, F.lit(taps - 1))), a, F.reverse(F.slice(a, F.greatest(n - taps + 2, F.lit(1)), F.lit(taps - 1))))
-    place = lambda i: let(F.pmod(i, 2 * n), lambda j: F.get(a, F.when(j < n, j).otherwise(2 * n - 1 - j)))
-    return F.when(n >= taps - 1, wide).otherwise(F.transform(F.sequence(F.lit(1 - taps), n + taps - 2), place))
+def _mirrored(a: str) -> str:
+    """The array column with seven more values at each end, mirrored about its ends as often as need be, in SQL."""
+    ends = len(audio_kernels.DB4) - 1
+    place = f"get({a}, CASE WHEN pmod(i, 2 * size({a})) < size({a}) THEN pmod(i, 2 * size({a})) ELSE 2 * size({a}) - 1 - pmod(i, 2 * size({a})) END)"
+    wide = f"concat(reverse(slice({a}, 1, {ends})), {a}, reverse(slice({a}, size({a}) - {ends - 1}, {ends})))"
+    return f"CASE WHEN size({a}) >= {ends} THEN {wide} ELSE transform(sequence(-{ends}, size({a}) + {ends - 1}), i -> {place}) END"
+
+
+def _filtered(a: str, taps: list[float]) -> str:
+    """Every other value of the convolution of a mirrored array column, in SQL: plans of these are parsed, not built call by call."""
+    summed = " + ".join(f"get(w, at + {k}) * {v!r}D" for k, v in enumerate(taps))
+    return f"get(transform(array({_mirrored(a)}), w -> transform(sequence(1, 2 * ((size({a}) + {len(taps) - 1}) div 2) - 1, 2), at -> {summed})), 0)"
 
 
 def wavelet_levels(clips: DataFrame, levels: int = 6) -> DataFrame:
@@ -61,18 +66,12 @@ def wavelet_levels(clips: DataFrame, levels: int = 6) -> DataFrame:
     """
     low = [float(v) for v in audio_kernels.DB4]
     high = [v * (-1.0) ** k for k, v in enumerate(reversed(low))]
-
-    def filtered(a: Column, taps: list[float]) -> Column:
-        values = lambda w: F.transform(F.sequence(F.lit(1), 2 * F.floor((F.size(a) + len(taps) - 1) / 2).cast("int") - 1, F.lit(2)), lambda at: sum((F.get(w, at + k) * F.lit(v) for k, v in enumerate(taps[1:], 1)), F.get(w, at) * F.lit(taps[0])))
-        return let(_mirrored(a), values)
-
-    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
-    summed = lambda level: lambda d: F.struct(F.lit(level).alias("level"), F.size(d).alias("length"), square(d).alias("energy"))
-    rows = clips.where(F.size("samples") > 0).select("clip_id", F.col("samples").alias("a0"), F.array().cast("array<struct<level:int,length:int,energy:double>>").alias("done"))
+    energy = lambda d, level: f"named_struct('level', {level}, 'length', size({d}), 'energy', aggregate({d}, 0.0D, (s, v) -> s + v * v))"
+    rows = clips.where(F.size("samples") > 0).selectExpr("clip_id", "samples AS a0", "CAST(array() AS array<struct<level:int,length:int,energy:double>>) AS done")
     for k in range(levels):
-        part = let(filtered(F.col(f"a{k}"), high), summed(levels - k))
-        rows = rows.select("clip_id", filtered(F.col(f"a{k}"), low).alias(f"a{k + 1}"), F.concat("done", F.array(part)).alias("done"))
-    return rows.select("clip_id", F.explode(F.concat("done", F.array(summed(0)(F.col(f"a{levels}"))))).alias("e")).select("clip_id", "e.*")
+        part = f"get(transform(array({_filtered(f'a{k}', high)}), d -> {energy('d', levels - k)}), 0)"
+        rows = rows.selectExpr("clip_id", f"{_filtered(f'a{k}', low)} AS a{k + 1}", f"concat(done, array({part})) AS done")
+    return rows.selectExpr("clip_id", f"inline(concat(done, array({energy(f'a{levels}', 0)})))")
 
 
 def wavelet_features(clips: DataFrame, levels: int = 6) -> DataFrame:

@@ -357,6 +357,49 @@ ORACLE["audio_wavelet"] = f"""WITH {CLIPS_SQL}, {_wavelet('clips')}, s AS (SELEC
     hi > 0.1::DOUBLE OR lo > 0.5::DOUBLE AS anomaly, {r(f"{_FLAGS.format('hi > 0.1::DOUBLE', 0.5)} + {_FLAGS.format('lo > 0.5::DOUBLE', 0.5)}", 'confidence')} FROM s"""
 ORACLE["audio_wavelet_levels"] = f"""WITH {LONG_SQL}, long AS (SELECT clip_id, list_resize(flatten(list_transform(vals, lambda v: list_transform(range(0, {HELD}), lambda i: v))), {LONG}, 0.0::DOUBLE) AS samples FROM held), {_wavelet('long')}
     SELECT clip_id, level, length::INT AS length, {r('energy', 'energy')} FROM w"""
+
+
+def _mel(bands: int) -> str:
+    """CTEs up to db (clip_id, band, db): clips of 64 samples are one frame, in the middle of its window."""
+    return f"""{CLIPS_SQL}, waves AS MATERIALIZED (
+      SELECT k, list_transform(range(0, 64), lambda i: (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * (1024 + i) / 2048)) * cos(2 * {PI} * ((k * i) % 2048) / 2048)) AS c,
+             list_transform(range(0, 64), lambda i: (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * (1024 + i) / 2048)) * sin(2 * {PI} * ((k * i) % 2048) / 2048)) AS s FROM range(0, 1025) t(k)
+    ), power AS MATERIALIZED (
+      SELECT clip_id, k, list_dot_product(samples, c) ^ 2 + list_dot_product(samples, s) ^ 2 AS p FROM clips, waves
+    ), mels AS (
+      SELECT j, j * (15 + ln(22050 / 1000.0::DOUBLE) / (ln(6.4::DOUBLE) / 27)) / {bands + 1} AS m FROM range(0, {bands + 2}) t(j)
+    ), edges AS (
+      SELECT j, CASE WHEN m < 15 THEN m * (200 / 3.0::DOUBLE) ELSE 1000 * exp(ln(6.4::DOUBLE) / 27 * (m - 15)) END AS e FROM mels
+    ), bank AS (
+      SELECT a.j AS band, k, greatest(0, least((k * 44100 / 2048.0::DOUBLE - a.e) / (b.e - a.e), (c.e - k * 44100 / 2048.0::DOUBLE) / (c.e - b.e))) * (2 / (c.e - a.e)) AS w
+      FROM edges a JOIN edges b ON b.j = a.j + 1 JOIN edges c ON c.j = a.j + 2, range(0, 1025) t(k)
+    ), mel AS (
+      SELECT clip_id, band, greatest(sum(p * w), 1e-10::DOUBLE) AS v FROM power JOIN bank USING (k) GROUP BY clip_id, band
+    ), top AS (
+      SELECT *, 10 * log10(v) - 10 * log10(max(v) OVER (PARTITION BY clip_id)) AS d FROM mel
+    ), db AS (
+      SELECT clip_id, band, greatest(d, max(d) OVER (PARTITION BY clip_id) - 80) AS db FROM top
+    )"""
+
+
+ORACLE["audio_mel"] = f"WITH {_mel(128)} SELECT clip_id, band::INT AS band, 0 AS frame, {r('db', 'db')} FROM db"
+ORACLE["audio_filterbank"] = f"""WITH {_mel(32)}, part AS (SELECT *, db - min(db) OVER (PARTITION BY clip_id) AS q FROM db), norm AS (SELECT *, q / (sum(q) OVER (PARTITION BY clip_id) + 1e-10::DOUBLE) AS h FROM part),
+    e AS (SELECT clip_id, -sum(h * log2(h + 1e-10::DOUBLE)) AS entropy, max(db) AS top, arg_max(band, (db, -band))::DOUBLE AS best FROM norm GROUP BY clip_id)
+    SELECT clip_id, band::INT AS band, {r('db', 'db')}, {r('best', 'max_band_index')}, {r('entropy', 'band_entropy')}, entropy < 3 OR top > -30 AS anomaly, {r(f"{_FLAGS.format('entropy < 3', 0.4)} + {_FLAGS.format('top > -30', 0.6)}", 'confidence')} FROM db JOIN e USING (clip_id)"""
+ORACLE["audio_welch"] = f"""WITH {CLIPS_SQL.replace('unnest(samples) AS v FROM clips', 'unnest(samples) AS v0 FROM clips')}, h AS (
+      SELECT clip_id, i, (v0 - avg(v0) OVER (PARTITION BY clip_id)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * i / 64)) AS v FROM samples
+    ), bins AS (
+      SELECT clip_id, k, (sum(v * cos(a)) ^ 2 + sum(v * sin(a)) ^ 2) / (44100 * (SELECT sum((0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * i / 64)) ^ 2) FROM range(0, 64) t(i))) * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END AS p
+      FROM (SELECT clip_id, k, v, 2 * {PI} * k * i / 64 AS a FROM h, range(0, 33) t(k)) GROUP BY clip_id, k
+    ), db AS (SELECT clip_id, k, k * 44100 / 64.0::DOUBLE AS f, p, 10 * log10(p + 1e-10::DOUBLE) AS db FROM bins)
+    SELECT clip_id, coalesce(max(db) FILTER (f < 20) > -40, false) AS infrasound, coalesce(max(db) FILTER (f > 18000) > -40, false) AS ultrasound, {r('arg_max(f, (p, -k))', 'peak_frequency')}, {r('max(db)', 'peak_power_db')} FROM db GROUP BY clip_id"""
+_TIMES = "list_transform(range(1, len(f) + 1), lambda i: {} + k * {})"
+ORACLE["audio_prediction"] = f"""WITH RECURSIVE {CLIPS_SQL}, rec AS (
+      SELECT clip_id, 0 AS m, samples[2:] AS f, samples[:63] AS b, [1.0::DOUBLE] AS c FROM clips
+      UNION ALL
+      SELECT clip_id, m + 1, ({_TIMES.format('f[i]', 'b[i]')})[2:], ({_TIMES.format('b[i]', 'f[i]')})[:-2], list_transform(range(1, len(w) + 1), lambda i: w[i] + k * w[len(w) + 1 - i])
+      FROM (SELECT *, list_append(c, 0.0::DOUBLE) AS w, -2 * list_dot_product(f, b) / (list_dot_product(f, f) + list_dot_product(b, b) + 2.2250738585072014e-308::DOUBLE) AS k FROM rec WHERE m < 12)
+    ) SELECT clip_id, place::INT AS place, {r('c[place + 1]', 'coefficient')} FROM rec, range(0, 13) t(place) WHERE m = 12"""
 for _name in ("kalman_1d", "kalman_adaptive", "kalman_3d"):
     ORACLE[f"{_name}_split"] = ORACLE[_name]
 ORACLE["kalman_velocity"] = ORACLE["kalman_velocity_split"] = f"WITH RECURSIVE {AXES_SQL}, {VELOCITY} SELECT device_id, ts, seq, {r('x', 'position')}, {r('v', 'speed')}, {r('a + d', 'trace')} FROM rec"

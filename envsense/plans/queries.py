@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..config import DEFAULT
 from ..functions import columns as C
-from ..operators import audio, calibration, catalog, clock, detect, features, filters, fusion
+from ..operators import audio, calibration, catalog, clock, detect, features, filters, fusion, spectra
 from ..operators import sensor_model as sensors
 from ..sources import bundle_source
 from ..sources import packets as parsing
@@ -274,6 +274,35 @@ def audio_variants(spark, sf_dir):
     return rounded(out.select("clip_id", "variant", "anomaly", "confidence", F.size("features").alias("n_features")))
 
 
+def audio_filterbank(spark, sf_dir):
+    """The filter bank variant's mean decibels, band by band, with its entropy and verdict."""
+    out = audio.filterbank_features(tables.clips(spark, sf_dir))
+    return rounded(out.select("clip_id", F.posexplode("band_energy_db").alias("band", "db"), "max_band_index", "band_entropy", "anomaly", "confidence"))
+
+
+def audio_mel(spark, sf_dir):
+    """The log mel spectrogram for learning, a row for each band and frame."""
+    out = audio.mel_features(tables.clips(spark, sf_dir))
+    return rounded(out.select("clip_id", F.posexplode("mel").alias("band", "row")).select("clip_id", "band", F.posexplode("row").alias("frame", "db")))
+
+
+def audio_welch(spark, sf_dir):
+    """The averaged spectrum's bands and peak; formants need roots of a polynomial and are tested apart."""
+    return rounded(audio.averaged_features(tables.clips(spark, sf_dir)).select("clip_id", "infrasound", "ultrasound", "peak_frequency", "peak_power_db"))
+
+
+def audio_prediction(spark, sf_dir):
+    """The linear prediction coefficients that the voice variant takes roots of."""
+    out = spectra.prediction_coefficients(tables.clips(spark, sf_dir))
+    return rounded(out.select("clip_id", F.posexplode("coefficients").alias("place", "coefficient")))
+
+
+def audio_formants(spark, sf_dir):
+    """The voice variant's resonances and verdict."""
+    out = spectra.formant_features(tables.clips(spark, sf_dir))
+    return rounded(out.select("clip_id", "formant_count", *(F.coalesce(f"formant_f{k}", F.lit(-1.0)).alias(f"formant_f{k}") for k in (1, 2, 3)), "anomaly", "confidence"))
+
+
 def audio_averaged(spark, sf_dir):
     return rounded(audio.averaged(tables.clips(spark, sf_dir)).select("clip_id", "anomaly", "confidence"))
 
@@ -521,6 +550,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     realtime_stats, server_counters, packet_sessions, rate_limit_rejects, downsample_last, sync_sensors, calibrate_mag, calibrate_bias,
     calibration_steps, apply_calibration, audio_fft, audio_zcr, client_spectrum, audio_stft, audio_variants, audio_averaged, audio_ensemble,
     audio_fft_long, client_spectrum_long, audio_stft_long, audio_wavelet, audio_wavelet_levels,
+    audio_filterbank, audio_mel, audio_welch, audio_prediction, audio_formants,
     audio_ensemble_vote, sensor_features, sensor_model, classification_metrics, confusion, pose_flag, embedding_meanpool, embedding_concat, label_softmax, scalar_functions,
     packet_errors, calibrate_mag_literal, calibrate_gyro, calibration_wizard, stored_calibrations, ack_messages, pcm_samples, session_clock, one_shot_test,
     token_bucket, correlation_engine, sliding_buffer, anomaly_messages, pose_confidence, clock_round_trips, clock_sync, training_schedule, event_bundles,
