@@ -400,6 +400,19 @@ ORACLE["audio_prediction"] = f"""WITH RECURSIVE {CLIPS_SQL}, rec AS (
       SELECT clip_id, m + 1, ({_TIMES.format('f[i]', 'b[i]')})[2:], ({_TIMES.format('b[i]', 'f[i]')})[:-2], list_transform(range(1, len(w) + 1), lambda i: w[i] + k * w[len(w) + 1 - i])
       FROM (SELECT *, list_append(c, 0.0::DOUBLE) AS w, -2 * list_dot_product(f, b) / (list_dot_product(f, f) + list_dot_product(b, b) + 2.2250738585072014e-308::DOUBLE) AS k FROM rec WHERE m < 12)
     ) SELECT clip_id, place::INT AS place, {r('c[place + 1]', 'coefficient')} FROM rec, range(0, 13) t(place) WHERE m = 12"""
+ORACLE["video_frames"] = "SELECT c_custkey AS video_id, k::INT AS k, (k * (c_custkey * 7 % 5000) // 149)::INT AS frame FROM customer, range(0, 150) t(k)"
+ORACLE["clip_lengths"] = f"""WITH {CLIPS_SQL} SELECT clip_id, 40 AS n_cut, {r('list_sum(samples[1:40])', 'cut_sum')}, 100 AS n_filled, {r('list_sum(samples)', 'filled_sum')}, 0.0::DOUBLE AS last, {r('(samples[1] + samples[64]) / 2', 'first_mono')}, 64 AS n_mono FROM clips"""
+ORACLE["pcm_of_texts"] = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), v AS (SELECT doc_id, list_transform(regexp_extract_all(h, '[0-9A-F]{4}'), lambda x: ('0x' || x[3:4] || x[1:2])::INT) AS v FROM h)
+    SELECT doc_id, len(v)::INT AS n, coalesce(list_sum(list_transform(v, lambda x: CASE WHEN x >= 32768 THEN x - 65536 ELSE x END)), 0)::BIGINT AS total FROM v"""
+ORACLE["formants_valid"] = f"""WITH {CLIPS_SQL}, f AS (SELECT clip_id, list_sort(list_filter(list_transform(samples, lambda v: abs(v) * 20000), lambda x: x > 250 AND x < 3800)) AS f FROM clips)
+    SELECT clip_id, k::INT AS k, {r('f[k + 1]', 'frequency')} FROM f, range(0, 64) t(k) WHERE k < len(f) UNION ALL SELECT clip_id, -1, 0.0::DOUBLE FROM f WHERE len(f) = 0"""
+ORACLE["catalogue_upsert"] = f"""WITH {CATALOGUE} SELECT event_id, device_id, epoch_us(ts) AS ts_us, classification, {r('CASE WHEN event_id % 5 = 0 THEN -confidence ELSE confidence END', 'confidence')} FROM cat
+    UNION ALL SELECT -event_id, device_id, epoch_us(ts), 'new', {r('confidence', 'confidence')} FROM cat WHERE event_id % 5 = 0"""
+ORACLE["broadcast_messages"] = f"WITH {DETECTED} SELECT device_id, {EVENT_ID.format('epoch_us(ts) * 1000')} AS event_id, seq, n_nationkey AS client_id FROM found, nation WHERE is_event"
+ORACLE["best_checkpoints"] = f"SELECT {r('o_totalprice', 'val_loss')}, o_orderkey AS epoch FROM (SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 3)"
+ORACLE["calibration_store"] = f"WITH {AXES_SQL}, {FIT.format('')} SELECT device_id::VARCHAR AS device_id, {', '.join(r(f'{p}_{a}', f'{p}_{a}') for p in ('offset', 'scale') for a in 'xyz')}, device_id * 1000 AS timestamp, true AS calibrated FROM fit"
+ORACLE["wav_files"] = f"WITH {CLIPS_SQL} SELECT 'event_' || clip_id AS event_id, 44100 AS sample_rate, 100 AS n, {r('list_sum(list_transform(samples, lambda v: least(greatest(floor(v * 32768), -32768), 32767))) / 32768.0::DOUBLE', 'total')} FROM clips"
+ORACLE["event_metadata"] = f"WITH {CLIPS_SQL} SELECT 'event_' || clip_id AS event_id, clip_id, label::BIGINT AS label FROM clips"
 for _name in ("kalman_1d", "kalman_adaptive", "kalman_3d"):
     ORACLE[f"{_name}_split"] = ORACLE[_name]
 ORACLE["kalman_velocity"] = ORACLE["kalman_velocity_split"] = f"WITH RECURSIVE {AXES_SQL}, {VELOCITY} SELECT device_id, ts, seq, {r('x', 'position')}, {r('v', 'speed')}, {r('a + d', 'trace')} FROM rec"

@@ -14,7 +14,7 @@ from ..config import DEFAULT
 from ..functions import columns as C
 from ..operators import audio, calibration, catalog, clock, detect, features, filters, fusion, spectra
 from ..operators import sensor_model as sensors
-from ..sources import bundle_source
+from ..sources import bundle_source, bundles
 from ..sources import packets as parsing
 from ..sources import tables
 
@@ -543,6 +543,86 @@ def event_bundles(spark, sf_dir):
     ))
 
 
+def video_frames(spark, sf_dir):
+    """Places of 150 frames of videos as long as each customer's number says."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("video_id"), (F.col("c_custkey") * 7 % 5000 + 1).cast("int").alias("total"))
+    return c.select("video_id", F.posexplode(C.frame_indexes(F.col("total"))).alias("k", "frame"))
+
+
+def clip_lengths(spark, sf_dir):
+    """Clips cut to 40 samples and filled up to 100, and two channels of them averaged."""
+    c = tables.clips(spark, sf_dir)
+    cut = c.select("clip_id", C.pad_or_trim(F.col("samples"), 40).alias("a"), C.pad_or_trim(F.col("samples"), 100).alias("b"), C.downmix(F.array("samples", F.reverse("samples"))).alias("mono"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return rounded(cut.select("clip_id", F.size("a").alias("n_cut"), total("a").alias("cut_sum"), F.size("b").alias("n_filled"), total("b").alias("filled_sum"), F.element_at("b", -1).alias("last"), F.get("mono", F.lit(0)).alias("first_mono"), F.size("mono").alias("n_mono")))
+
+
+def pcm_of_texts(spark, sf_dir):
+    """All texts' bytes as little-endian 16-bit samples."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    out = bundles.pcm_chunks(d).select("doc_id", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * 32768).cast("long").alias("total"))
+    return out
+
+
+def formants_valid(spark, sf_dir):
+    """Values as frequencies: those of a voice, in order."""
+    c = tables.clips(spark, sf_dir).select("clip_id", C.formant_valid(F.transform("samples", lambda v: F.abs(v) * 20_000)).alias("f"))
+    return rounded(c.select("clip_id", F.posexplode_outer("f").alias("k", "frequency")).select("clip_id", F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("frequency", F.lit(0.0)).alias("frequency")))
+
+
+def catalogue_upsert(spark, sf_dir):
+    """The catalogue with every fifth event replaced and one added for each of these."""
+    old = _catalogue(spark, sf_dir)
+    fifth = old.where(F.col("event_id") % 5 == 0)
+    new = fifth.withColumn("confidence", -F.col("confidence")).unionByName(fifth.withColumns({"event_id": -F.col("event_id"), "classification": F.lit("new")}))
+    return rounded(catalog.upsert(old, new).select("event_id", "device_id", F.unix_micros("ts").alias("ts_us"), "classification", "confidence"))
+
+
+def broadcast_messages(spark, sf_dir):
+    """Every event's message for each nation as a client."""
+    found = _event_ids(_detected(spark, sf_dir)).where("is_event").select("device_id", "event_id", "seq")
+    clients = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("client_id"))
+    return fusion.broadcast_message(found, clients)
+
+
+def best_checkpoints(spark, sf_dir):
+    """The three orders of least price as checkpoints of least loss."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_totalprice").alias("val_loss"), F.col("o_orderkey").alias("epoch"))
+    return rounded(features.best_checkpoints(o, "val_loss"))
+
+
+def calibration_store(spark, sf_dir):
+    """Calibrations written to the shared folder and read back."""
+    path = f"{shared.shared_dir(spark).rstrip('/')}/envsense-calibration-{uuid.uuid4().hex}"
+    fit = calibration.fit_magnetometer(tables.axes(spark, sf_dir), "device_id").withColumns({"device_id": F.col("device_id").cast("string"), "timestamp": F.col("device_id").cast("long") * 1000})
+    bundles.save_calibration(fit, path)
+    back = bundles.load_calibration(spark, path)
+    return rounded(back.select("device_id", *(f"{p}_{a}" for p in ("offset", "scale") for a in "xyz"), "timestamp", "calibrated"))
+
+
+def _written_events(spark, sf_dir):
+    """All clips as bundles named event_<id>, and their folder."""
+    c = tables.clips(spark, sf_dir)
+    rows = c.select(F.concat(F.lit("event_"), F.col("clip_id").cast("string")).alias("event_id"), "sample_rate", "samples", F.to_json(F.struct("clip_id", "label")).alias("metadata"))
+    path = f"{shared.shared_dir(spark).rstrip('/')}/envsense-events-{uuid.uuid4().hex}"
+    bundle_source.write(rows, path)
+    return path
+
+
+def wav_files(spark, sf_dir):
+    """The WAV files of all clips, read as files and filled up to 100 samples."""
+    w = bundles.read_wav(spark, _written_events(spark, sf_dir), 100)
+    name = F.regexp_extract("path", "(event_[0-9]+)/[^/]*$", 1)
+    return rounded(w.select(name.alias("event_id"), "sample_rate", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda s, v: s + v).alias("total")))
+
+
+def event_metadata(spark, sf_dir):
+    """The metadata documents of all clips' events, and the directories they are in."""
+    path = _written_events(spark, sf_dir)
+    found = bundles.read_metadata(spark, path).select("event_id", "clip_id", F.col("label").cast("long").alias("label"))
+    return found.join(bundles.event_directories(spark, path), "event_id")
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     fused_events, rolling_sigma_raw, rolling_sigma_w20, kalman_1d, kalman_adaptive, kalman_3d, filtered_sigma, ekf_identity, orientation,
     kalman_1d_split, kalman_adaptive_split, kalman_3d_split, kalman_velocity, kalman_velocity_split,
@@ -554,6 +634,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     audio_ensemble_vote, sensor_features, sensor_model, classification_metrics, confusion, pose_flag, embedding_meanpool, embedding_concat, label_softmax, scalar_functions,
     packet_errors, calibrate_mag_literal, calibrate_gyro, calibration_wizard, stored_calibrations, ack_messages, pcm_samples, session_clock, one_shot_test,
     token_bucket, correlation_engine, sliding_buffer, anomaly_messages, pose_confidence, clock_round_trips, clock_sync, training_schedule, event_bundles,
+    video_frames, clip_lengths, pcm_of_texts, formants_valid, catalogue_upsert, broadcast_messages, best_checkpoints, calibration_store, wav_files, event_metadata,
 )
 
 

@@ -113,3 +113,11 @@ def test_waveforms(spark, tmp_path):
     chunks = spark.createDataFrame([(bytearray(struct.pack("<2h", 16384, -32768)),), (None,)], "data binary")
     got = [x.samples for x in bundles.pcm_chunks(chunks).collect()]
     assert [0.5, -1.0] in got and None in got
+
+
+def test_settings_from_the_environment():
+    from envsense.config import DEFAULT, Settings
+
+    s = Settings.from_env({"ENVSENSE_SIGMAS": "2.5", "ENVSENSE_WINDOW": "7", "OTHER": "1"})
+    assert (s.sigmas, s.window, s.kalman_q) == (2.5, 7, DEFAULT.kalman_q) and isinstance(s.window, int)
+    assert Settings.from_env({}) == Settings()
