@@ -1,23 +1,26 @@
 """Operator 10: documents that hold test items, copied or edited.
 
 Seeds are pairs of words of an item that are neighbours or have one word between them, looked for in the
-documents in the same two forms; all are seeds, however many documents hold them. They miss nothing: an
+documents in the same two forms. They miss nothing: an
 alignment with m matches over an item of w words that scores at least s = max(w, 16) has errors of 2m - s
 at most, which leave at least s / 2 - 1 steps from one match to the next with one error or none, and each
-such step is a shared pair at its own word of the document. Where so many lie within the 2w words that an
+such step is a shared pair at its own word of the document and its own word of the item. So of an item's
+w - 1 words that begin pairs, any w - s / 2 + 1 include one that is shared: the rarest so many, by the
+occurrences of their pairs in all documents, are its rare seeds, and a document without one of them is not
+looked at for the item. Where shared pairs then lie as close as they must within the 2w words that an
 alignment can span (w or fewer matches, w or fewer errors), the item is aligned with that stretch by
 Smith-Waterman; the best score of a document and item, as a share of a perfect match, decides. Items of
 8 words or fewer must match whole. With ``n`` above 2 seeds are n neighbouring words, one is enough, and
 edits that leave no n words together are missed.
 
 The test items are the query set. They are read in blocks of bounded size, and each block is broadcast,
-so any number of items works, with one pass over the documents for each block.
+so any number of items works, with two passes over the documents for each block, one block at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import column
+from .common import column, cut
 
 #: Words of a seed; least seeds of an item; documents of a rare n-gram, and times the item's median; share of a perfect score that is contamination; words that must match at least (all words of shorter items).
 SEED_WORDS, LEAST_SEEDS, RARE, LEAST_SCORE, LEAST_MATCHES = 2, 8, 8, 0.5, 8
 #: Fixed values of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Text bytes of the items that are broadcast at a time.
-BLOCK_BYTES = 16 << 20
+#: Text bytes of the items that are broadcast at a time (some ten times as much in a worker).
+BLOCK_BYTES = 4 << 20
+#: Counters of pairs, a power of two.
+COUNTERS = 1 << 18
 #: Cells of the alignments that are worked on at a time, and words that one stretch of a document may have.
 CELLS, STRETCH = 1 << 21, 4
 
@@ -47,12 +52,18 @@ class Items:
     grams: np.ndarray  # sorted
     item: np.ndarray
     place: np.ndarray
+    rare: np.ndarray | None = None  # the rare seeds, sorted, and their items; without them all n-grams are seeds
+    rare_item: np.ndarray | None = None
 
     def filter(self) -> np.ndarray:
         """A table of bits that is true for the n-grams' upper 20 bits."""
-        bits = np.zeros(1 << 20, bool)
-        bits[(self.grams >> np.uint64(44)).astype(np.int64)] = True
-        return bits
+        return _bits(self.grams)
+
+
+def _bits(grams: np.ndarray) -> np.ndarray:
+    bits = np.zeros(1 << 20, bool)
+    bits[(grams >> np.uint64(44)).astype(np.int64)] = True
+    return bits
 
 
 def _pairs(h: np.ndarray, first: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +96,66 @@ def index_items(ids: list, texts: list[str | None], n: int) -> Items:
     return Items(np.array(ids, np.int64), h, words.first, found[order], item[order], (at - words.first[item])[order])
 
 
+def rare_seeds(items: Items, counts: np.ndarray, least_score: float = LEAST_SCORE) -> Items:
+    """The items with their rare seeds: pairs of so many words of each item that no alignment that passes misses all of them.
+
+    counts: occurrences of pairs in the documents, by the upper bits of their hashes (a power of two of them).
+    """
+    h, first = items.words, items.first
+    length, shift = np.diff(first), np.uint64(64 - int(len(counts)).bit_length() + 1)
+    owner = np.repeat(np.arange(len(length)), length)
+    pairs = [_pairs(h, first, gap) for gap in (1, 2)]
+    rarity = np.zeros(len(h), np.int64)
+    for found, at in pairs:
+        rarity[at] += counts[(found >> shift).astype(np.int64)]
+    begins = np.flatnonzero(np.arange(len(h)) + 1 < first[1:][owner]) if len(h) else np.empty(0, np.int64)
+    order = begins[np.lexsort([begins, rarity[begins], owner[begins]])]
+    many = np.maximum(length - 1, 0)
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(many) - many, many)
+    keep = np.zeros(len(h), bool)
+    keep[order[rank < (many - least_seeds(length, 2, least_score) + 1)[owner[order]]]] = True
+    alone = first[:-1][length == 1]
+    grams = np.concatenate([*(found[keep[at]] for found, at in pairs), _pairs(h[alone], np.arange(len(alone) + 1), 0)[0]])
+    item = np.concatenate([*(owner[at[keep[at]]] for _, at in pairs), owner[alone]])
+    by = np.lexsort([item, grams])
+    return replace(items, rare=grams[by], rare_item=item[by])
+
+
+def _found(items: Items, words: textkit.Words, pairs: list[tuple[np.ndarray, np.ndarray]], owner: np.ndarray) -> np.ndarray:
+    """text * number of items + item, sorted, of the texts and items that share a rare seed."""
+    bits, keys = _bits(items.rare), []
+    for grams, at in pairs:
+        may = np.flatnonzero(bits[(grams >> np.uint64(44)).astype(np.int64)])
+        low = np.searchsorted(items.rare, grams[may])
+        many = np.searchsorted(items.rare, grams[may], "right") - low
+        each = np.repeat(np.arange(len(may)), many)
+        rows = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+        keys.append(owner[at[may[each]]] * len(items.ids) + items.rare_item[rows])
+    return np.unique(np.concatenate(keys))
+
+
 def _matches(items: Items, bits: np.ndarray, texts: pa.Array, n: int):
-    """words, their hashes, and the places (word, row of its first n-gram in ``items.grams``) of shared n-grams."""
+    """words, their hashes, the places (word, row of its first n-gram in ``items.grams``) of shared n-grams, and ``_found`` (None: any).
+
+    With rare seeds, n-grams are looked for in the texts that share one."""
     words = textkit.Words(texts, punctuation=True)
     h = words.hashes()
     parts = []
     alone = bool((np.diff(items.first) == 1).any())
-    for gap in (None,) if n > 2 else (0, 1, 2) if alone else (1, 2):
-        if gap is None:
+    keys = mask = None
+    if n <= 2 and items.rare is not None:
+        owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
+        pairs = [_pairs(h, words.first, gap) for gap in ((0, 1, 2) if alone else (1, 2))]
+        keys = _found(items, words, pairs, owner)
+        mask = np.zeros(len(texts), bool)
+        mask[keys // max(1, len(items.ids))] = True
+        mask = mask[owner]
+    for k, gap in enumerate((None,) if n > 2 else (0, 1, 2) if alone else (1, 2)):
+        if mask is not None:
+            grams, at = pairs[k]
+            inside = mask[at]
+            grams, at = grams[inside], at[inside]
+        elif gap is None:
             grams = textkit.ngrams(h, n)
             at = np.arange(len(grams))
         else:
@@ -106,7 +169,7 @@ def _matches(items: Items, bits: np.ndarray, texts: pa.Array, n: int):
         text = np.searchsorted(words.first, at, "right") - 1
         inside = at + (n if gap is None else 0) <= words.first[text + 1]
         parts.append((at[inside], row[inside], text[inside]))
-    return words, h, *(np.concatenate(x) for x in zip(*parts))
+    return words, h, *(np.concatenate(x) for x in zip(*parts)), keys
 
 
 def least_seeds(length: np.ndarray, n: int, least_score: float) -> np.ndarray:
@@ -155,12 +218,17 @@ def align(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) ->
 
 def find(items: Items, bits: np.ndarray, texts: pa.Array, n: int, least_score: float = LEAST_SCORE):
     """(text, item, best score, seeds) for each text and item with enough seeds together."""
-    words, h, at, row, text = _matches(items, bits, texts, n)
+    words, h, at, row, text, keys = _matches(items, bits, texts, n)
     # All items of an n-gram: rows row, row + 1, … of the sorted n-grams.
     more = np.searchsorted(items.grams, items.grams[row], "right") - row
     each = np.repeat(np.arange(len(row)), more)
     rows = row[each] + np.arange(len(each)) - np.repeat(np.cumsum(more) - more, more)
     text, at, item = text[each], at[each], items.item[rows]
+    if keys is not None:
+        own = text * len(items.ids) + item
+        place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        good = keys[place] == own if len(keys) else np.zeros(len(own), bool)
+        text, at, item = text[good], at[good], item[good]
     if not len(text):
         return (np.empty(0, np.int64),) * 4
     # One seed for a word and item; texts lie behind each other, so word numbers tell them apart.
@@ -235,15 +303,48 @@ def _leaks(items: Items, bits: np.ndarray, texts: pa.Array, n: int, least_score:
     return text[good], item[good], best[good] / np.maximum(MATCH * length[good], 1), seeds[good]
 
 
-def blocks_of(benchmark: DataFrame, docs: DataFrame, *, item_id: str, item_text: str, text: str, n: int, block_bytes: int):
-    """The items in blocks of bounded size, all their n-grams seeds, as broadcasts."""
+def pair_counts(docs: DataFrame, text: str, block) -> np.ndarray:
+    """Occurrences in all documents of the pairs that may be a block's, in COUNTERS counters by their hashes."""
+    shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, total = block.value.filter(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, part in textkit.slices(batch.column(0)):
+                words = textkit.Words(part, punctuation=True)
+                h = words.hashes()
+                for gap in (1, 2):
+                    grams = _pairs(h, words.first, gap)[0]
+                    grams = grams[bits[(grams >> np.uint64(44)).astype(np.int64)]]
+                    total += np.bincount((grams >> shift).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    rows = docs.select(column(text).cast("string").alias("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+def by_blocks(benchmark: DataFrame, docs: DataFrame, take, *, item_id: str, item_text: str, text: str, n: int, least_score: float, block_bytes: int) -> None:
+    """take(broadcast of a block of items, whether it is the only one), block by block; ``docs`` are counted for rare seeds.
+
+    Of several blocks each must be done with when ``take`` returns: its broadcast is destroyed.
+    """
     sc = docs.sparkSession.sparkContext
     rows = benchmark.select(column(item_id).cast("long").alias("id"), column(item_text).cast("string").alias("text")).where("id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     for k in range(n_blocks):
         mine = sorted(map(tuple, rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).collect()))
-        yield sc.broadcast(index_items([r[0] for r in mine], [r[1] for r in mine], n))
+        block = sc.broadcast(index_items([r[0] for r in mine], [r[1] for r in mine], n))
+        if n <= 2 and len(block.value.grams):
+            items = rare_seeds(block.value, pair_counts(docs, text, block), least_score)
+            block.destroy()
+            block = sc.broadcast(items)
+        take(block, n_blocks == 1)
+        if n_blocks > 1:
+            block.destroy()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, least_score: float = LEAST_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -265,15 +366,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
         return match
 
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
-    found = None
-    for block in blocks_of(benchmark, docs, item_id=item_id, item_text=item_text, text=text, n=n, block_bytes=block_bytes):
+    found = []
+
+    def take(block, only: bool) -> None:
         part = rows.mapInArrow(matcher(block), "doc_id long, item_id long, score double, n_seeds long")
-        found = part if found is None else found.union(part)
-    return found
+        found.append(part if only else cut(part, small=True))
+
+    by_blocks(benchmark, docs, take, item_id=item_id, item_text=item_text, text=text, n=n, least_score=least_score, block_bytes=block_bytes)
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, least_score: float = LEAST_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that hold no test item, with all their columns; see ``leaks``. Nothing is shuffled."""
+    """The documents that hold no test item, with all their columns; see ``leaks``. No document is shuffled."""
 
     def matcher(block, place: int):
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +392,14 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
         return match
 
-    kept = docs
-    for block in blocks_of(benchmark, docs, item_id=item_id, item_text=item_text, text=text, n=n, block_bytes=block_bytes):
-        kept = kept.mapInArrow(matcher(block, docs.columns.index(text)), docs.schema)
-    return kept
+    kept = [docs]
+
+    def take(block, only: bool) -> None:
+        part = kept[0].mapInArrow(matcher(block, docs.columns.index(text)), docs.schema)
+        kept[0] = part if only else cut(part)
+
+    by_blocks(benchmark, docs, take, item_id=item_id, item_text=item_text, text=text, n=n, least_score=least_score, block_bytes=block_bytes)
+    return kept[0]
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

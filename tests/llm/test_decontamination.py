@@ -105,3 +105,28 @@ def test_edits_that_leave_no_long_run(spark):
     assert len(want) > 20 and {(100, 90, 1.0), (102, 91, 1.0)} < want
     got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id, round(x.score, 6)) for x in got} == want
+
+
+def test_rare_seeds_miss_nothing():
+    r = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (1, 2, 5, 8, 9, 12, 17, 30, 41, 60) for _ in range(3)]
+    items = D.index_items(list(range(len(texts))), texts, 2)
+    few = D.rare_seeds(items, np.array([r.randrange(100) for _ in range(1 << 10)]))
+    assert len(few.rare) < len(items.grams) and set(few.rare.tolist()) <= set(items.grams.tolist())
+    edited = []
+    for _ in range(300):
+        w = r.choice(texts).split()
+        w = [y for x in w if r.random() > 0.15 for y in (["new"] if r.random() < 0.2 else [x, "more"] if r.random() < 0.2 else [x])]
+        edited.append(" ".join(["before", *w, "after"]))
+    every, some = (sorted(zip(*(x.tolist() for x in D.find(i, i.filter(), pa.array(edited), 2)[:3]))) for i in (items, few))
+    passing = lambda found: [x for x in found if x[2] >= len(texts[x[1]].split()) and x[2] >= 2 * min(len(texts[x[1]].split()), 8)]
+    assert passing(every) == passing(some) and len(passing(some)) > 100
+
+
+def test_counts_of_pairs(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b c", "a b", None, "", "b x c a b"])], "doc_id long, text string").repartition(2)
+    items = D.index_items([1], ["a b c d"], 2)
+    counts = D.pair_counts(docs, "text", spark.sparkContext.broadcast(items))
+    slot = lambda a, b: int(D._pairs(D.textkit.Words(pa.array([f"{a} {b}"])).hashes(), np.array([0, 2]), 1)[0][0] >> np.uint64(46))
+    assert counts[slot("a", "b")] == 3 and counts[slot("b", "c")] == 2 and counts[slot("a", "c")] == 1 and counts[slot("c", "d")] == 0
