@@ -103,3 +103,21 @@ def numbered(df: DataFrame, copies: str, name: str, chunk: int = 100_000) -> Dat
     last = F.floor((F.col(copies) - 1) / chunk)
     parts = df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(F.col(name), F.col(copies))
     return parts.withColumn(name, F.explode(F.sequence(F.col(name) * chunk, F.least(F.col(copies), (F.col(name) + 1) * chunk) - 1)))
+
+
+#: Rows of a few columns that are broadcast at most.
+FEW = 200_000
+
+
+def joined_few(rows: DataFrame, few: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined to ``few`` by keys, without a task that gets all rows of a frequent key.
+
+    few must be cut, with distinct keys, and its column ``n`` counts the rows of a key, or bounds them. Up to FEW
+    rows of it are broadcast. Beyond that, keys with a thousandth of its counts or more, a thousand at most, are broadcast,
+    and the others are dealt out with the rows that have other keys.
+    """
+    size, total = few.agg(F.count("*"), F.sum(n)).first()
+    if size <= FEW:
+        return rows.join(F.broadcast(few), keys)
+    hot = F.broadcast(few.where(F.col(n) * 1000 >= total))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(few.where(F.col(n) * 1000 < total), keys))

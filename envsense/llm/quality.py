@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, free_name, let
+from .common import column, cut, free_name, joined_few, let
 
 #: The characters that separate words, and those counted as symbols.
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -63,36 +63,41 @@ def base_rules(docs: DataFrame, text: str = "text") -> dict:
     }
 
 
+def row_of(doc_id: str, host: str, text: str):
+    """Two hashes of id, host and text: what tells rows apart."""
+    parts = [column(doc_id), F.coalesce(column(host).cast("string"), F.lit("")), column(text).cast("string")]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def line_rows(docs: DataFrame, *, doc_id: str, text: str, host: str) -> DataFrame:
-    """host, line (hash), doc (hash of the text), row (hash of id, host and text), place, words: a row for each line with a word."""
+    """host, line (hash), doc (hash of the text), row (see ``row_of``), place, words: a row for each line with a word."""
     t = column(text).cast("string")
     low = F.regexp_replace(F.translate(t, UPPER, LOWER), r"[\x20\x09\x0B-\x0D]+", " ")
     h = F.coalesce(column(host).cast("string"), F.lit(""))
     doc = F.xxhash64(t)
-    rows = docs.select(h.alias("host"), doc.alias("doc"), F.xxhash64(column(doc_id), h, t).alias("row"), F.posexplode(F.split(low, "\n")).alias("place", "raw"))
+    rows = docs.select(h.alias("host"), doc.alias("doc"), row_of(doc_id, host, text).alias("row"), F.posexplode(F.split(low, "\n")).alias("place", "raw"))
     line = F.trim("raw")
     return rows.where(line != "").select("host", F.xxhash64(line).alias("line"), "doc", "row", "place", F.size(F.split(line, " ")).alias("words"))
 
 
 def frequent_lines(rows: DataFrame, docs: DataFrame, host: str, min_docs: int, max_share: float) -> DataFrame:
-    """host, line of the lines above their host's limit."""
+    """host, line, n (its occurrences) of the lines above their host's limit."""
     sizes = docs.groupBy(F.coalesce(column(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("docs"))
-    held = rows.groupBy("host", "line").agg(F.count_distinct("doc").alias("held")).where(F.col("held") > min_docs)
-    return held.join(sizes, "host").where(F.col("held") > F.col("docs") * F.lit(max_share)).select("host", "line")
+    held = rows.groupBy("host", "line").agg(F.count_distinct("doc").alias("held"), F.count("*").alias("n")).where(F.col("held") > min_docs)
+    return joined_few(held, cut(sizes), ["host"], "docs").where(F.col("held") > F.col("docs") * F.lit(max_share)).select("host", "line", "n")
 
 
 def judged(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, places: bool = False) -> DataFrame:
-    """What ``quality`` returns, and ``row``: a hash of id, host and text; with ``places`` also the 0-based places of the frequent lines, null for none."""
+    """What ``quality`` returns, and ``row``: hashes of id, host and text; with ``places`` also the 0-based places of the frequent lines, null for none."""
     rows = line_rows(docs, doc_id=doc_id, text=text, host=host)
-    frequent = frequent_lines(rows, docs, host, min_docs, max_share)
-    lost = rows.join(frequent, ["host", "line"]).groupBy("row", "place").agg(F.first("words").alias("words"))
+    frequent = cut(frequent_lines(rows, docs, host, min_docs, max_share), small=True)
+    lost = joined_few(rows, frequent, ["host", "line"], "n").groupBy("row", "place").agg(F.first("words").alias("words"))
     lost = lost.groupBy("row").agg(F.sum("words").cast("long").alias("n_removed"), *([F.collect_list("place").alias("places")] if places else []))
 
     t = column(text).cast("string")
     words = words_of(F.coalesce(t, F.lit("")))
-    h = F.coalesce(column(host).cast("string"), F.lit(""))
     both = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r")))
-    counted = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(column(doc_id), h, t).alias("row"), both.alias("both"), *(c.alias(k) for k, c in base_rules(docs, text).items()))
+    counted = docs.select(column(doc_id).alias("doc_id"), row_of(doc_id, host, text).alias("row"), both.alias("both"), *(c.alias(k) for k, c in base_rules(docs, text).items()))
     counted = counted.select("doc_id", "row", F.col("both.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("both.r").alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rated = counted.withColumn("base_failed", failed).join(lost, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
@@ -122,7 +127,7 @@ def cleaned_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         names.append(free_name([*docs.columns, *names], wanted))
     row, good_row, good_places = names
     good = judged(docs, doc_id=doc_id, text=text, host=host, places=True, **limits).where("kept").groupBy("row").agg(F.first("places").alias("places"))
-    given = docs.withColumn(row, F.xxhash64(column(doc_id), F.coalesce(column(host).cast("string"), F.lit("")), column(text).cast("string")))
+    given = docs.withColumn(row, row_of(doc_id, host, text))
     joined = given.join(good.toDF(good_row, good_places), F.col(row) == F.col(good_row))
     lines = F.split(column(text).cast("string"), "\n")
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(good_places)), lambda k: F.get(lines, k)), "\n")
@@ -134,14 +139,6 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def kept_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The documents that the rules keep, with all columns and unchanged: rejection alone, no editing of what stays."""
-    good = judged(docs, doc_id=doc_id, text=text, host=host, **limits).where("kept").select(F.col("row").alias("good_row")).distinct()
-    row = F.xxhash64(column(doc_id), F.coalesce(column(host).cast("string"), F.lit("")), column(text).cast("string"))
-    name = free_name(docs, "row")
-    other = free_name(docs, "good_row")
-    return docs.withColumn(name, row).join(good.toDF(other), F.col(name) == F.col(other), "left_semi").drop(name)
-
 
 OP2_SQL = rf"""
 WITH d AS (
