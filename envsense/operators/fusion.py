@@ -53,9 +53,12 @@ def event_clips(events: DataFrame, packets: DataFrame, device: str, ts: str, bef
     part = lambda at: F.floor(F.unix_micros(at) / F.expr(f"greatest(1, {length})"))
     low, high = F.col(f"e_{ts}") - F.expr(f"INTERVAL {before}"), F.col(f"e_{ts}") + F.expr(f"INTERVAL {after}")
     e = events.select(*(F.col(c).alias(f"e_{c}") for c in events.columns))
-    e = e.withColumn("e__part", F.explode(F.sequence(part(low), part(high))))
-    near = (F.col("_part") == F.col("e__part")) & (F.col(ts) >= low) & (F.col(ts) <= high)
-    return packets.withColumn("_part", part(F.col(ts))).join(e, (F.col(device) == F.col(f"e_{device}")) & near).drop("_part", "e__part")
+    own = "_part"
+    while {own, f"e_{own}"} & {*packets.columns, *e.columns}:
+        own = "_" + own
+    e = e.withColumn(f"e_{own}", F.explode(F.sequence(part(low), part(high))))
+    near = (F.col(own) == F.col(f"e_{own}")) & (F.col(ts) >= low) & (F.col(ts) <= high)
+    return packets.withColumn(own, part(F.col(ts))).join(e, (F.col(device) == F.col(f"e_{device}")) & near).drop(own, f"e_{own}")
 
 
 def event_messages(fused: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Row types of packets, clips, calibration, events and time-series points (Spark DDL)."""
+"""Row types of packets, clips, calibration and variants (Spark DDL)."""
 
 PACKET = """
     timestamp bigint, device_id string,
@@ -9,10 +9,5 @@ PACKET = """
     audio_peak double, humanoid_detected boolean, bluetooth_devices_count int, battery_level int, _corrupt_record string
 """
 SENSORS_CSV = "magnetic_magnitude double, accel_x double, accel_y double, accel_z double, gyro_x double, gyro_y double, gyro_z double, orientation_yaw double, audio_peak double, humanoid_detected boolean, bluetooth_count int"
-EVENT = """
-    event_id string, device_id string, timestamp timestamp, magnetic_anomaly boolean, audio_anomaly boolean, humanoid_detected boolean,
-    correlation_score double, magnetic_magnitude double, audio_peak_db double, storage_path string, metadata string,
-    classification string, confidence double, created_at timestamp
-"""
 CALIBRATION = "device_id string, sensor string, offset_x double, offset_y double, offset_z double, scale_x double, scale_y double, scale_z double, timestamp bigint, calibrated boolean"
 VARIANT = "variant string, anomaly boolean, confidence double, features map<string,double>, metadata map<string,string>, error string"

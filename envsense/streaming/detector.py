@@ -21,14 +21,21 @@ from ..functions.columns import event_id
 from ..operators.fusion import fuse
 
 STATE = "n int, x double, p double, r double, raw array<double>, window array<double>"
+STATISTICS = ("filtered", "n", "mean", "std", "threshold", "z_score", "anomaly")
 OUTPUT = (
     "device_id {key}, session_id bigint, ts timestamp, seq bigint, raw double, filtered double, n int, mean double, std double, threshold double, z_score double, "
     "anomaly boolean, audio_peak double, audio_anomaly boolean, humanoid boolean"
 )
 
 
+def _windows(before: list, values: np.ndarray, size: int) -> np.ndarray:
+    """For each value the last ``size`` values up to it, those of ``before`` included; NaN where there are fewer."""
+    padded = np.concatenate([np.full(size - 1, np.nan), before, values])
+    return np.lib.stride_tricks.sliding_window_view(padded, size)[len(before) :]
+
+
 class Detector:
-    """One device's filter and window; ``step`` takes a magnitude and gives the detector's columns."""
+    """One device's filter and window; ``steps`` takes magnitudes in order and gives the detector's columns."""
 
     def __init__(self, settings: Settings, state: tuple | None = None):
         self.s = settings
@@ -38,27 +45,49 @@ class Detector:
     def state(self) -> tuple:
         return self.n, self.x, self.p, self.r, self.raw, self.window
 
-    def step(self, z: float) -> tuple:
+    def _filtered(self, z: np.ndarray) -> np.ndarray:
+        """The recursion alone goes sample by sample; the variances that it follows are taken all at once."""
+        s = self.s
+        near = _windows(self.raw, z, s.adapt_window)
+        known = np.isfinite(near).sum(axis=1)
+        spread = np.nanvar(near, axis=1)
+        out = np.empty(len(z))
+        for k, (value, n, v) in enumerate(zip(z.tolist(), known.tolist(), spread.tolist())):
+            if self.n == 0:
+                self.x, self.p = value, 1.0
+            else:
+                if n >= 3:
+                    self.r = (1 - s.adapt_alpha) * self.r + s.adapt_alpha * v
+                m = self.p + s.kalman_q
+                gain = m / (m + self.r)
+                self.x += gain * (value - self.x)
+                self.p = (1 - gain) * m
+            self.n += 1
+            out[k] = self.x
+        self.raw = [*self.raw, *z.tolist()][-s.adapt_window :]
+        return out
+
+    def steps(self, z: np.ndarray) -> dict[str, np.ndarray]:
+        """filtered, n, mean, std, threshold, z_score, anomaly of each magnitude; statistics are NaN below ``min_samples``."""
         s = self.s
-        self.raw = [*self.raw, z][-s.adapt_window :]
-        if self.n == 0:
-            self.x, self.p = z, 1.0
-        else:
-            if len(self.raw) >= 3:
-                self.r = (1 - s.adapt_alpha) * self.r + s.adapt_alpha * float(np.var(self.raw))
-            m = self.p + s.kalman_q
-            gain = m / (m + self.r)
-            self.x += gain * (z - self.x)
-            self.p = (1 - gain) * m
-        self.n += 1
-        self.window = [*self.window, self.x][-s.window :]
-        n = len(self.window)
-        if n < s.min_samples:
-            return self.x, n, None, None, None, None, False
-        mean, std = float(np.mean(self.window)), float(np.std(self.window))
-        limit = mean + s.sigmas * std
-        spread = std > 1e-12 * max(abs(mean), 1.0)
-        return self.x, n, mean, std, limit, (self.x - mean) / std if spread else 0.0, bool(spread and self.x > limit)
+        if not len(z):
+            return {c: np.empty(0) for c in STATISTICS}
+        x = self._filtered(np.asarray(z, float))
+        near = _windows(self.window, x, s.window)
+        n = np.isfinite(near).sum(axis=1)
+        mean, std = np.nanmean(near, axis=1), np.nanstd(near, axis=1)
+        self.window = [*self.window, *x.tolist()][-s.window :]
+        limit, ready = mean + s.sigmas * std, n >= s.min_samples
+        spread = std > 1e-12 * np.maximum(np.abs(mean), 1.0)
+        score = np.where(spread, (x - mean) / np.where(spread, std, 1.0), 0.0)
+        known = lambda v: np.where(ready, v, np.nan)
+        return dict(zip(STATISTICS, (x, n, known(mean), known(std), known(limit), known(score), ready & spread & (x > limit))))
+
+    def step(self, z: float) -> tuple:
+        """The columns of one magnitude, None for what is not known yet."""
+        found = [float(v[0]) for v in self.steps(np.array([z])).values()]
+        x, n, *rest, anomaly = found
+        return x, int(n), *(None if np.isnan(v) else v for v in rest), bool(anomaly)
 
 
 def detect_stream(packets: DataFrame, settings: Settings = DEFAULT, timeout: str = "1 hour") -> DataFrame:
@@ -76,17 +105,21 @@ def detect_stream(packets: DataFrame, settings: Settings = DEFAULT, timeout: str
             return
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
         detector = Detector(settings, state.get if state.exists else None)
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.magnitude is None or r.magnitude != r.magnitude:
-                found = (None, len(detector.window), None, None, None, None, False)
-            else:
-                found = detector.step(float(r.magnitude))
-            peak = 0.0 if r.audio_peak is None or r.audio_peak != r.audio_peak else float(r.audio_peak)
-            out.append((*key, r.ts, r.seq, r.magnitude, *found, peak, peak > settings.audio_peak, bool(r.humanoid)))
+        held, z = len(detector.window), rows["magnitude"].to_numpy(float, na_value=np.nan)
+        given = ~np.isnan(z)
+        found = detector.steps(z[given])
+        # A packet without a magnitude sees the window as it is.
+        filled = np.minimum(held + np.cumsum(given), settings.window)
+        out = pd.DataFrame({c: np.full(len(z), np.nan) for c in STATISTICS})
+        for c in STATISTICS:
+            out.loc[given, c] = found[c]
+        peak = rows["audio_peak"].fillna(0.0).to_numpy(float)
+        out = out.astype(object).where(out.notna(), None).assign(n=filled, anomaly=(out["anomaly"] == 1.0).to_numpy())
+        columns = {"device_id": key[0], "session_id": key[1], "ts": rows["ts"], "seq": rows["seq"], "raw": rows["magnitude"]} | {c: out[c].to_numpy() for c in STATISTICS}
+        columns |= {"audio_peak": peak, "audio_anomaly": peak > settings.audio_peak, "humanoid": rows["humanoid"].fillna(False).astype(bool)}
         state.update(detector.state())
         state.setTimeoutDuration(millis)
-        yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+        yield pd.DataFrame(columns)[[f.name for f in schema.fields]]
 
     schema = _parse_datatype_string(OUTPUT.format(key=packets.schema["device_id"].dataType.simpleString()))
     return packets.groupBy("device_id", "session_id").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

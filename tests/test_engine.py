@@ -84,3 +84,11 @@ def test_generated_noise_of_the_one_shot_test(spark):
     rows = [detect.one_shot(spark, v, seed=s).first() for v, s in ((95.5, 1), (50.0, 1), (95.5, 1))]
     assert rows[0].anomaly and not rows[1].anomaly and rows[0] == rows[2]
     assert 45 < rows[1]["mean"] < 55 and 3 < rows[1]["std"] < 7 and rows[0]["std"] == pytest.approx(np.sqrt(rows[0]["std"] ** 2))
+
+
+def test_clips_keep_columns_of_any_name(spark):
+    events = spark.createDataFrame([("d", 10)], "device string, s long").select("device", F.timestamp_seconds("s").alias("ts"))
+    packets = spark.createDataFrame([("d", k, k * 7) for k in range(20)], "device string, s long, _part long").select("device", F.timestamp_seconds("s").alias("ts"), "_part")
+    out = fusion.event_clips(events, packets, "device", "ts", "2 SECONDS", "3 SECONDS")
+    assert out.columns == ["device", "ts", "_part", "e_device", "e_ts"]
+    assert sorted(r._part for r in out.collect()) == [7 * k for k in range(8, 14)]
