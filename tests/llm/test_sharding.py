@@ -39,6 +39,8 @@ def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = sharding.op5_sharding(spark, SF).collect()
     assert len(got) == len(docs) and {r.shard for r in got} == set(range(24))
+    slots = [sorted(r.slot for r in got if r.shard == k) for k in range(24)]
+    assert all(s == list(range(len(s))) for s in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
     for r in got:
         raw = (docs[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
