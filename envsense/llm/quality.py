@@ -30,14 +30,12 @@ def words_of(text):
 def repeat_words(words):
     """Words that lie in a 3-word window found twice or more.
 
-    The windows' hashes are sorted with their places; windows with an equal neighbour repeat. The sorted
-    places of those cover min(3, gap to the next) words each, and the last 3: n log n for any length.
+    Where the windows' hashes are not all distinct, they are sorted with their places; windows with an equal
+    neighbour repeat. The sorted places of those cover min(3, gap to the next) words each, and the last 3: n log n for
+    any length.
     """
     n = F.size(words)
-    windows = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )
+    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def places(a):
         def repeated(x, k):
@@ -49,7 +47,11 @@ def repeat_words(words):
         gaps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
 
-    return F.when(n >= 4, let(F.array_sort(windows), lambda a: let(places(a), covered))).otherwise(F.lit(0).cast("long"))
+    def found(h):
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(F.array_sort(placed), lambda a: let(places(a), covered))).otherwise(F.lit(0).cast("long"))
+
+    return F.when(n >= 4, let(windows, found)).otherwise(F.lit(0).cast("long"))
 
 
 def base_rules(docs: DataFrame, text: str = "text") -> dict:
