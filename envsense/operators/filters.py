@@ -22,10 +22,11 @@ from . import scans
 from .scans import fold
 
 
-def _ordered(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
-    """One row a key with its samples in order: struct of the order columns and values."""
+def _ordered(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], dealt: bool = False) -> DataFrame:
+    """One row a key with its samples in order: struct of the order columns and values. ``dealt``: the rows are by key already."""
     sample = F.struct(*order, *(c.alias(k) for k, c in values.items()))
-    return scans.together(rows.select(*keys, sample.alias("sample")), *keys).groupBy(*keys).agg(F.array_sort(F.collect_list("sample")).alias("samples"))
+    flat = rows.select(*keys, sample.alias("sample"))
+    return (flat if dealt else scans.together(flat, *keys)).groupBy(*keys).agg(F.array_sort(F.collect_list("sample")).alias("samples"))
 
 
 PLAIN = "struct<n:int,x_prior:double,x:double,p:double,gain:double>"
@@ -117,8 +118,9 @@ def kalman_adaptive(rows: DataFrame, keys: list[str], order: list[str], value: s
         grouped = _split_adaptive(present, keys, order, value, settings, noise, split or scans.SPLIT)
     else:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - settings.adapt_window, 0)
-        ready = present.withColumn("v_", F.when(F.count(value).over(w) >= 3, F.var_pop(value).over(w)))
-        grouped = _ordered(ready, keys, order, {"z": F.col(value), "v": F.col("v_")}).withColumns({"r_start": F.lit(settings.kalman_r), "before": scans.gaussian(1).unit})
+        dealt = scans.together(present.select(*keys, *order, F.col(value).alias("z_")), *keys)
+        ready = dealt.withColumn("v_", F.when(F.count("z_").over(w) >= 3, F.var_pop("z_").over(w)))
+        grouped = _ordered(ready, keys, order, {"z": F.col("z_"), "v": F.col("v_")}, dealt=True).withColumns({"r_start": F.lit(settings.kalman_r), "before": scans.gaussian(1).unit})
     kind = "struct<n:int,x:double,p:double,r:double>"
 
     def step(s, e):
