@@ -1,5 +1,7 @@
 import random
 
+from envsense.llm import components as module
+from envsense.llm.common import cut
 from envsense.llm.components import components
 
 
@@ -20,3 +22,12 @@ def test_against_union_find(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    cuts, ids = [], list(range(400))
+    random.Random(2).shuffle(ids)
+    monkeypatch.setattr(module, "cut", lambda df, small=False: cuts.append(1) or cut(df, small))
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in ids}
+    assert len(cuts) < 16
