@@ -10,8 +10,8 @@ base score, all words that training has not seen have one probability.
 
 Training: the models start from the frequencies of first subwords. In each round every task trains both on its
 share of the training documents (by hash; the rounds share out all of them, each document in one round), and the
-parameters are averaged in parts. Of each document every eighth stretch of 32 words is trained on, the first one
-always, and of the words in them each distinct one of a task; nothing depends on how much a task holds.
+parameters are averaged in parts. Of each document every stretch of 32 words is trained on, and each distinct word of a
+task; no place of a text is left out.
 
 Word counts cover all training documents. Words above a frequency at which 2^19 words at most stand are broadcast;
 other occurrences are joined with their counts by hash. Words are told apart by 64-bit hashes.
@@ -33,9 +33,8 @@ from .common import column, cut, vocabulary
 
 #: Subwords; windows and strides for first subwords and within words; size of the models.
 SUBWORDS, WIDTH, STRIDE, WORD_WIDTH, WORD_STRIDE, DIM = 2048, 32, 24, 12, 6, 16
-#: Rounds of training; of how many documents one is trained on in a round (as many as rounds: each in one of them); windows of a step; of how many
-#: stretches of a document one is trained on; learning rate.
-ROUNDS, SHARE, BATCH, STRETCHES, RATE = 3, 3, 128, 8, 0.02
+#: Rounds of training; of how many documents one is trained on in a round (as many as rounds: each in one of them); windows of a step; learning rate.
+ROUNDS, SHARE, BATCH, RATE = 3, 3, 128, 0.02
 #: Weight of the attention models against the add-one estimate, and within words against the words' shares; frequent words that are broadcast (6 MB at most).
 LAMBDA, WITHIN, FREQUENT = 0.8, 0.1, 1 << 19
 #: Parts in which parameters are averaged; windows that are scored at a time; words that a worker keeps.
@@ -145,14 +144,9 @@ def _trainer(state, parameters):
             mine, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
             counts, ids = reader.subwords(words, where)
             first = np.cumsum(counts) - counts
-            part = reader.text_windows(reader.head_of[ids[first]][back], words.first, STRETCHES)
-            # The words of these stretches: places but the texts' ends, without the ends before them.
-            places = np.unique(part[2][part[3]])
-            ends = np.cumsum(np.diff(words.first) + 1)
-            text = np.searchsorted(ends, places, "right")
-            used = np.unique(back[(places - text)[places != ends[text] - 1]])
+            part = reader.text_windows(reader.head_of[ids[first]][back], words.first, 1)
             at = np.searchsorted(seen, mine)
-            new = used[(seen[np.minimum(at, len(seen) - 1)] != mine)[used]] if len(seen) else used
+            new = np.flatnonzero(seen[np.minimum(at, len(seen) - 1)] != mine) if len(seen) else np.arange(len(mine))
             seen = np.insert(seen, at[new], mine[new]) if len(seen) < 4_000_000 else np.empty(0, np.uint64)  # bounded memory
             often = shuffled.permutation(new)
             pick = np.arange(int(counts[often].sum())) + np.repeat(first[often] - (np.cumsum(counts[often]) - counts[often]), counts[often])

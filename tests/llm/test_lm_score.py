@@ -180,3 +180,19 @@ def test_scores_from_the_parameters(spark, tokens):
             p *= lm_score.WITHIN * math.exp(inner) + (1 - lm_score.WITHIN) * c / max(1, of_head[heads[k]])
             total += math.log10(lm_score.LAMBDA * p + (1 - lm_score.LAMBDA) * (c + 1) / size)
         assert abs(total - got[d]) < 2e-3 * max(1, abs(total)), d
+
+
+def test_every_place_of_a_text_is_trained_on(tokens, monkeypatch):
+    class Given:
+        def __init__(self, value):
+            self.value = value
+
+    reader, seen, gradients = lm_score.Reader(tokens), [], Model.gradients
+    monkeypatch.setattr(Model, "gradients", lambda self, x, target, counted: seen.append((self.width, int(counted.sum()))) or gradients(self, x, target, counted))
+    words = [f"word{k}" for k in range(300)]
+    texts = pa.array([" ".join(words), "", None, " ".join(words[:33])])
+    flats = [m.flat() for m in reader.models()]
+    list(lm_score._trainer(Given(("x", tokens)), Given((*flats, 0)))(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    assert sum(n for width, n in seen if width == lm_score.WIDTH) == 301 + 1 + 1 + 34
+    counts, _ = reader.merger.encode([b" " + w.encode() for w in words])
+    assert sum(n for width, n in seen if width == lm_score.WORD_WIDTH) == counts.sum()
