@@ -1,14 +1,14 @@
 """Operator 8: byte-level BPE encoding and decoding.
 
-The distinct words that are frequent in a bounded sample of documents are encoded first, by Spark
-higher-order functions that fold the ranked merges over their bytes with a literal rank map, and are
-broadcast. Each worker finds the words of its texts (matches of the public pattern) with array
-operations, looks them up, and folds the merges over the distinct words it does not know, all of a batch
-at once; it keeps them in a bounded table. Decoding concatenates the binary pieces of the ids.
-
-The higher-order functions alone take 170 microseconds of a core for a word, the joint fold of a worker
-2.6, so only the first tier goes through them; the two agree word by word (see the tests). The classes of
-characters are the library's, so its Unicode version decides where texts are cut.
+The texts are read twice. First each worker finds the words (matches of the public pattern) of its texts with array
+operations and sends the distinct ones of each block, 32 MB of a task's texts. A shuffle brings equal words together,
+and Spark higher-order functions fold the ranked merges over the bytes of every distinct word, by a literal table of
+pairs. The words of a block with their ids are written to the shared folder. Then the workers find the words again and
+put the texts together from their blocks' tables. Decoding concatenates the binary pieces of the ids.
+
+Only words of more than ``LONG_WORD`` bytes are folded with a heap by the worker that holds them, since a step of the functions
+copies the word; so are words that a table lacks, should the blocks differ between the readings (Spark may split files
+anew when executors come or go). The classes of characters are the library's, so its Unicode version decides where texts are cut.
 """
 
 from __future__ import annotations
@@ -19,33 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import merges, pieces
-from .common import column, free_name, vocabulary
+from .common import column, free_name, new_dir, vocabulary
 
 #: Fixed value: the public pattern that cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Documents looked at for the first tier, the size up to which one is, and the words the tier holds at most (about 1 MB).
-SAMPLE_DOCS, SAMPLE_BYTES, FIRST_WORDS = 500, 32_768, 16_384
-#: Documents that are encoded at a time.
-ROWS = 500
-
-
-def frequent_words(docs: DataFrame, text: str, tokens: list[bytes], *, sample_docs: int = SAMPLE_DOCS, most: int = FIRST_WORDS) -> dict[bytes, list[int]]:
-    """The first tier: frequent words of up to ``sample_docs`` documents, encoded by Spark functions."""
-    col = column(text).cast("string")
-    sample = docs.where(F.octet_length(col) <= SAMPLE_BYTES).select(col.alias("t")).limit(sample_docs)
-    # Only ASCII words: the pattern's classes are the same everywhere for them.
-    words = sample.select(F.explode(F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))).alias("word")).where(~F.col("word").rlike("[^\\x00-\\x7f]"))
-    words = words.where(F.char_length("word") <= pieces.LONGEST)  # longer ones are not in the worker's table
-    top = [r.word for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()]
-    if not top:
-        return {}
-    given = docs.sparkSession.createDataFrame([(w,) for w in top], "word string").repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    encoded = given.select(F.col("word").cast("binary").alias("word"), merges.SparkMerges(tokens, [w.encode() for w in top]).encode(F.col("word").cast("binary")).alias("ids"))
-    return {bytes(r.word): list(r.ids) for r in encoded.collect()}
+#: Bytes of text of a block, and of the longest word that goes through Spark functions; bits of the table of a block's words.
+BLOCK, LONG_WORD, BITS = 1 << 25, 2048, 16
+#: Documents that are encoded at a time; characters of a plan's description.
+ROWS, PLAN = 500, 1 << 16
 
 
 class Backend:
@@ -56,7 +45,7 @@ class Backend:
     def __init__(self, tokens: list[bytes]):
         import tiktoken
 
-        self.merger = merges.Merger(tokens)
+        self.tokens, self.merger, self.long = tokens, None, {}
         # An encoding keeps what its pattern matches.
         kept = lambda pattern: tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
         self.of_class = [(pieces.LETTER, kept(r"\p{L}")), (pieces.NUMBER, kept(r"\p{N}")), (pieces.OTHER, kept(r"[^\s\p{L}\p{N}]"))]
@@ -69,7 +58,93 @@ class Backend:
         return found
 
     def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self.merger.encode(words)
+        known = [self.long.get(w) for w in words]
+        missing = [w for w, ids in zip(words, known) if ids is None]
+        if missing:
+            self.merger = self.merger or merges.Merger(self.tokens)
+            n, ids = self.merger.encode(missing)
+            found = iter(np.split(ids, np.cumsum(n)[:-1]))
+            known = [next(found) if ids is None else ids for ids in known]
+        counts = np.fromiter(map(len, known), np.int64, len(known))
+        return counts, np.concatenate(known) if known else np.empty(0, np.int64)
+
+
+class Collector(Backend):
+    """Notes the words that a table misses and gives them no ids."""
+
+    def __init__(self, tokens: list[bytes]):
+        super().__init__(tokens)
+        self.words: set[bytes] = set()
+
+    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.words.update(w for w in words if len(w) <= LONG_WORD)
+        return np.zeros(len(words), np.int64), np.empty(0, np.int64)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A task's rows, text last, ROWS at most at a time, and the number of their block; the rows before a row alone decide its block."""
+    first, before = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        sizes = np.array(pa.compute.binary_length(texts).fill_null(0), np.int64)
+        of = (before + np.cumsum(sizes) - sizes) // size
+        before += int(sizes.sum())
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
+            for k in range(a, b, ROWS):
+                yield first + int(of[k]), batch.slice(k, min(ROWS, b - k))
+
+
+def distinct_words(texts: DataFrame, state) -> DataFrame:
+    """block, word (its bytes) of the one column of texts: each word of a block once, or a few times."""
+    size = BLOCK
+
+    def rows(block: int, words: set[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(list(words), pa.binary())], names=["block", "word"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backend, last, encoder = Collector(state.value[1]), None, None
+        for block, part in blocks(batches, size):
+            if block != last:
+                if backend.words:
+                    yield rows(last, backend.words)
+                backend.words, last, encoder = set(), block, pieces.Encoder(backend, BITS, most_bits=22)
+            encoder.encode(part.column(0))
+        if backend.words:
+            yield rows(last, backend.words)
+
+    return texts.mapInArrow(collect, "block long, word binary")
+
+
+def write_words(texts: DataFrame, tokens: list[bytes], state, path: str) -> None:
+    """The words of each block and their ids, folded by Spark functions, as files of ``path``."""
+    spark = texts.sparkSession
+    words = distinct_words(texts, state).groupBy("word").agg(F.collect_set("block").alias("blocks"))
+    coded = words.select("word", "blocks", merges.SparkMerges(tokens).encode(F.col("word")).alias("ids"))
+    name = "spark.sql.maxPlanStringLength"  # Spark keeps descriptions of plans, and the tables of pairs are literals
+    before = spark.conf.get(name)
+    spark.conf.set(name, PLAN)
+    try:
+        coded.select(F.explode("blocks").alias("block"), "word", "ids").repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(name, before)
+
+
+def read_words(path: str, block: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a block, the number of ids of each, and all ids."""
+    files, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    words, counts, ids = [pa.array([], pa.binary())], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for info in files.get_file_info(fs.FileSelector(f"{place}/block={block}", allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with files.open_input_file(info.path) as f:
+                table = pq.ParquetFile(f).read(columns=["word", "ids"])
+            for batch in table.to_batches():
+                found = batch.column(1)
+                words.append(batch.column(0).cast(pa.binary()))
+                counts.append(found.value_lengths().to_numpy().astype(np.int64))
+                ids.append(found.flatten().to_numpy().astype(np.int64))
+    return pa.concat_arrays(words), np.concatenate(counts), np.concatenate(ids)
+
 
 class Decoder:
     """Ids to bytes."""
@@ -86,30 +161,32 @@ class Decoder:
         return self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[ids] - (ends - sizes), sizes)], ends
 
 
-_ENCODERS: dict[str, tuple[pieces.Encoder, Decoder]] = {}
-
-
-def _worker(state):
-    """The worker's encoder and decoder for a broadcast (name, tokens, first tier)."""
-    name, tokens, first = state.value
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = pieces.Encoder(Backend(tokens), known=first), Decoder(tokens)
-    return _ENCODERS[name]
+def block_encoder(tokens: list[bytes], path: str, block: int) -> pieces.Encoder:
+    """An encoder that knows the words of a block from the start."""
+    words, counts, ids = read_words(path, block)
+    backend, short = Backend(tokens), pa.compute.binary_length(words).to_numpy() <= pieces.LONGEST
+    long = np.flatnonzero(~short)
+    of = np.split(ids[np.repeat(~short, counts)], np.cumsum(counts[long])[:-1])
+    backend.long = dict(zip(words.take(pa.array(long)).to_pylist(), of))
+    known = words.filter(pa.array(short)), counts[short], ids[np.repeat(short, counts)]
+    return pieces.Encoder(backend, max(BITS, (2 * len(words)).bit_length() + 1), known=known)
 
 
 def _mapped(docs: DataFrame, text: str, tokens: list[bytes], outputs: dict[str, str], make) -> DataFrame:
     """docs without ``text``, and the output columns that ``make(encoder, decoder, texts)`` gives for a batch."""
-    first = frequent_words(docs, text, tokens)
-    state = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, tokens, first))
+    spark = docs.sparkSession
+    state = spark.sparkContext.broadcast((uuid.uuid4().hex, tokens))
+    path, size = new_dir(spark, "words"), BLOCK
+    write_words(docs.select(column(text).cast("string").alias("text")), tokens, state, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _worker(state)
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(start, ROWS)
-                found = make(encoder, decoder, rows.column(rows.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *found], names=[str(k) for k in range(rows.num_columns - 1 + len(found))])
+        decoder, last, encoder = Decoder(state.value[1]), None, None
+        for block, rows in blocks(batches, size):
+            if block != last:
+                encoder = None  # the memory of one at a time
+                last, encoder = block, block_encoder(state.value[1], path, block)
+            found = make(encoder, decoder, rows.column(rows.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *found], names=[str(k) for k in range(rows.num_columns - 1 + len(found))])
 
     keep = [c for c in docs.columns if c != text]
     names = []

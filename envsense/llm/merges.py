@@ -9,12 +9,13 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Longer words are merged one by one with a heap: the joint form takes a step for each merge.
 LONG = 256
 _NONE = np.int64(2**62)
@@ -123,41 +124,89 @@ class Merger:
 
 
 class SparkMerges:
-    """The same merges as Spark higher-order functions over a literal rank map.
+    """The same merges as Spark higher-order functions over a literal table of pairs.
 
-    A map literal is searched from its start, so the map is cut into buckets by a checksum of the token:
-    one array literal, about a dozen entries in each of its maps.
+    A word is an array of numbers, rank << 32 | symbol: the symbol, and the rank of its pair with the next one (LAST where that is
+    no token). The least rank with its place is the leftmost pair of the lowest rank; a merge changes its own number and the one before.
+    The rank of a pair is looked up at two places, the remainders of its key by two primes, one of which holds it (a cuckoo table).
     """
 
-    BUCKETS = 4096
+    #: Bits of a symbol; vocabularies hold fewer tokens than that.
+    BITS = 16
+    LAST = 1 << BITS
 
     def __init__(self, tokens: list[bytes], words: list[bytes] | None = None):
-        """words: the map holds what occurs in them only, as all that merges make of a word does; so the plan stays small."""
-        maps: list[dict[str, int]] = [{} for _ in range(self.BUCKETS)]
-        parts = None if words is None else {w[a:b] for w in words for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
-        for k, t in enumerate(tokens):
-            if parts is not None and t not in parts:
-                continue
-            h = t.hex().upper()
-            maps[zlib.crc32(h.encode()) % self.BUCKETS][h] = k
-        self.literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-    def rank(self, symbol: Column) -> Column:
-        return F.try_element_at(F.get(self.literal, F.pmod(F.crc32(symbol.cast("binary")), F.lit(self.BUCKETS)).cast("int")), symbol)
+        """words: the tables hold what occurs in them only, as all that merges make of a word does."""
+        merger = Merger(tokens)
+        if len(tokens) >= self.LAST - 1:
+            raise ValueError("symbols have 16 bits")
+        self.edge = len(tokens)
+        keys, ranks = merger.keys[:-1], merger.values[:-1]
+        if words is not None:
+            parts = {w[a:b] for w in words for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+            inside = np.fromiter((tokens[k] in parts for k in ranks.tolist()), bool, len(ranks))
+            keys, ranks = keys[inside], ranks[inside]
+        self.entries = ((keys >> 32) << self.BITS | (keys & (self.LAST - 1))) << self.BITS
+        size = max(1009, len(keys) * 5 // 4)
+        while (tables := self._placed(ranks, primes := (_prime(size), _prime(size + size // 7)))) is None:
+            size += size // 4
+        self.primes = primes
+        literals = [F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (*(t.tolist() for t in tables), merger.byte.tolist())]
+        self.tables = F.struct(*(x.alias(k) for x, k in zip(literals, ("x", "y", "bytes"))))
+
+    def _placed(self, ranks: np.ndarray, primes: tuple[int, int]) -> list[np.ndarray] | None:
+        """Two tables, each pair in one of them; None if some find no place."""
+        tables = [np.full(p, -1, np.int64) for p in primes]
+        left, which = np.arange(len(ranks)), 0
+        for _ in range(200):
+            if not len(left):
+                return [np.where(t < 0, np.int64(2**62), self.entries[t] | ranks[t]) for t in tables]
+            at = self.entries[left] % primes[which]
+            place, one = np.unique(at, return_index=True)
+            turned = tables[which][place]
+            tables[which][place] = left[one]
+            wait = np.ones(len(left), bool)
+            wait[one] = False
+            left, which = np.concatenate([left[wait], turned[turned >= 0]]), 1 - which
+        return None
 
     def encode(self, word: Column) -> Column:
         """ids of a binary column, folded merge by merge; a null word has none, an empty one no ids."""
-        bytes_ = F.regexp_extract_all(F.hex(word), F.lit("(..)"), F.lit(1))
+        # Latin-1 has a character for each byte.
+        return let(self.tables, lambda t: self._folded(F.decode(word, "ISO-8859-1"), t))  # once in the plan: they are large
 
-        def step(acc, _):
-            ranks = F.transform(F.sequence(F.lit(0), F.size(acc) - 2), lambda i: self.rank(F.concat(F.get(acc, i), F.get(acc, i + 1))))
-
-            def merge(r):
-                at = F.array_position(r, F.array_min(r)).cast("int")
-                joined = F.concat(F.get(acc, at - 1), F.get(acc, at))
-                return F.when(F.array_min(r).isNull(), acc).otherwise(F.concat(F.slice(acc, F.lit(1), at - 1), F.array(joined), F.slice(acc, at + 2, F.size(acc))))
+    def _folded(self, word: Column, t: Column) -> Column:
+        low, high = F.lit(self.LAST - 1).cast("long"), F.lit(-1 << 32)
+        edge, none = F.lit(self.edge).cast("long"), F.lit(self.LAST).cast("long")
+        key = lambda a, b: F.shiftleft(F.shiftleft(a, self.BITS).bitwiseOR(b), self.BITS)
+        found = lambda k, at: F.get(t[at], (k % F.lit(self.primes["xy".index(at)])).cast("int")).bitwiseXOR(k)
+        number = lambda k: F.shiftleft(F.least(found(k, "x"), found(k, "y"), none), 32).bitwiseOR(F.shiftright(k, 32))
+        chars = F.when(word == "", F.array().cast("array<string>")).otherwise(F.split(word, ""))
+        symbols = F.concat(F.array(edge), F.transform(chars, lambda c: F.get(t["bytes"], F.ascii(c))), F.array(edge))
+        pairs = lambda s: F.transform(F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), key), number)
 
-            return F.when(F.size(acc) < 2, acc).otherwise(F.get(F.transform(F.array(ranks), merge), F.lit(0)))
+        mask = F.lit(2**31 - 1).cast("long")
 
-        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(bytes_), F.lit(1))), bytes_, step)
-        return F.transform(folded, self.rank)
+        def step(acc, _):
+            def joined(least):
+                rank, at = F.shiftright(least, 32), least.bitwiseAND(mask).cast("int")
+                of = lambda k: let(k, number)
+                before = of(key(F.get(acc, at - 1).bitwiseAND(low), rank))
+                after = of(key(rank, F.coalesce(F.get(acc, at + 2).bitwiseAND(low), edge)))
+                kept = F.filter(acc, lambda x, i: i != at + 1)
+                merged = F.transform(kept, lambda x, i: F.when(i == at, after).when(i == at - 1, before).otherwise(x))
+                return F.when(rank < self.LAST, merged).otherwise(F.concat(done, acc))
+
+            least = F.array_min(F.transform(acc, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+            return F.when(F.get(acc, F.lit(0)).isNull(), acc).otherwise(let(least, joined))
+
+        done = F.array(F.lit(None).cast("long"))  # in front of a word that is ready
+        folded = F.aggregate(chars, let(symbols, pairs), step)
+        ids = F.slice(folded, F.lit(3), F.size(folded) - 2)  # a word has fewer merges than bytes, so it got ready
+        return F.transform(F.when(word == "", F.array().cast("array<bigint>")).otherwise(ids), lambda x: x.bitwiseAND(low).cast("int"))
+
+
+def _prime(least: int) -> int:
+    while any(least % k == 0 for k in range(2, int(least**0.5) + 1)):
+        least += 1
+    return least

@@ -165,6 +165,18 @@ class Table:
         self.n += len(keys.hashes)
 
 
+    def grown(self, bits: int) -> Table:
+        """The same pieces and numbers in a table of 2^bits slots."""
+        slots = np.flatnonzero(self.slots >= 0)
+        slots = slots[np.argsort(self.slots[slots])]
+        keys = object.__new__(Keys)
+        keys.short, keys.words = np.ones(len(slots), bool), [w[slots] for w in self.words]
+        keys.hashes = hash_words(keys.words)
+        table = Table(bits)
+        table.add(keys)
+        return table
+
+
 class Store:
     """Values (id sequences) by number."""
 
@@ -216,28 +228,27 @@ class Encoder:
     """Texts to ids, with a table that fills as it works and starts anew when it is half full.
 
     ``backend``: encodes what the table misses (see ``Library``). ``first``: a table and the counts of its
-    pieces, looked up before, when only counts are wanted. ``known``: pieces and their ids that the table
-    holds from the start. ``track``: count how often each piece of the table is looked up.
+    pieces, looked up before, when only counts are wanted. ``known``: distinct pieces (binary) of LONGEST bytes or fewer, the number of ids
+    of each and all ids, that the table holds from the start. ``track``: count how often each piece of the table is looked
+    up. With ``most_bits`` the table grows up to that size before it starts anew.
     """
 
-    def __init__(self, backend, bits: int = 22, first: tuple[Table, np.ndarray] | None = None, known: dict[bytes, list[int]] | None = None, track: bool = False):
+    def __init__(self, backend, bits: int = 22, first: tuple[Table, np.ndarray] | None = None, known: tuple[pa.Array, np.ndarray, np.ndarray] | None = None, track: bool = False, most_bits: int = 0):
         self.backend, self.kinds = backend, np.full(CODE_POINTS, UNKNOWN, np.uint8)
         self.kinds[:0x80] = backend.classes(list(map(chr, range(0x80))))
-        self.bits, self.first = bits, first
-        self.known = {p: ids for p, ids in (known or {}).items() if len(p) <= LONGEST}
+        self.bits, self.first, self.known, self.most_bits = bits, first, known, most_bits
         self._anew()
         self.uses = np.zeros(0, np.int64) if track else None
 
     def _anew(self) -> None:
         self.table, self.store = Table(self.bits), Store()
-        if self.known:
-            blob = np.frombuffer(b"".join(self.known), np.uint8)
-            lengths = np.fromiter(map(len, self.known), np.int64, len(self.known))
-            padded = np.zeros(len(blob) + 32, np.uint8)
-            padded[: len(blob)] = blob
-            self.table.add(Keys(padded, np.cumsum(lengths) - lengths, lengths))
-            counts = np.fromiter(map(len, self.known.values()), np.int64, len(self.known))
-            self.store.add(counts, np.fromiter(chain.from_iterable(self.known.values()), np.uint32, int(counts.sum())))
+        if self.known and len(self.known[0]):
+            words, counts, ids = self.known
+            _, offsets, data = words.buffers()
+            offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+            padded = np.append(np.frombuffer(data, np.uint8), np.zeros(32, np.uint8))
+            self.table.add(Keys(padded, offsets[:-1], np.diff(offsets)))
+            self.store.add(counts, ids)
         self.at_first = self.table.n
 
     def most_used(self, most: int) -> tuple[Table, np.ndarray]:
@@ -261,6 +272,9 @@ class Encoder:
             return numbers
         one = keys.take(new)
         _, where = np.unique(one.hashes, return_index=True)
+        while self.bits < self.most_bits and self.table.n + len(where) > len(self.table.slots) // 2:
+            self.bits += 2
+            self.table = self.table.grown(self.bits)
         if self.table.n + len(where) > len(self.table.slots) // 2:
             if self.table.n > self.at_first:
                 self._anew()
