@@ -2,7 +2,7 @@
 
 The texts are read twice. First each worker finds the words (matches of the public pattern) of its texts with array
 operations and sends the distinct ones of each block, 32 MB of a task's texts. A shuffle brings equal words together,
-and Spark higher-order functions fold the ranked merges over the bytes of every distinct word, by a literal table of
+and Spark higher-order functions fold the ranked merges over the bytes of every distinct word, by a table of
 pairs. The words of a block with their ids are written to the shared folder. Then the workers find the words again and
 put the texts together from their blocks' tables. Decoding concatenates the binary pieces of the ids.
 
@@ -33,8 +33,8 @@ from .common import column, free_name, new_dir, vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text of a block, and of the longest word that goes through Spark functions; bits of the table of a block's words.
 BLOCK, LONG_WORD, BITS = 1 << 25, 2048, 16
-#: Documents that are encoded at a time; characters of a plan's description.
-ROWS, PLAN = 500, 1 << 16
+#: Documents that are encoded at a time.
+ROWS = 500
 
 
 class Backend:
@@ -118,16 +118,9 @@ def distinct_words(texts: DataFrame, state) -> DataFrame:
 
 def write_words(texts: DataFrame, tokens: list[bytes], state, path: str) -> None:
     """The words of each block and their ids, folded by Spark functions, as files of ``path``."""
-    spark = texts.sparkSession
     words = distinct_words(texts, state).groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    coded = words.select("word", "blocks", merges.SparkMerges(tokens).encode(F.col("word")).alias("ids"))
-    name = "spark.sql.maxPlanStringLength"  # Spark keeps descriptions of plans, and the tables of pairs are literals
-    before = spark.conf.get(name)
-    spark.conf.set(name, PLAN)
-    try:
-        coded.select(F.explode("blocks").alias("block"), "word", "ids").repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(name, before)
+    coded = merges.SparkMerges(tokens).encoded(words, "word", "ids")
+    coded.select(F.explode("blocks").alias("block"), "word", "ids").repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
 
 
 def read_words(path: str, block: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -6,19 +6,23 @@ leftmost pair of the lowest rank becomes that token.
 
 from __future__ import annotations
 
+import array
 import base64
 import heapq
 import json
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import bound, column, free_name
 
 #: Longer words are merged one by one with a heap: the joint form takes a step for each merge.
 LONG = 256
 _NONE = np.int64(2**62)
+#: Types of the columns that the fold binds.
+IDS, NUMBERS = "array<int>", "array<bigint>"
 
 
 def read_ranks(path: str, most: int | None = None) -> list[bytes]:
@@ -35,14 +39,16 @@ class Merger:
         self.tokens = tokens
         self.rank = {t: k for k, t in enumerate(tokens)}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        keys, values = array.array("q"), array.array("q")
         for k, t in enumerate(tokens):
             for cut in range(1, len(t)):
                 a, b = self.rank.get(t[:cut]), self.rank.get(t[cut:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = k
-        keys = np.array(sorted(pairs), np.int64)
-        self.keys, self.values = np.append(keys, _NONE), np.array([*(pairs[int(k)] for k in keys), _NONE], np.int64)
+                    keys.append(a << 32 | b)
+                    values.append(k)
+        keys, values = np.array(keys, np.int64), np.array(values, np.int64)
+        order = np.argsort(keys)  # a pair makes one token
+        self.keys, self.values = np.append(keys[order], _NONE), np.append(values[order], _NONE)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, _NONE where it is no token."""
@@ -124,15 +130,16 @@ class Merger:
 
 
 class SparkMerges:
-    """The same merges as Spark higher-order functions over a literal table of pairs.
+    """The same merges as Spark higher-order functions over a table of pairs.
 
-    A word is an array of numbers, rank << 32 | symbol: the symbol, and the rank of its pair with the next one (LAST where that is
-    no token). The least rank with its place is the leftmost pair of the lowest rank; a merge changes its own number and the one before.
+    A word is an array of numbers, rank << 46 | place << 16 | symbol: the symbol, the byte it begins at, and the rank of its pair with
+    the next one (LAST where that is no token). So no two are equal, and the least number is the leftmost pair of the lowest rank; a
+    merge changes it and the number before, and takes out the next. An edge, no token, stands at both ends.
     The rank of a pair is looked up at two places, the remainders of its key by two primes, one of which holds it (a cuckoo table).
     """
 
-    #: Bits of a symbol; vocabularies hold fewer tokens than that.
-    BITS = 16
+    #: Bits of a symbol; vocabularies hold fewer tokens than that. Bits below the rank: of the symbol and 30 of its place.
+    BITS, RANK = 16, 46
     LAST = 1 << BITS
 
     def __init__(self, tokens: list[bytes], words: list[bytes] | None = None):
@@ -151,8 +158,7 @@ class SparkMerges:
         while (tables := self._placed(ranks, primes := (_prime(size), _prime(size + size // 7)))) is None:
             size += size // 4
         self.primes = primes
-        literals = [F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (*(t.tolist() for t in tables), merger.byte.tolist())]
-        self.tables = F.struct(*(x.alias(k) for x, k in zip(literals, ("x", "y", "bytes"))))
+        self.tables = dict(zip(("x", "y", "bytes"), (*tables, merger.byte)))
 
     def _placed(self, ranks: np.ndarray, primes: tuple[int, int]) -> list[np.ndarray] | None:
         """Two tables, each pair in one of them; None if some find no place."""
@@ -171,39 +177,54 @@ class SparkMerges:
         return None
 
     def encode(self, word: Column) -> Column:
-        """ids of a binary column, folded merge by merge; a null word has none, an empty one no ids."""
-        # Latin-1 has a character for each byte.
-        return let(self.tables, lambda t: self._folded(F.decode(word, "ISO-8859-1"), t))  # once in the plan: they are large
-
-    def _folded(self, word: Column, t: Column) -> Column:
-        low, high = F.lit(self.LAST - 1).cast("long"), F.lit(-1 << 32)
+        """ids of a binary column, folded merge by merge; a null word has none, an empty one no ids.
+
+        The tables are literals, which suits few pairs: see ``encoded``.
+        """
+        literals = {k: F.from_json(F.lit(json.dumps(x.tolist())), "array<bigint>") for k, x in self.tables.items()}
+        return self._encode(word, F.struct(*(x.alias(k) for k, x in literals.items())))
+
+    def encoded(self, words: DataFrame, word: str, out: str) -> DataFrame:
+        """The columns of words, and the ids of its column ``word`` as ``out``, as ``encode`` gives them.
+
+        The tables are the one row of a subquery. Literals of their size stand in every copy of the plan in the driver, as an
+        object for each number, and each task reads these anew; the row is one block of bytes.
+        """
+        one = {k: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for k, x in self.tables.items()}
+        row = words.sparkSession.createDataFrame(pa.table(one)).select(F.struct(*one)).scalar()
+        name = free_name([*words.columns, out], "tables")  # a function of arrays takes no subquery itself; Spark joins the two selections
+        return words.select("*", row.alias(name)).select(*map(column, words.columns), self._encode(column(word), F.col(name)).alias(out))
+
+    def _encode(self, word: Column, tables: Column) -> Column:
+        # Latin-1 has a character for each byte; the tables stand in the plan once.
+        chars = lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+        folded = lambda t: bound(F.decode(word, "ISO-8859-1"), IDS, lambda text: bound(chars(text), IDS, lambda c: self._folded(c, t)))
+        return F.when(word.isNotNull(), bound(tables, IDS, folded))
+
+    def _folded(self, chars: Column, t: Column) -> Column:
+        low, places = F.lit(self.LAST - 1).cast("long"), F.lit((1 << self.RANK) - self.LAST).cast("long")
         edge, none = F.lit(self.edge).cast("long"), F.lit(self.LAST).cast("long")
         key = lambda a, b: F.shiftleft(F.shiftleft(a, self.BITS).bitwiseOR(b), self.BITS)
         found = lambda k, at: F.get(t[at], (k % F.lit(self.primes["xy".index(at)])).cast("int")).bitwiseXOR(k)
-        number = lambda k: F.shiftleft(F.least(found(k, "x"), found(k, "y"), none), 32).bitwiseOR(F.shiftright(k, 32))
-        chars = F.when(word == "", F.array().cast("array<string>")).otherwise(F.split(word, ""))
+        rank = lambda k: F.shiftleft(F.least(found(k, "x"), found(k, "y"), none), self.RANK)
+        number = lambda a, b, place: bound(key(a, b), "bigint", rank).bitwiseOR(place).bitwiseOR(a)
         symbols = F.concat(F.array(edge), F.transform(chars, lambda c: F.get(t["bytes"], F.ascii(c))), F.array(edge))
-        pairs = lambda s: F.transform(F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), key), number)
-
-        mask = F.lit(2**31 - 1).cast("long")
+        numbers = lambda s: F.transform(s, lambda x, i: number(x, F.coalesce(F.get(s, i + 1), edge), F.shiftleft(i.cast("long"), self.BITS)))
 
         def step(acc, _):
             def joined(least):
-                rank, at = F.shiftright(least, 32), least.bitwiseAND(mask).cast("int")
-                of = lambda k: let(k, number)
-                before = of(key(F.get(acc, at - 1).bitwiseAND(low), rank))
-                after = of(key(rank, F.coalesce(F.get(acc, at + 2).bitwiseAND(low), edge)))
-                kept = F.filter(acc, lambda x, i: i != at + 1)
-                merged = F.transform(kept, lambda x, i: F.when(i == at, after).when(i == at - 1, before).otherwise(x))
-                return F.when(rank < self.LAST, merged).otherwise(F.concat(done, acc))
-
-            least = F.array_min(F.transform(acc, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
-            return F.when(F.get(acc, F.lit(0)).isNull(), acc).otherwise(let(least, joined))
-
-        done = F.array(F.lit(None).cast("long"))  # in front of a word that is ready
-        folded = F.aggregate(chars, let(symbols, pairs), step)
-        ids = F.slice(folded, F.lit(3), F.size(folded) - 2)  # a word has fewer merges than bytes, so it got ready
-        return F.transform(F.when(word == "", F.array().cast("array<bigint>")).otherwise(ids), lambda x: x.bitwiseAND(low).cast("int"))
+                def merged(before):  # where the number before the least one is
+                    new = F.shiftright(least, self.RANK)
+                    here = number(new, F.get(acc, before + 3).bitwiseAND(low), least.bitwiseAND(places))
+                    changed = lambda x, i: F.when(x == least, here).when(i == before, number(x.bitwiseAND(low), new, x.bitwiseAND(places))).otherwise(x)
+                    return F.transform(F.array_remove(acc, F.get(acc, before + 2)), changed)
+
+                return F.when(least < self.LAST << self.RANK, bound((F.array_position(acc, least) - 2).cast("int"), NUMBERS, merged)).otherwise(acc)
+
+            return bound(F.array_min(acc), NUMBERS, joined)
+
+        folded = F.aggregate(chars, bound(symbols, NUMBERS, numbers), step)  # a word has fewer merges than bytes
+        return bound(folded, IDS, lambda f: F.transform(F.slice(f, F.lit(2), F.size(f) - 2), lambda x: x.bitwiseAND(low).cast("int")))
 
 
 def _prime(least: int) -> int:
