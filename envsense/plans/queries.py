@@ -619,7 +619,7 @@ def wav_files(spark, sf_dir):
 def event_metadata(spark, sf_dir):
     """The metadata documents of all clips' events, and the directories they are in."""
     path = _written_events(spark, sf_dir)
-    found = bundles.read_metadata(spark, path).select("event_id", "clip_id", F.col("label").cast("long").alias("label"))
+    found = bundles.read_metadata(spark, path, "clip_id long, label long").select("event_id", "clip_id", "label")
     return found.join(bundles.event_directories(spark, path), "event_id")
 
 

@@ -121,3 +121,28 @@ def test_settings_from_the_environment():
     s = Settings.from_env({"ENVSENSE_SIGMAS": "2.5", "ENVSENSE_WINDOW": "7", "OTHER": "1"})
     assert (s.sigmas, s.window, s.kalman_q) == (2.5, 7, DEFAULT.kalman_q) and isinstance(s.window, int)
     assert Settings.from_env({}) == Settings()
+
+
+def test_many_directories_are_listed_and_read_by_few_tasks(spark, tmp_path):
+    """event_metadata: not by a task for each directory, and with a schema no document is read to find one."""
+    for k in range(120):
+        folder = tmp_path / ("a b" if k % 2 else "c") / f"event_{k}"
+        folder.mkdir(parents=True)
+        (folder / "metadata.json").write_text(json.dumps({"event_id": "other", "score": k}, indent=2))
+        (folder / "audio.wav").write_bytes(b"x")
+        (folder / "_old").mkdir()
+        (folder / "_old" / "metadata.json").write_text("{}")
+    (tmp_path / "event_without" / "more").mkdir(parents=True)
+    sc, tasks = spark.sparkContext, []
+    for make in (lambda: bundles.event_directories(spark, str(tmp_path)), lambda: bundles.read_metadata(spark, f"file://{tmp_path}", "event_id string, score long")):
+        sc.setJobGroup(f"few-{len(tasks)}", "")
+        rows = make().collect()
+        assert sorted(r.event_id for r in rows) == sorted(f"event_{k}" for k in range(120))
+        stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup(f"few-{len(tasks)}") for s in sc.statusTracker().getJobInfo(j).stageIds]
+        tasks.append(sum(s.numTasks for s in stages if s))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.event_id: r.score for r in rows} == {f"event_{k}": k for k in range(120)}
+    assert max(tasks) < 100
+    assert [r.event_id for r in bundles.read_metadata(spark, str(tmp_path / "c" / "event_4")).collect()] == ["event_4"]
+    (tmp_path / "none").mkdir()
+    assert bundles.event_directories(spark, str(tmp_path / "none")).count() == bundles.read_metadata(spark, str(tmp_path / "none"), "score long").count() == 0
