@@ -185,3 +185,33 @@ def test_the_result_keeps_only_the_removed_places(spark, capsys):
     plan = capsys.readouterr().out
     assert plan.count("Join") == 1 and "Aggregate" not in plan
     assert out.where("n_removed > 0").count() == 6
+
+
+def test_short_lines_are_compared_too(spark):
+    """op9_line_dedup: near copies of 10 to 39 characters, some of a line of 40 and more."""
+    r = random.Random(11)
+    lines = []
+    for n in [*range(10, 45)] * 4:
+        line = "".join(r.choice("abcdefghij ") for _ in range(n - 2))
+        lines += [f"a{line}b", f"A{line}b{r.choice('xyz')}", f"q{line}bc", f"a{line}b"]
+    docs = [(k, "\n".join(lines[k::7])) for k in range(7)]
+    given = spark.createDataFrame(docs, "doc_id long, text string")
+    at, root = {}, {}
+    for d, t in docs:
+        for place, line in enumerate(t.split("\n")):
+            at.setdefault(norm(line), []).append((d, place))
+    names = [n for n in at if len(n) >= 10]
+    sets = {n: shingle_set(n) for n in names}
+    find = lambda x: x if root.get(x, x) == x else find(root[x])
+    links = [(a, b) for k, a in enumerate(names) for b in names[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in links:
+        root[find(a)] = find(b)
+    groups = {}
+    for n in names:
+        groups.setdefault(find(n), []).append(n)
+    gone = {(x.doc, p) for x in L.removed_lines(given)[1].collect() for p in x.places}
+    stays = [[p for n in members for p in at[n] if p not in gone] for members in groups.values()]
+    assert sum(min(len(a), len(b)) < 40 for a, b in links) > 50 and any(len(a) < 40 <= len(b) or len(b) < 40 <= len(a) for a, b in links)
+    assert all(len(left) == 1 for left in stays)
+    assert all(left[0][0] == min(d for n in members for d, _ in at[n]) for members, left in zip(groups.values(), stays))
+    assert {p for n in at if len(n) < 10 for p in at[n]}.isdisjoint(gone)
