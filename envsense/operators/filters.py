@@ -9,10 +9,13 @@ appending one element copies the array.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..config import DEFAULT, Settings
 from ..functions import matrix as M
@@ -29,6 +32,8 @@ def _ordered(rows: DataFrame, keys: list[str], order: list[str], values: dict[st
     return (flat if dealt else scans.together(flat, *keys)).groupBy(*keys).agg(F.array_sort(F.collect_list("sample")).alias("samples"))
 
 
+#: Rows that a task filters together, a step of all their keys at a time.
+ROWS = 1 << 17
 PLAIN = "struct<n:int,x_prior:double,x:double,p:double,gain:double>"
 
 
@@ -208,8 +213,6 @@ def orientation(rows: DataFrame, keys: list[str], order: list[str], beta: float
 
 def _riccati_powers(f, h, qs, rs, most: int = 48) -> list[tuple]:
     """(A, C, J) for 1, 2, 4 ... steps of the covariance: P becomes A (1 + P J)^-1 P A' + C. Ends where P is forgotten."""
-    import numpy as np
-
     inner = np.linalg.inv(h @ qs @ h.T + rs)
     left = np.eye(len(f)) - qs @ h.T @ inner @ h
     a, c, j = left @ f, left @ qs, f.T @ h.T @ inner @ h @ f
@@ -233,6 +236,83 @@ def _covariance(steps: Column, start, powers: list[tuple]) -> Column:
     return F.aggregate(table, M.literal(start), apply)
 
 
+class _Gains:
+    """Gains and traces of the covariance after 1, 2, 3 ... samples: they depend on no measurement. Ends where the covariance stands still.
+
+    Where a gain does not exist (its matrix is singular) there are none from then on: ``lost``.
+    """
+
+    def __init__(self, f, h, qs, rs, start_p, guess):
+        self.f, self.h, self.qs, self.rs, self.p = f, h, qs, rs, start_p
+        self.gains, self.traces, self.done, self.lost = [guess], [np.trace(start_p)], False, None
+
+    def upto(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.gains) < most and not self.done:
+            ahead = self.f @ self.p @ self.f.T + self.qs
+            try:
+                gain = ahead @ self.h.T @ np.linalg.inv(self.h @ ahead @ self.h.T + self.rs)
+            except np.linalg.LinAlgError:
+                self.done, self.lost = True, len(self.gains) + 1
+                break
+            p = ahead - gain @ self.h @ ahead
+            self.done, self.p = np.array_equal(p, self.p), p
+            self.gains.append(gain)
+            self.traces.append(np.trace(p))
+        return np.array(self.gains), np.array(self.traces)
+
+
+def _filtered(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], f, h, gains: _Gains) -> DataFrame:
+    """keys, order, x, trace of samples dealt out by key and sorted. A task takes many keys' samples as arrays, and a step of all of them at a time."""
+    n, names, kept = len(f), [*values], len(keys) + len(order)
+    flat = scans.together(rows.select(*keys, *order, *(c.alias(k) for k, c in values.items())), *keys)
+    nth = flat.withColumn("nth_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *values))).sortWithinPartitions(*keys, *order, *values)
+
+    def states(nth, z, x) -> np.ndarray:
+        """The state after each row; ``x`` is the one before the first, if that is not its key's first."""
+        table, _ = gains.upto(int(nth.max()))
+        gain = table[np.minimum(nth, len(table)) - 1]
+        begins = np.union1d([0], np.flatnonzero(nth == 1))
+        lengths = np.diff(np.append(begins, len(nth)))
+        longest = np.argsort(-lengths, kind="stable")
+        begins, lengths = begins[longest], lengths[longest]
+        now, out = np.zeros((len(begins), n)), np.empty((len(nth), n))
+        if nth[0] != 1:
+            now[begins == 0] = x
+        open_ = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # keys that have a sample more
+        for t, k in enumerate(open_):
+            at = begins[:k] + t
+            ahead = now[:k] @ f.T
+            now = ahead + np.einsum("rij,rj->ri", gain[at], z[at] - ahead @ h.T)
+            out[at] = now
+        return out
+
+    def block(batches: list[pa.RecordBatch], x) -> tuple[pa.RecordBatch, np.ndarray]:
+        given = pa.Table.from_batches(batches).combine_chunks()
+        nth = given["nth_"].to_numpy()
+        out = states(nth, np.column_stack([given[k].to_numpy() for k in names]), x)
+        _, traces = gains.upto(int(nth.max()))
+        none = nth >= gains.lost if gains.lost else np.zeros(len(nth), bool)
+        ends = pa.array(np.arange(0, out.size + 1, n, dtype=np.int32), mask=np.append(none, False))
+        made = [pa.ListArray.from_arrays(ends, pa.array(out.ravel())), pa.array(traces[np.minimum(nth, len(traces)) - 1], mask=none)]
+        columns = [given[c].chunk(0) for c in given.column_names[:kept]]
+        return pa.RecordBatch.from_arrays([*columns, *made], names=[*given.column_names[:kept], "x", "trace"]), out[-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, x = [], 0, None
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= ROWS:
+                out, x = block(held, x)
+                held, count = [], 0
+                yield out
+        if count:
+            yield block(held, x)[0]
+
+    fields = flat.select(*keys, *order).schema.fields
+    return nth.mapInArrow(run, StructType(fields).add("x", ArrayType(DoubleType())).add("trace", DoubleType()))
+
+
 def matrix_kalman(
     rows: DataFrame, keys: list[str], order: list[str], values: list[str], transition=None, observe=None, q: float = 1e-5, r: float = 1e-2, split: int | None = None
 ) -> DataFrame:
@@ -240,10 +320,9 @@ def matrix_kalman(
 
     The first measurement sets the state through the pseudo-inverse of ``observe``, after a step of the covariance
     from the identity. Gives keys, order, x (array) and trace (of P). Samples with a null value are left out.
-    Of a key that is split, the covariance before a chunk comes from the number of samples before it.
+    Of a key that is split, the covariance before a chunk comes from the number of samples before it; of others the gains
+    are worked out once for all keys.
     """
-    import numpy as np
-
     m = len(values)
     n = m if transition is None else len(transition)
     f = np.eye(n) if transition is None else np.array(transition, float)
@@ -278,16 +357,15 @@ def matrix_kalman(
 
     present, named = rows.dropna(subset=values), {f"z{k}": F.col(v).cast("double") for k, v in enumerate(values)}
     kind, square = "struct<n:bigint,x:array<double>,p:array<array<double>>>", "array<array<double>>"
-    if split or scans.is_long(present, keys):
-        size = F.struct(F.size("samples").cast("long").alias("n"))
-        counted = scans.with_prefixes(scans.chunked(present, keys, order, named, split or scans.SPLIT), keys, scans.counts(), F.struct(size.alias("first"), size.alias("later")))
-        p = _covariance(F.greatest(F.col("before.n") - 1, F.lit(0)), start_p, _riccati_powers(f, h, qs, rs))
-        chunks = cut(counted.select(*keys, "block_", "samples", F.col("before.n").alias("n_"), p.alias("p_")))
-        whole = F.struct(F.col("n_").alias("n"), M.literal(M.identity(n)).alias("a"), F.array(*map(F.lit, none)).alias("b"), F.col("p_").alias("p")).cast(f"struct<n:bigint,a:{square},b:array<double>,p:{square}>")
-        maps = let(F.aggregate("samples", whole, step_map), lambda e: F.struct((e["n"] - F.col("n_")).alias("n"), e["a"].alias("a"), e["b"].alias("b")))
-        part = let(maps, lambda e: F.struct(e.alias("first"), e.alias("later")))
-        grouped = scans.with_prefixes(chunks, keys, scans.matrix_affine(n), part).withColumn("start", F.struct(F.col("n_").alias("n"), F.col("before.b").alias("x"), F.col("p_").alias("p")).cast(kind))
-    else:
-        grouped = _ordered(present, keys, order, named).withColumn("start", F.struct(F.lit(0).cast("long").alias("n"), F.array(*map(F.lit, none)).alias("x"), M.literal(start_p).alias("p")).cast(kind))
+    if not split and not scans.is_long(present, keys):
+        return _filtered(present, keys, order, named, f, h, _Gains(f, h, qs, rs, start_p, guess))
+    size = F.struct(F.size("samples").cast("long").alias("n"))
+    counted = scans.with_prefixes(scans.chunked(present, keys, order, named, split or scans.SPLIT), keys, scans.counts(), F.struct(size.alias("first"), size.alias("later")))
+    p = _covariance(F.greatest(F.col("before.n") - 1, F.lit(0)), start_p, _riccati_powers(f, h, qs, rs))
+    chunks = cut(counted.select(*keys, "block_", "samples", F.col("before.n").alias("n_"), p.alias("p_")))
+    whole = F.struct(F.col("n_").alias("n"), M.literal(M.identity(n)).alias("a"), F.array(*map(F.lit, none)).alias("b"), F.col("p_").alias("p")).cast(f"struct<n:bigint,a:{square},b:array<double>,p:{square}>")
+    maps = let(F.aggregate("samples", whole, step_map), lambda e: F.struct((e["n"] - F.col("n_")).alias("n"), e["a"].alias("a"), e["b"].alias("b")))
+    part = let(maps, lambda e: F.struct(e.alias("first"), e.alias("later")))
+    grouped = scans.with_prefixes(chunks, keys, scans.matrix_affine(n), part).withColumn("start", F.struct(F.col("n_").alias("n"), F.col("before.b").alias("x"), F.col("p_").alias("p")).cast(kind))
     pairs = grouped.select(*keys, F.explode(F.arrays_zip(F.col("samples").alias("s"), fold(F.col("samples"), kind, F.col("start"), step).alias("f"))).alias("e"))
     return pairs.select(*keys, *(F.col(f"e.s.{c}").alias(c) for c in order), F.col("e.f.x").alias("x"), M.trace(F.col("e.f.p")).alias("trace"))

@@ -118,3 +118,26 @@ def test_empty_series(spark):
     rows = series(spark, 5).limit(0)
     assert filters.kalman_1d(rows, ["d"], ["t"], "v", split=4).count() == filters.kalman_adaptive(rows, ["d"], ["t"], "v", DEFAULT, split=4).count() == 0
     assert filters.matrix_kalman(rows, ["d"], ["t"], ["v"]).count() == 0
+
+
+def test_gains_are_found_once_for_all_keys(spark, monkeypatch):
+    """ekf_identity: no fold over matrices for each sample; a key goes on from one block of rows to the next."""
+    rng = np.random.default_rng(2)
+    n = {"a": 900, "b": 1, "c": 350, None: 40}
+    given = [(d, t, *rng.normal(size=2).tolist()) for d, k in n.items() for t in range(k)]
+    rows = spark.createDataFrame(rng.permutation(np.array(given, object)).tolist(), "d string, t long, v double, u double").coalesce(1)
+    monkeypatch.setattr(filters, "ROWS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    f, h = [[1, 0.1], [0, 1]], [[1, 0], [0, 2]]
+    out = filters.matrix_kalman(rows, ["d"], ["t"], ["v", "u"], f, h, q=1e-3, r=0.2)
+    got = {(x.d, x.t): [*x.x, x.trace] for x in out.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(given)
+    for d, k in n.items():
+        for t, (x, trace) in enumerate(reference([np.array(r[2:]) for r in given if r[0] == d], np.array(f), np.array(h), 1e-3, 0.2)):
+            np.testing.assert_allclose(got[d, t], [*x, trace], rtol=1e-9, atol=1e-12)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "collect_list" not in plan
+    # Without noise and with two equal measurements there is no gain: null from the second sample on, as before.
+    same = filters.matrix_kalman(rows.where("d = 'c'"), ["d"], ["t"], ["v", "u"], [[1]], [[1], [1]], q=0.0, r=0.0).orderBy("t").collect()
+    assert same[0].x is not None and all(x.x is None and x.trace is None for x in same[1:])
