@@ -92,3 +92,39 @@ def test_clips_keep_columns_of_any_name(spark):
     out = fusion.event_clips(events, packets, "device", "ts", "2 SECONDS", "3 SECONDS")
     assert out.columns == ["device", "ts", "_part", "e_device", "e_ts"]
     assert sorted(r._part for r in out.collect()) == [7 * k for k in range(8, 14)]
+
+
+def test_sensor_model_is_trained_from_blocks(spark):
+    """sensor_model: the features are worked out once, not in each pass, and slopes are those of the loss over all rows."""
+    r = np.random.default_rng(3)
+    sizes, x, y = [3, 5, 4, 2], r.normal(size=(50, 3)), r.integers(0, 2, 50)
+    w = r.normal(size=3 * 5 + 5 + 5 * 4 + 4 + 4 * 2 + 2)
+    loss, slopes = sensor_model.gradient(x, y, w, sizes)
+    step = 1e-6 * np.eye(len(w))
+    apart = [(sensor_model.gradient(x, y, w + s, sizes)[0] - sensor_model.gradient(x, y, w - s, sizes)[0]) / 2e-6 for s in step]
+    np.testing.assert_allclose(slopes, apart, rtol=1e-4, atol=1e-5)
+    blocks = spark.createDataFrame([(x[k : k + 16].tobytes(), y[k : k + 16].astype("<i4").tobytes()) for k in range(0, 50, 16)], "x binary, y binary").repartition(3)
+    mean, by = sensor_model._loss(blocks, sizes)(w)
+    assert abs(mean - loss / 50) < 1e-12 and np.abs(by - slopes / 50).max() < 1e-12
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    far = [("b" if a > 0.3 else "a" if b > 0 else "c", float(a), float(b)) for a, b, _ in np.tile(x, (4, 1))]
+    rows = spark.createDataFrame([*far, ("a", None, float("nan"))], "label string, v double, u double").repartition(3).withColumn("v", counted("v"))
+    model = sensor_model.fit(rows, "label", ("v", "u"), (6, 5), 40)
+    assert seen.value == 201
+    assert model.stages[-1].getLayers() == [2, 6, 5, 3]
+    out = sensor_model.predict(model, rows.limit(200), ("v", "u")).collect()
+    assert sum(r.label == r.predicted for r in out) > 180 and all(len(r.embedding) == 5 for r in out)
+
+
+def test_minimum_of_a_bent_valley():
+    """Quasi-Newton rounds: Rosenbrock's function from its usual start."""
+    f = lambda v: ((1 - v[0]) ** 2 + 100 * (v[1] - v[0] ** 2) ** 2, np.array([-2 * (1 - v[0]) - 400 * v[0] * (v[1] - v[0] ** 2), 200 * (v[1] - v[0] ** 2)]))
+    np.testing.assert_allclose(sensor_model.minimised(f, np.array([-1.2, 1.0]), 100), [1, 1], atol=1e-4)
+    same = np.array([3.0, -2.0])
+    assert sensor_model.minimised(f, same, 0) is same
